@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.scratch import materialise
+from paddock.scratch import materialise_counted
 
 BROADCAST_ROWS = 200_000
 SALTS = 64
@@ -25,8 +25,8 @@ def join_lookup(
     The lookup is written once and counted.  Up to ``max_rows`` rows it is broadcast,
     so the large side is not shuffled at all; beyond that the join is salted.
     """
-    small = materialise(right, "lookup")
-    if small.count() <= max_rows:
+    small, rows = materialise_counted(right, "lookup")
+    if rows <= max_rows:
         return left.join(F.broadcast(small), list(on), how)
     return salted_join(left, small, on, how)
 

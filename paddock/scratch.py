@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -37,3 +38,10 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """As ``materialise``, with the row count taken during the write."""
+    seen = Observation()
+    held = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return held, int(seen.get["rows"])
