@@ -142,20 +142,19 @@ def p12(spark, root):
 
 
 @query("p14_validate_plans", """
-, p AS (SELECT session_id, driver_id, LIST(start_lap ORDER BY stint_number) FILTER (WHERE stint_number > 1) AS stops, LIST(CASE WHEN stint_number = 3 THEN 'HYPER' ELSE compound END ORDER BY stint_number) AS fitted
-  FROM stints GROUP BY 1, 2)
-SELECT session_id, driver_id, COALESCE(LEN(stops), 0) = 0 OR LEN(stops) = LEN(fitted) AS length_ok, CASE WHEN list_contains(fitted, 'HYPER') THEN 'HYPER' ELSE '' END AS unknown,
-  (COALESCE(LEN(stops), 0) = 0 OR LEN(stops) = LEN(fitted)) AND NOT list_contains(fitted, 'HYPER') AS ok FROM p
+SELECT session_id, driver_id, stint_number, stint_number <> 2 AS length_ok, CASE WHEN stint_number % 3 = 0 THEN 'HYPER,ULTRA' ELSE '' END AS unknown, stint_number <> 2 AND stint_number % 3 <> 0 AS ok FROM stints
 """)
 def p14(spark, root):
-    """Stops and compounds per driver, one array entry per stint."""
-    compound = F.when(F.col("stint_number") == 3, "HYPER").otherwise(F.col("compound"))
-    rows = v.stints(spark, root).groupBy("session_id", "driver_id").agg(
-        F.collect_list(F.when(F.col("stint_number") > 1, F.col("start_lap"))).alias("pit_laps"),
-        F.collect_list(compound).alias("compounds"),
+    """A plan per stint: first stints have no stops, second ones a compound too few."""
+    n, start = F.col("stint_number"), F.col("start_lap")
+    odd = F.array(F.lit("ULTRA"), F.lit("HYPER"))
+    rows = v.stints(spark, root).select(
+        "session_id", "driver_id", "stint_number",
+        F.when(n == 1, F.array().cast("array<int>")).otherwise(F.array(start, start + 5)).alias("pit_laps"),
+        F.when(n % 3 == 0, odd).when(n == 2, F.array("compound")).otherwise(F.array("compound", F.lit("SOFT"))).alias("compounds"),
     )
     checked = scalars.validate_plans(rows)
-    return checked.select("session_id", "driver_id", "length_ok", F.array_join("unknown_compounds", ",").alias("unknown"), "ok")
+    return checked.select("session_id", "driver_id", "stint_number", "length_ok", F.array_join("unknown_compounds", ",").alias("unknown"), "ok")
 
 
 @query("p15_key_pattern", """

@@ -44,6 +44,7 @@ def over_order(
     *,
     rank: str | None = None,
     sums: Mapping[str, str] | None = None,
+    max_before: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     last_known: Mapping[str, str] | None = None,
@@ -52,17 +53,20 @@ def over_order(
     """Add ordered columns to ``df``; every mapping is {new column: source column}.
 
     rank: 1-based row number.  sums: running sum up to the row (NULLs skipped, NULL
-    until the first value).  previous/following: value of the neighbouring row.
+    until the first value).  max_before: largest value in the rows before, NULL when there
+    is none.  previous/following: value of the neighbouring row.
     last_known/next_known: nearest non-NULL value at or before / at or after the row.
     """
     sums, previous, following = dict(sums or {}), dict(previous or {}), dict(following or {})
     last_known, next_known = dict(last_known or {}), dict(next_known or {})
+    max_before = dict(max_before or {})
     keys, order = list(keys), list(order)
     base = in_chunks(df, keys, order)
-    carry = _carry(base, keys, order, rank, sums, previous, following, last_known, next_known)
+    carry = _carry(base, keys, order, sums, max_before, previous, following, last_known, next_known)
 
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far_but_row = inside.rowsBetween(Window.unboundedPreceding, -1)
     onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     local = base
     if rank or previous or following:
@@ -71,6 +75,8 @@ def over_order(
         local = local.withColumn("_left", F.lead(F.lit(1)).over(inside))
     for out, col in sums.items():
         local = local.withColumn(f"_s_{out}", F.sum(col).over(so_far))
+    for out, col in max_before.items():
+        local = local.withColumn(f"_m_{out}", F.max(col).over(so_far_but_row))
     for out, col in previous.items():
         local = local.withColumn(f"_p_{out}", F.lag(col).over(inside))
     for out, col in following.items():
@@ -89,6 +95,8 @@ def over_order(
     for out in sums:
         held, before = F.col(f"_s_{out}"), F.col(f"_c_s_{out}")
         out_cols.append(F.coalesce(held + before, held, before).alias(out))
+    for out in max_before:
+        out_cols.append(F.greatest(F.col(f"_m_{out}"), F.col(f"_c_m_{out}")).alias(out))
     for out in previous:
         out_cols.append(
             F.when(F.col("_pos") > 1, F.col(f"_p_{out}")).otherwise(F.col(f"_c_p_{out}")).alias(out)
@@ -111,11 +119,12 @@ def _same(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, parts, local[CHUNK] == carry["_k_chunk"])
 
 
-def _carry(base, keys, order, rank, sums, previous, following, last_known, next_known):
+def _carry(base, keys, order, sums, max_before, previous, following, last_known, next_known):
     """What each (group, chunk) takes over from the group's other chunks."""
     at = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
+    aggs += [F.max(c).alias(f"_m_{o}") for o, c in max_before.items()]
     if previous:
         row = F.struct(*[F.col(c).alias(o) for o, c in previous.items()])
         aggs.append(F.max_by(row, at).alias("_last"))
@@ -136,6 +145,7 @@ def _carry(base, keys, order, rank, sums, previous, following, last_known, next_
     cols.append(F.sum("_rows").over(earlier).alias("_c_rows"))
     cols.append(F.lead("_rows").over(by_chunk).alias("_c_more"))
     cols += [F.sum(f"_s_{o}").over(earlier).alias(f"_c_s_{o}") for o in sums]
+    cols += [F.max(f"_m_{o}").over(earlier).alias(f"_c_m_{o}") for o in max_before]
     if previous:
         cols += [F.lag(f"_last.{o}").over(by_chunk).alias(f"_c_p_{o}") for o in previous]
     if following:
