@@ -66,7 +66,7 @@ PIT_FRAME_SQL = """
 , timed AS (SELECT l.*, c.circuit_name, c.circuit_id AS circuit_code, MAX(lap_number) OVER (PARTITION BY l.session_id) AS n FROM laps l JOIN context c ON c.session_id = l.session_id WHERE lap_ms IS NOT NULL AND position IS NOT NULL),
 ids AS (SELECT driver_id, CAST(ROW_NUMBER() OVER (ORDER BY driver_id) - 1 AS INT) AS driver_code FROM (SELECT DISTINCT driver_id FROM laps)),
 run AS (SELECT *, SUM(lap_ms) OVER (PARTITION BY session_id, driver_id ORDER BY lap_number) AS run FROM timed JOIN ids USING (driver_id)),
-near AS (SELECT r.*, COALESCE(LEAST(GREATEST(r.run - a.run, 0), 120000), 120000) / 1000.0 AS ahead, COALESCE(LEAST(GREATEST(b.run - r.run, 0), 120000), 120000) / 1000.0 AS behind
+near AS (SELECT r.*, LEAST(GREATEST(COALESCE(r.run - a.run, 120000), 0), 120000) / 1000.0 AS ahead, LEAST(GREATEST(COALESCE(b.run - r.run, 120000), 0), 120000) / 1000.0 AS behind
   FROM run r LEFT JOIN run a ON a.session_id = r.session_id AND a.lap_number = r.lap_number AND a.position = r.position - 1
   LEFT JOIN run b ON b.session_id = r.session_id AND b.lap_number = r.lap_number AND b.position = r.position + 1)
 """
@@ -151,7 +151,7 @@ def h09_windows(spark, root):
     return rows.select(*DRIVER, "pit_lap", F.round("projected_total_delta_seconds", 6).alias("total"), F.size(F.coalesce("contributions", F.array().cast(rows.schema["contributions"].dataType))).alias("reasons"))
 
 
-@query("h10_score_laps", GAPPED_SQL.replace("gapped AS (SELECT *,", "gapped AS (SELECT *, COALESCE(LEAST(GREATEST((LEAD(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id)) - elapsed, 0), 120), 120)::DOUBLE AS behind,") + f"""
+@query("h10_score_laps", GAPPED_SQL.replace("gapped AS (SELECT *,", "gapped AS (SELECT *, LEAST(GREATEST(COALESCE((LEAD(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id)) - elapsed, 120), 0), 120)::DOUBLE AS behind,") + f"""
 , scored AS (SELECT s.*, COALESCE(g.gap, 120) AS gap, COALESCE(g.position, k.n + 1) AS place, {tyre_sql('s.code', 's.tyre_age_laps', 's.lap_number', fuel_sql('s.lap_number', 's.total_laps')).replace('circuit_code', 's.circuit_code').replace('driver_code', 's.driver_code')} AS delta
   FROM state s LEFT JOIN gapped g ON g.session_id = s.session_id AND g.driver_id = s.driver_id JOIN (SELECT session_id, COUNT(*) AS n FROM last GROUP BY 1) k ON k.session_id = s.session_id),
 ages AS (SELECT session_id, driver_id, off, {tyre_sql('code', 'tyre_age_laps + off', 'lap_number + off', fuel_sql('lap_number', 'total_laps'))} AS p FROM (SELECT *, UNNEST(range(0, 40)) AS off FROM scored)),

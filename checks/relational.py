@@ -82,8 +82,8 @@ def totals(spark, root) -> DataFrame:
 @query("w05_rank_and_gaps", """
 , t AS (SELECT session_id, driver_id, CAST(COALESCE(SUM(lap_ms), 0) AS BIGINT) AS elapsed FROM laps GROUP BY 1, 2)
 SELECT session_id, driver_id, elapsed, CAST(ROW_NUMBER() OVER w AS INT) AS rank,
-  ROUND(COALESCE(LEAST(GREATEST(elapsed - LAG(elapsed) OVER w, 0), 120000), 120000) / 1000.0, 6) AS gap_to_car_ahead,
-  ROUND(COALESCE(LEAST(GREATEST((LEAD(elapsed) OVER w) - elapsed, 0), 120000), 120000) / 1000.0, 6) AS gap_to_car_behind
+  ROUND(LEAST(GREATEST(COALESCE(elapsed - LAG(elapsed) OVER w, 120000), 0), 120000) / 1000.0, 6) AS gap_to_car_ahead,
+  ROUND(LEAST(GREATEST(COALESCE((LEAD(elapsed) OVER w) - elapsed, 120000), 0), 120000) / 1000.0, 6) AS gap_to_car_behind
 FROM t WINDOW w AS (PARTITION BY session_id ORDER BY elapsed, driver_id)
 """)
 def w05(spark, root):
@@ -97,8 +97,8 @@ def w05(spark, root):
     ROW_NUMBER() OVER (PARTITION BY session_id, driver_id ORDER BY lap_number DESC) AS r,
     SUM(COALESCE(lap_ms, 0)) OVER (PARTITION BY session_id, driver_id) AS run FROM laps) WHERE r = 1 AND position IS NOT NULL),
 field AS (SELECT session_id, driver_id, position,
-  COALESCE(LEAST(GREATEST(run - LAG(run) OVER w, 0), 120000), 120000) AS ahead,
-  COALESCE(LEAST(GREATEST((LEAD(run) OVER w) - run, 0), 120000), 120000) AS behind,
+  LEAST(GREATEST(COALESCE(run - LAG(run) OVER w, 120000), 0), 120000) AS ahead,
+  LEAST(GREATEST(COALESCE((LEAD(run) OVER w) - run, 120000), 0), 120000) AS behind,
   LAG(driver_id) OVER w AS ahead_driver_id, LEAD(driver_id) OVER w AS behind_driver_id
   FROM last WINDOW w AS (PARTITION BY session_id ORDER BY position, driver_id)),
 sizes AS (SELECT session_id, COUNT(*) AS n FROM last GROUP BY 1)
@@ -189,8 +189,8 @@ GAPS_SQL = """
   CASE WHEN lap_ms IS NOT NULL THEN SUM(lap_ms) OVER (PARTITION BY session_id, driver_id ORDER BY lap_number ROWS UNBOUNDED PRECEDING) END AS run
   FROM laps WHERE position IS NOT NULL),
 gaps AS (SELECT p.session_id, p.driver_id, p.lap_number, p.position, p.compound, p.tyre_age_laps,
-  COALESCE(LEAST(GREATEST(p.run - a.run, 0), 120000), 120000) / 1000.0 AS gap_to_car_ahead,
-  COALESCE(LEAST(GREATEST(b.run - p.run, 0), 120000), 120000) / 1000.0 AS gap_to_car_behind
+  LEAST(GREATEST(COALESCE(p.run - a.run, 120000), 0), 120000) / 1000.0 AS gap_to_car_ahead,
+  LEAST(GREATEST(COALESCE(b.run - p.run, 120000), 0), 120000) / 1000.0 AS gap_to_car_behind
 FROM placed p
 LEFT JOIN placed a ON a.session_id = p.session_id AND a.lap_number = p.lap_number AND a.position = p.position - 1
 LEFT JOIN placed b ON b.session_id = p.session_id AND b.lap_number = p.lap_number AND b.position = p.position + 1)

@@ -171,7 +171,7 @@ overview AS (SELECT session_id, driver_id, CAST(lap AS INT) AS predicted_pit_lap
 
 GAPPED_SQL = STATE_SQL + """
 , last AS (SELECT s.*, e.elapsed FROM state s JOIN elapsed e USING (session_id, driver_id) WHERE position IS NOT NULL),
-gapped AS (SELECT *, COALESCE(LEAST(GREATEST(elapsed - LAG(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id), 0), 120), 120)::DOUBLE AS gap FROM last)
+gapped AS (SELECT *, LEAST(GREATEST(COALESCE(elapsed - LAG(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id), 120), 0), 120)::DOUBLE AS gap FROM last)
 """
 
 

@@ -72,7 +72,7 @@ def gap_features(
     limit = F.lit(cap)
 
     def clip(gap: Column) -> Column:
-        return F.coalesce(F.least(F.greatest(gap, F.lit(0)), limit), limit)
+        return F.least(F.greatest(F.coalesce(gap, limit), F.lit(0)), limit)
 
     return joined.select(
         *laps.columns,

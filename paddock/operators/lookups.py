@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock.scratch import materialise_counted
 
@@ -13,6 +14,19 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; aggregates and filters count as large as their input."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def auto_broadcast_bytes(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes, negative when switched off."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+    digits = text.rstrip("bkmg")
+    unit = text[len(digits):][:1]
+    return int(digits) * {"k": 2**10, "m": 2**20, "g": 2**30}.get(unit, 1)
+
+
 def join_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -20,11 +34,14 @@ def join_lookup(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a lookup (unique on ``on``) to ``left`` by measured size.
+    """Join a lookup (unique on ``on``) to ``left`` without shuffling a skewed left side.
 
-    The lookup is written once and counted.  Up to ``max_rows`` rows it is broadcast,
-    so the large side is not shuffled at all; beyond that the join is salted.
+    A lookup whose planned size is under Spark's own broadcast threshold is joined as it
+    is: the planner broadcasts it.  Otherwise it is written once and counted; up to
+    ``max_rows`` rows it is broadcast, beyond that the join is salted.
     """
+    if planned_bytes(right) <= auto_broadcast_bytes(right):
+        return left.join(F.broadcast(right), list(on), how)
     small, rows = materialise_counted(right, "lookup")
     if rows <= max_rows:
         return left.join(F.broadcast(small), list(on), how)
@@ -37,6 +54,15 @@ def salted_join(
     """Inner or left equi-join whose left key groups are spread over ``salts`` tasks."""
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left side")
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    hashable = [f.name for f in left.schema.fields if not _holds_map(f.dataType)]
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.MapType)

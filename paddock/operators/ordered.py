@@ -67,7 +67,13 @@ def over_order(
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     so_far_but_row = inside.rowsBetween(Window.unboundedPreceding, -1)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # A frame that runs to the end of the partition is evaluated anew for every row, so
+    # looking ahead is looking back in the reverse order.
+    back_to_here = (
+        Window.partitionBy(*keys, CHUNK)
+        .orderBy(*[F.desc(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     local = base
     if rank or previous or following:
         local = local.withColumn("_pos", F.row_number().over(inside))
@@ -84,7 +90,7 @@ def over_order(
     for out, col in last_known.items():
         local = local.withColumn(f"_l_{out}", F.last(col, ignorenulls=True).over(so_far))
     for out, col in next_known.items():
-        local = local.withColumn(f"_n_{out}", F.first(col, ignorenulls=True).over(onward))
+        local = local.withColumn(f"_n_{out}", F.last(col, ignorenulls=True).over(back_to_here))
 
     joined = local.join(F.broadcast(carry), _same(local, carry, keys), "left")
     out_cols: list[Column] = [local[c] for c in df.columns]
@@ -140,7 +146,7 @@ def _carry(base, keys, order, sums, max_before, previous, following, last_known,
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     by_chunk = group.orderBy(CHUNK)
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    later = group.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.col(k).alias(f"_k_{k}") for k in keys] + [F.col(CHUNK).alias("_k_chunk")]
     cols.append(F.sum("_rows").over(earlier).alias("_c_rows"))
     cols.append(F.lead("_rows").over(by_chunk).alias("_c_more"))
@@ -153,7 +159,7 @@ def _carry(base, keys, order, sums, max_before, previous, following, last_known,
     for o in last_known:
         cols.append(F.last(f"_l_{o}", ignorenulls=True).over(earlier).alias(f"_c_l_{o}"))
     for o in next_known:
-        cols.append(F.first(f"_n_{o}", ignorenulls=True).over(later).alias(f"_c_n_{o}"))
+        cols.append(F.last(f"_n_{o}", ignorenulls=True).over(later).alias(f"_c_n_{o}"))
     split_groups = F.col("_c_rows").isNotNull() | F.col("_c_more").isNotNull()
     return per_chunk.select(*cols).filter(split_groups)
 

@@ -73,7 +73,7 @@ def lap_flags(laps: DataFrame) -> DataFrame:
 
 def capped(gap: Column, cap: float) -> Column:
     """Gap limited to [0, cap]; no neighbour gives the cap."""
-    return F.coalesce(F.least(F.greatest(gap, F.lit(0)), F.lit(cap)), F.lit(cap))
+    return F.least(F.greatest(F.coalesce(gap, F.lit(cap)), F.lit(0)), F.lit(cap))
 
 
 def rank_and_gaps(df: DataFrame, group: Sequence[str], time: str, tie: str = "driver_id",
