@@ -588,16 +588,19 @@ dist AS (SELECT driver_id, AVG(position) AS mean_position, AVG(finish_time) AS m
 
 @query("a16_finish_distribution", SAMPLES_SQL + """
 SELECT driver_id, ROUND(mean_position, 6) AS mean_position, ROUND(mean_finish_time, 6) AS mean_finish_time,
-  ROUND(finish_time_p5, 6) AS finish_time_p5, ROUND(finish_time_p95, 6) AS finish_time_p95, ROUND(p_first, 6) AS p_first, 1.0::DOUBLE AS p_all FROM dist
+  ROUND(finish_time_p5, 6) AS finish_time_p5, ROUND(finish_time_p95, 6) AS finish_time_p95 FROM dist
 """)
 def a16(spark, root):
     dist = agg.finish_distribution(samples(spark, root))
-    chances = F.map_values("position_probabilities")
-    return dist.select(
-        "driver_id", *[F.round(c, 6).alias(c) for c in ("mean_position", "mean_finish_time", "finish_time_p5", "finish_time_p95")],
-        F.round(F.coalesce(F.try_element_at("position_probabilities", F.lit(1).cast("bigint")), F.lit(0.0)), 6).alias("p_first"),
-        F.round(F.aggregate(chances, F.lit(0.0), lambda a, x: a + x), 6).alias("p_all"),
-    )
+    return rounded(dist, "mean_position", "mean_finish_time", "finish_time_p5", "finish_time_p95")
+
+
+@query("a16_finish_positions", SAMPLES_SQL + """
+, n AS (SELECT driver_id, position, COUNT(*) AS n FROM placed GROUP BY 1, 2)
+SELECT driver_id, position, ROUND(n / SUM(n) OVER (PARTITION BY driver_id), 6) AS probability FROM n
+""")
+def a16_positions(spark, root):
+    return rounded(agg.finish_positions(samples(spark, root)), "probability")
 
 
 @query("a17_position_gain", SAMPLES_SQL + """
@@ -651,13 +654,16 @@ def t02(spark, root):
 
 
 @query("t03_current_event", """
-, target AS (SELECT COALESCE((SELECT MIN(round_number) FROM schedule WHERE race_date >= DATE '1996-01-01'), (SELECT MAX(round_number) FROM schedule)) AS t)
-SELECT 1996 AS season, round_number, strftime(race_date, '%Y-%m-%d') AS race_date FROM schedule JOIN target ON t = round_number
+, plan AS (SELECT year(o_orderdate) AS season, o_orderkey AS round_number, CAST(o_orderdate AS DATE) AS race_date FROM orders),
+target AS (SELECT season, COALESCE(MIN(round_number) FILTER (WHERE race_date >= DATE '1995-12-20'), MAX(round_number)) AS round_number FROM plan GROUP BY 1)
+SELECT CAST(season AS INT) AS season, round_number, strftime(race_date, '%Y-%m-%d') AS race_date FROM plan JOIN target USING (season, round_number)
 """)
 def t03(spark, root):
-    plan = v.schedule(spark, root).withColumn("season", F.lit(1996))
-    races = plan.select("season", "round_number", "race_date")
-    rows = reshape.current_event(plan, races, date(1996, 1, 1))
+    """Every order is a round of its year, in key order."""
+    plan = v.read(spark, root, "orders").select(
+        F.year("o_orderdate").alias("season"), F.col("o_orderkey").alias("round_number"), F.col("o_orderdate").cast("date").alias("race_date")
+    )
+    rows = reshape.current_event(plan, plan, date(1995, 12, 20))
     return rows.select("season", "round_number", F.date_format("race_date", "yyyy-MM-dd").alias("race_date"))
 
 

@@ -90,10 +90,10 @@ def g01(spark, root):
 
 
 def stints_ahead(spark, root) -> DataFrame:
-    """Up to eight laps from the current one; drivers on the last lap have none."""
+    """All laps left from the current one; drivers on the last lap have none."""
     return projection.spread(state(spark, root), DRIVER).select(
         *DRIVER, (F.col("lap_number") + 1).alias("start_lap"),
-        F.least(F.col("total_laps") - F.col("lap_number"), F.lit(8)).alias("n_laps"),
+        (F.col("total_laps") - F.col("lap_number")).alias("n_laps"),
         F.col("tyre_age_laps").alias("start_age"), "total_laps", "compound", "circuit_code", "driver_code",
     )
 
@@ -101,7 +101,7 @@ def stints_ahead(spark, root) -> DataFrame:
 EXPAND_SQL = STATE_SQL + f"""
 , expanded AS (SELECT session_id, driver_id, lap_number + i AS lap_number, code AS compound_encoded, tyre_age_laps + i - 1 AS tyre_age_laps,
     {fuel_sql('lap_number + i', 'total_laps')} AS fuel_adjusted_time, circuit_code, driver_code
-  FROM (SELECT *, UNNEST(range(1, LEAST(total_laps - lap_number, 8) + 1)) AS i FROM state))
+  FROM (SELECT *, UNNEST(range(1, total_laps - lap_number + 1)) AS i FROM state))
 """
 
 

@@ -136,9 +136,8 @@ def r03(spark, root):
 @query("r03_latest_car_stream", LATEST_SQL)
 def r03_stream(spark, root):
     rows, path = car_rows(spark, root), new_path(spark, "r03")
-    schema = "session_id string, car_number string, speed_kmh double, throttle_pct double, brake boolean, gear int, drs string, ts timestamp"
-    in_parts(spark, [rows.filter("lap_number <= 8"), rows.filter("lap_number > 8")], lambda s: live.store_latest(live.latest_car(s), path, schema))
-    return _shown(live.Versioned(spark, f"{path}/latest", schema).latest())
+    in_parts(spark, [rows.filter("lap_number <= 8"), rows.filter("lap_number > 8")], lambda s: live.store_latest(s, live.latest_car, path))
+    return _shown(live.read_latest(spark, path, ("session_id", "car_number"), live.CHANNEL_FIELDS))
 
 
 @query("r03_fresh_cars", f"""
@@ -306,12 +305,12 @@ def r10(spark, root):
 @query("r10_window_rule_stream", RULES_SQL + "SELECT rule, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, ROUND(value, 6) AS value, firing FROM windows WHERE rule = 'low_hit_rate'")
 def r10_stream(spark, root):
     log = v.request_log(spark, root).withColumn("ts", F.col("ts").cast("timestamp"))
-    path, schema = new_path(spark, "r10"), "rule string, window_start timestamp, value double, firing boolean"
+    path = new_path(spark, "r10")
     in_parts(
         spark, [log.filter("ts < '2024-01-15'"), log.filter("ts >= '2024-01-15'")],
-        lambda s: live.store_latest(rules.window_rule_stream(s, RULES[2]), path, schema),
+        lambda s: live.store_updates(rules.window_rule_stream(s, RULES[2]), path),
     )
-    rows = live.Versioned(spark, f"{path}/latest", schema).latest()
+    rows = live.read_updates(spark, path, ["rule", "window_start"])
     return rows.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
 
 
@@ -329,11 +328,11 @@ def r11(spark, root):
 
 @query("s08_replay_stream", """
 SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(driver_id AS VARCHAR) AS driver_id, lap_number, ROUND(lap_ms / 1000.0, 6) AS lap_time_seconds,
-  ROW_NUMBER() OVER (ORDER BY lap_number, CAST(driver_id AS VARCHAR)) AS seq FROM laps WHERE session_id = 1 AND lap_ms IS NOT NULL
+  ROW_NUMBER() OVER (ORDER BY lap_number, CAST(driver_id AS VARCHAR), session_id) AS seq FROM laps WHERE lap_ms IS NOT NULL
 """)
 def s08(spark, root):
-    """One stored session replayed as a stream, as the operator is defined."""
-    folder, out = feed.replay_laps(lap_records(spark, root), "1", 4), new_path(spark, "s08")
+    """All stored sessions replayed together as a stream."""
+    folder, out = feed.replay_laps(lap_records(spark, root), batches=4), new_path(spark, "s08")
     stream = feed.read_replay(spark, folder, 4)
     live.start_batches(stream, lambda b, i: live.write_batch(b, f"{out}/rows", i), f"{out}/checkpoint").awaitTermination()
     return live.read_batches(spark, f"{out}/rows").select("session_id", "driver_id", "lap_number", "lap_time_seconds", "seq")

@@ -205,12 +205,14 @@ def deflate_text(text: pd.Series) -> pd.Series:
 
 
 @query("p19_inflate_cars", f"""
-SELECT session_id, driver_id, lap_number, CAST(driver_id AS VARCHAR) AS car_number, FALSE AS rejected, {CHANNEL_SQL} FROM laps WHERE lap_number % 7 <> 0 AND lap_number % 9 <> 0
-UNION ALL SELECT session_id, driver_id, lap_number, NULL, TRUE, NULL, NULL, NULL, NULL, NULL FROM laps WHERE lap_number % 7 <> 0 AND lap_number % 9 = 0
+SELECT session_id, driver_id, lap_number, CAST(driver_id AS VARCHAR) AS car_number, FALSE AS rejected, {CHANNEL_SQL} FROM laps WHERE lap_number % 9 <> 0
+UNION ALL SELECT session_id, driver_id, lap_number, NULL, TRUE, NULL, NULL, NULL, NULL, NULL FROM laps WHERE lap_number % 9 = 0
 """)
 def p19(spark, root):
-    message = F.format_string('{"Cars": {"%s": %s}}', F.col("driver_id").cast("string"), F.col("entry"))
-    packed = entries(spark, root).filter("lap_number % 7 <> 0").select(
+    """A payload per lap; every ninth is broken, every seventh car has no channels."""
+    entry = F.when(F.col("lap_number") % 7 == 0, "{}").otherwise(F.col("entry"))
+    message = F.format_string('{"Cars": {"%s": %s}}', F.col("driver_id").cast("string"), entry)
+    packed = entries(spark, root).select(
         *LAP, F.when(F.col("lap_number") % 9 == 0, "not deflate").otherwise(deflate_text(message)).alias("payload")
     )
     cars, rejects = feed.inflate_cars(packed)

@@ -227,23 +227,28 @@ def auc(pred: DataFrame, by: str = "fold", label: str = "label", score: str = "s
     return folds.filter("_p > 0 and _q > 0").select(by, area.alias("auc"))
 
 
-def finish_distribution(samples: DataFrame, time: str = "finish_time") -> DataFrame:
-    """Per driver: chance of each position, mean position, mean, 5 % and 95 % finish time."""
+def _position_counts(samples: DataFrame, time: str) -> DataFrame:
     placed = over_order(samples, ["sim"], [time, "driver_id"], rank="position")
-    per_place = placed.groupBy("driver_id", "position").agg(F.count(F.lit(1)).alias("_n"))
-    places = per_place.groupBy("driver_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("position", "_n")))).alias("_counts"),
-        F.sum("_n").alias("_total"),
-        (F.sum(F.col("position") * F.col("_n")) / F.sum("_n")).alias("mean_position"),
+    return placed.groupBy("driver_id", "position").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def finish_positions(samples: DataFrame, time: str = "finish_time") -> DataFrame:
+    """Chance of each finishing position per driver, one row per position that occurs."""
+    counts = _position_counts(samples, time)
+    totals = counts.groupBy("driver_id").agg(F.sum("_n").alias("_total"))
+    return join_lookup(counts, totals, ["driver_id"]).select(
+        "driver_id", "position", (F.col("_n") / F.col("_total")).alias("probability")
+    )
+
+
+def finish_distribution(samples: DataFrame, time: str = "finish_time") -> DataFrame:
+    """Per driver: mean position, mean, 5 % and 95 % finish time over the runs."""
+    places = _position_counts(samples, time).groupBy("driver_id").agg(
+        (F.sum(F.col("position") * F.col("_n")) / F.sum("_n")).alias("mean_position")
     )
-    chance = F.transform_values("_counts", lambda _, n: n / F.col("_total"))
     means = samples.groupBy("driver_id").agg(F.avg(time).alias("mean_finish_time"))
     tails = exact_quantiles(samples, ["driver_id"], time, {"finish_time_p5": 0.05, "finish_time_p95": 0.95})
-    return (
-        places.select("driver_id", chance.alias("position_probabilities"), "mean_position")
-        .join(means, "driver_id")
-        .join(tails, "driver_id")
-    )
+    return places.join(means, "driver_id").join(tails, "driver_id")
 
 
 def position_gain(distribution: DataFrame, grid: DataFrame) -> DataFrame:

@@ -93,28 +93,24 @@ def asof_nearest(
     """Attach to each left row the right row closest in time, inside each ``by`` group.
 
     Equal distances take the earlier right row; rows with a NULL time are dropped; there
-    is no tolerance.  The ids make row order unique.  Right columns must not share names
+    is no tolerance.  The ids make row order unique, so that even rows of one instant can
+    be split over tasks.  Right columns must not share names
     with left ones, except for ``by``.
     """
     by = list(by)
     carried = [c for c in right.columns if c not in by]
     sample = F.struct(F.col(right_on).alias("_at"), *carried)
-    row = F.struct(*left.columns)
-    lt = left.filter(F.col(left_on).isNotNull())
-    rt = right.filter(F.col(right_on).isNotNull())
-    left_type = F.struct(*left_id)
-    right_type = F.struct(*right_id)
-    both = lt.select(
+    rows = left.filter(F.col(left_on).isNotNull()).select(
         *by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"),
-        F.to_json(left_type).alias("_id"), row.alias("_row"),
-    ).unionByName(
-        rt.select(
-            *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"),
-            F.to_json(right_type).alias("_id"), *_id_sort(right_id), sample.alias("_sample"),
-        ),
-        allowMissingColumns=True,
-    )
-    order = ["_t", "_side", *[f"_o{i}" for i in range(len(right_id))], "_id"]
+        *[F.col(c).alias(f"_l{i}") for i, c in enumerate(left_id)], F.struct(*left.columns).alias("_row"),
+    )
+    samples = right.filter(F.col(right_on).isNotNull()).select(
+        *by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"),
+        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(right_id)], sample.alias("_sample"),
+    )
+    both = rows.unionByName(samples, allowMissingColumns=True)
+    ids = [f"_r{i}" for i in range(len(right_id))] + [f"_l{i}" for i in range(len(left_id))]
+    order = ["_t", "_side", *ids]
     scanned = over_order(
         both, by, order, last_known={"_before": "_sample"}, next_known={"_after": "_sample"}
     ).filter("_side = 1")
@@ -126,10 +122,6 @@ def asof_nearest(
     )
 
 
-def _id_sort(ids: Sequence[str]) -> list[Column]:
-    return [F.col(c).alias(f"_o{i}") for i, c in enumerate(ids)]
-
-
 def _micros(name: str) -> Column:
     """Position of a timestamp or number on the time axis."""
     return F.unix_micros(F.col(name).cast("timestamp"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock import fixed
+from paddock.operators.lookups import join_lookup
 from paddock.operators.ordered import ranked
 
 
@@ -36,7 +37,10 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 
 
 def current_event(schedule: DataFrame, races: DataFrame, today: date) -> DataFrame:
-    """Race of the first scheduled round on or after ``today``, else of the last round."""
+    """Race of the first scheduled round on or after ``today``, else of the last round.
+
+    Rounds are in ``row_order`` when the schedule has it, else in round order.
+    """
     day = F.lit(today)
     ahead = F.min_by(
         F.col("round_number"),
@@ -47,7 +51,7 @@ def current_event(schedule: DataFrame, races: DataFrame, today: date) -> DataFra
         "row_order", F.col("round_number")
     )
     target = ordered.groupBy("season").agg(F.coalesce(ahead, last).alias("round_number"))
-    return races.join(F.broadcast(target), ["season", "round_number"])
+    return join_lookup(races, target, ["season", "round_number"], "inner")
 
 
 def upcoming_sessions(schedule: DataFrame, now: datetime, minutes: int = 10) -> DataFrame:

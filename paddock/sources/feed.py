@@ -52,18 +52,19 @@ def lap_event_json(laps: DataFrame) -> DataFrame:
     return laps.select("session_id", lap_event().alias("value"))
 
 
-def replay_laps(laps: DataFrame, session_id, batches: int = 10, path: str | None = None) -> str:
-    """Write a session's timed lap events as numbered JSON files in (lap, driver) order.
+def replay_laps(laps: DataFrame, session_id=None, batches: int = 10, path: str | None = None) -> str:
+    """Write timed lap events as numbered JSON files in (lap, driver) order, of one session
+    or (``session_id`` None) of all of them side by side.
 
     Rows are cut into ``batches`` equal runs of the order; reading the folder with
     ``maxFilesPerTrigger`` replays the session.  Returns the folder.
     """
     spark = laps.sparkSession
     path = path or new_path(spark, "replay")
-    timed = laps.filter(
-        (F.col("session_id") == session_id) & F.col("lap_time_seconds").isNotNull()
-    ).select(*LAP_EVENT)
-    placed = over_order(timed, [], ["lap_number", "driver_id"], rank="seq")
+    timed = laps.filter(F.col("lap_time_seconds").isNotNull()).select(*LAP_EVENT)
+    if session_id is not None:
+        timed = timed.filter(F.col("session_id") == session_id)
+    placed = over_order(timed, [], ["lap_number", "driver_id", "session_id"], rank="seq")
     rows = timed.count()
     size = max(1, -(-rows // batches))
     numbered = placed.withColumn("batch", F.floor((F.col("seq") - 1) / size).cast("int"))

@@ -195,33 +195,69 @@ def latest_weather(weather: DataFrame, keys: Sequence[str] = ("session_id",)) ->
     return latest_samples(read, keys, ("track_temp", "air_temp"))
 
 
-def store_latest(latest: DataFrame, path: str, schema: str, **trigger) -> StreamingQuery:
-    """Keep a streaming latest-value aggregate as a versioned table under ``path``."""
-    table = Versioned(latest.sparkSession, f"{path}/latest", schema)
+def store_latest(
+    samples: DataFrame, latest: Callable[[DataFrame], DataFrame], path: str, **trigger
+) -> StreamingQuery:
+    """Write each batch's newest sample per key.
+
+    Nothing is kept in stream state: the newest of the batches' newest is the newest of
+    all (``read_latest``), and samples go stale within seconds anyway.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(latest(batch), f"{path}/latest", batch_id)
+
+    return start_batches(samples, each, f"{path}/checkpoint", **trigger)
+
+
+def read_latest(
+    spark: SparkSession, path: str, keys: Sequence[str], value: Sequence[str], ts: str = "ts"
+) -> DataFrame:
+    return latest_samples(read_batches(spark, f"{path}/latest"), keys, value, ts)
+
+
+def store_updates(updates: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """Write the changed rows of a streaming aggregate batch by batch (update mode)."""
     return (
-        latest.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, batch_id: table.write(batch, batch_id))
+        updates.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, f"{path}/updates", batch_id))
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last written row per key."""
+    rows = read_batches(spark, f"{path}/updates")
+    return top_k(rows, keys, [F.desc("batch_id")], 1).drop("batch_id")
+
+
 LAP_KEYS = ("session_id", "driver_id", "lap_number")
+PRUNED_SESSIONS = 1000
 
 
 def upsert_laps(laps: DataFrame, target: str, checkpoint: str, ts: str = "created_at",
                 watermark: str = WATERMARK, **trigger) -> StreamingQuery:
     """Append completed laps once per key: duplicates inside the watermark are dropped by
-    state, older ones by an anti join with the target table."""
+    state, older ones by an anti join with the target table.
+
+    The target is partitioned by session, and a batch of up to 1000 sessions reads only
+    those partitions of it.
+    """
     spark = laps.sparkSession
     once = laps.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(LAP_KEYS))
     schema = laps.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(target)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("session_id").parquet(target)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        rows = materialise(batch, "upsert")
         held = spark.read.schema(schema).parquet(target)
-        append_new(held, batch, LAP_KEYS, [ts]).write.mode("append").parquet(target)
+        touched = [r[0] for r in rows.select("session_id").distinct().limit(PRUNED_SESSIONS + 1).collect()]
+        if len(touched) <= PRUNED_SESSIONS:
+            held = held.filter(F.col("session_id").isin(*touched)) if touched else held.limit(0)
+        fresh = append_new(held, rows, LAP_KEYS, [ts])
+        fresh.write.mode("append").partitionBy("session_id").parquet(target)
 
     return start_batches(once, each, checkpoint, **trigger)
 

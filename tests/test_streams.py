@@ -102,10 +102,9 @@ def test_latest_stream_ignores_arrival_order(spark):
     data = [("s", str(c), NOW + timedelta(seconds=i), ({"2": float(c * 100 + i)},)) for c in range(3) for i in range(10)]
     df = spark.createDataFrame(data, schema)
     path = new_path(spark, "latest")
-    out = "session_id string, car_number string, speed_kmh double, throttle_pct double, brake boolean, gear int, drs string, ts timestamp"
     late_first = [df.filter("pmod(hash(ts), 2) = 0"), df.filter("pmod(hash(ts), 2) = 1")]
-    run_parts(spark, late_first, lambda s: live.store_latest(live.latest_car(s), path, out))
-    got = live.Versioned(spark, f"{path}/latest", out).latest()
+    run_parts(spark, late_first, lambda s: live.store_latest(s, live.latest_car, path))
+    got = live.read_latest(spark, path, ("session_id", "car_number"), live.CHANNEL_FIELDS)
     assert rows(got) == rows(live.latest_car(df))
 
 
