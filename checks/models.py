@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from checks.base import query
 from checks.relational import DRIVER, STYLE_SQL, circuit_flags, season_laps, season_stints, with_season
-from checks.strategy import STATE_SQL, fuel_sql, pit_score, pit_sql, state, tyre_score, tyre_sql, rounded, cdf_sql, NOISE_SQL, GAPPED_SQL
-from checks.values import lap_records
+from checks.strategy import GAPPED_SQL, STATE_SQL, fuel_sql, pit_score, pit_sql, rounded, state, tyre_score, tyre_sql
 from paddock import fixed
 from paddock.functions.scalars import season_split
-from paddock.ml import explain, pits, registry, scoring, styles, tyres
+from paddock.ml import explain, pits, registry, scoring, styles, training, tyres
 from paddock.operators import aggregates as agg
 from paddock.operators import encode
 from paddock.plans import pitstops
+from paddock.scratch import new_path
 from paddock.sources import lapview as v
 
 QUICK = tyres.BoostParams(rounds=3, depth=3, folds=2)
@@ -23,7 +23,7 @@ QUICK = tyres.BoostParams(rounds=3, depth=3, folds=2)
 def model_laps(spark, root) -> tuple[DataFrame, dict[str, DataFrame]]:
     held = with_season(spark, root, v.laps(spark, root)).select(
         "session_id", "driver_id", "lap_number", "season", "circuit_id", "circuit_name", "compound",
-        "tyre_age_laps", "is_valid", "position", "track_temp", "air_temp",
+        "tyre_age_laps", "is_valid", "position", "track_status", "track_temp", "air_temp",
         (F.col("lap_ms") / 1000.0).alias("lap_time_seconds"),
     )
     return held, {c: encode.code_table(held, c) for c in ("circuit_id", "driver_id")}
@@ -31,7 +31,7 @@ def model_laps(spark, root) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 def _tyres(spark, root, cv: bool = False) -> tuple[tyres.TyreModels, DataFrame, dict]:
     held, codes = model_laps(spark, root)
-    train, holdout = season_split(tyres.tyre_features(held, codes))
+    train, holdout = (tyres.tyre_features(part, codes) for part in season_split(held))
     return tyres.fit_tyre_models(train, holdout, QUICK, cv), train, codes
 
 
@@ -46,11 +46,16 @@ def h01(spark, root):
 def pit_frame(spark, root) -> DataFrame:
     held, codes = model_laps(spark, root)
     rates = agg.fit_sc_rates(circuit_flags(spark, root))
-    return pits.pit_training_frame(encode.apply_codes(held, codes), v.stints(spark, root), tyre_rank_score, rates)
+    return pits.pit_training_frame(encode.apply_codes(held, codes), v.stints(spark, root), tyre_score, rates)
 
 
-def tyre_rank_score(df: DataFrame) -> DataFrame:
-    return tyre_score(df)
+@query("h05_training_run")
+def h05_run(spark, root):
+    """A whole training run into an empty store: every model is new, so all are promoted."""
+    held, _ = model_laps(spark, root)
+    store = registry.ModelStore(spark, new_path(spark, "store"))
+    rows = training.train_all(held, v.stints(spark, root), store, "20240101-000000", QUICK, cv=False)
+    return rows.select("model_name", "version", "promotion_basis", "promoted", F.round("holdout_mae", 6).alias("holdout_mae"))
 
 
 @query("h02_pit_model")
@@ -63,7 +68,8 @@ def h02(spark, root):
 
 
 PIT_FRAME_SQL = """
-, timed AS (SELECT l.*, c.circuit_name, c.circuit_id AS circuit_code, MAX(lap_number) OVER (PARTITION BY l.session_id) AS n FROM laps l JOIN context c ON c.session_id = l.session_id WHERE lap_ms IS NOT NULL AND position IS NOT NULL),
+, timed AS (SELECT l.*, c.circuit_name, c.circuit_id AS circuit_code, m.n FROM laps l JOIN context c ON c.session_id = l.session_id
+  JOIN (SELECT session_id, MAX(lap_number) AS n FROM laps WHERE lap_ms IS NOT NULL GROUP BY 1) m ON m.session_id = l.session_id WHERE lap_ms IS NOT NULL AND position IS NOT NULL),
 ids AS (SELECT driver_id, CAST(ROW_NUMBER() OVER (ORDER BY driver_id) - 1 AS INT) AS driver_code FROM (SELECT DISTINCT driver_id FROM laps)),
 run AS (SELECT *, SUM(lap_ms) OVER (PARTITION BY session_id, driver_id ORDER BY lap_number) AS run FROM timed JOIN ids USING (driver_id)),
 near AS (SELECT r.*, LEAST(GREATEST(COALESCE(r.run - a.run, 120000), 0), 120000) / 1000.0 AS ahead, LEAST(GREATEST(COALESCE(b.run - r.run, 120000), 0), 120000) / 1000.0 AS behind

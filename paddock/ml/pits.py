@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paddock import fixed
 from paddock.functions.scalars import compound_code, compound_model, fuel_features
-from paddock.ml.tyres import BoostParams
+from paddock.ml.tyres import BoostParams, positive_score
 from paddock.operators.aggregates import auc
 from paddock.operators.encode import group_folds
 from paddock.operators.joins import LAP_KEYS, gap_features, label_pit_laps
@@ -34,10 +34,11 @@ class PitModel:
 def pit_training_frame(laps: DataFrame, stints: DataFrame, score_tyre: Score, rates: DataFrame) -> DataFrame:
     """All timed laps with the eight pit features and the label.
 
-    ``laps`` has season context and the encoded ids.  Rows without a position drop out.
+    ``laps`` has season context and the encoded ids.  The race length is that of all timed
+    laps; rows without a position drop out after that.
     """
     timed = laps.filter(F.col("lap_time_seconds").isNotNull())
-    rows = label_pit_laps(fuel_features(progress_features(gap_features(timed))), stints)
+    rows = label_pit_laps(fuel_features(gap_features(progress_features(timed))), stints)
     coded = rows.withColumns(
         {"compound_encoded": compound_code("compound"), "tyre_model": compound_model("compound")}
     )
@@ -93,3 +94,9 @@ def fit_pit_model(train: DataFrame, params: BoostParams = BoostParams(), cv: boo
         if scored is not None:
             area = auc(materialise(scored, "pit-scored")).agg(F.avg("auc")).first()[0]
     return PitModel(_pipeline(params).fit(weighted), area, n, p)
+
+
+def pit_holdout_mae(model: PipelineModel, holdout: DataFrame) -> float | None:
+    """Mean distance between the pit probability and the label, None without rows."""
+    error = F.abs(F.col("prediction") - F.col("did_pit_this_lap").cast("double"))
+    return positive_score(model)(holdout).agg(F.avg(error)).first()[0]

@@ -39,12 +39,18 @@ class ModelStore:
         empty.write.mode("append").parquet(f"{self.root}/registry")
         return self.spark.read.schema(TABLES["model_registry"]).parquet(f"{self.root}/registry")
 
-    def save(self, name: str, version: str, model: PipelineModel) -> str:
+    def save(self, name: str, version: str, model: PipelineModel | DataFrame) -> str:
+        """Save a fitted pipeline, or a table that serves as a model."""
         path = f"{self.root}/models/{name}/{version}"
-        model.write().overwrite().save(path)
+        if isinstance(model, DataFrame):
+            model.write.mode("overwrite").parquet(path)
+        else:
+            model.write().overwrite().save(path)
         return path
 
-    def publish(self, version: str, models: dict[str, tuple[PipelineModel, float | None, float | None]]) -> DataFrame:
+    def publish(
+        self, version: str, models: dict[str, tuple[PipelineModel | DataFrame, float | None, float | None]]
+    ) -> DataFrame:
         """Save {name: (model, holdout_mae, cv_mae)}, decide promotion, append to the registry."""
         rows = [
             (name, version, holdout, cv, self.save(name, version, model))
@@ -59,10 +65,19 @@ class ModelStore:
         decided.write.mode("append").parquet(f"{self.root}/registry")
         return self.registry().filter(F.col("version") == version)
 
-    def production(self, name: str) -> PipelineModel | None:
-        """Newest promoted model of a name."""
+    def _production_path(self, name: str) -> str | None:
         row = (
             self.registry().filter((F.col("model_name") == name) & F.col("promoted"))
             .orderBy(F.desc("version")).select("path").first()
         )
-        return None if row is None else PipelineModel.load(row["path"])
+        return None if row is None else row["path"]
+
+    def production(self, name: str) -> PipelineModel | None:
+        """Newest promoted model of a name."""
+        path = self._production_path(name)
+        return None if path is None else PipelineModel.load(path)
+
+    def production_table(self, name: str) -> DataFrame | None:
+        """Newest promoted table of a name."""
+        path = self._production_path(name)
+        return None if path is None else self.spark.read.parquet(path)

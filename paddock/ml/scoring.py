@@ -72,7 +72,7 @@ def score_laps(
         *key, "_delta", "life_remaining", "safety_car_probability", F.col("prediction").alias("pit_probability")
     )
 
-    roles = materialise(undercut_roles(state, score_tyre), "roles")
+    roles = undercut_roles(state, score_tyre)
     elapsed = elapsed_time(laps)
     ahead = held.filter("ahead_driver_id is not null").select(
         *DRIVER, F.col("ahead_driver_id").alias("target_driver_id")

@@ -54,10 +54,13 @@ def tyre_features(laps: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
     """Training frame: valid timed laps with encodings, fuel, delta and imputed weather.
 
     ``laps`` has circuit_id; ``codes`` holds the code tables of circuit_id and driver_id.
+    Each compound has a model of its own, so medians are over the compound's laps.  Build
+    the frames of training and holdout laps separately: imputed means must not mix.
     """
     valid = laps.filter(F.col("is_valid") & F.col("lap_time_seconds").isNotNull())
-    sized = laps_in_session(valid)
-    coded = apply_codes(impute_weather(lap_time_delta(fuel_features(sized))), dict(codes))
+    fuelled = fuel_features(laps_in_session(valid))
+    deltas = lap_time_delta(fuelled, keys=("session_id", "driver_id", "compound"))
+    coded = apply_codes(impute_weather(deltas), dict(codes))
     return coded.withColumns(
         {"compound_encoded": compound_code("compound"), "tyre_model": compound_model("compound")}
     )

@@ -38,7 +38,7 @@ def fold_table(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Fold per group, no group in two folds: groups by size, dealt out in turn."""
     sizes = df.groupBy(group).agg((-F.count(F.lit(1))).alias("_neg"))
     numbered = ranked(sizes, [], ["_neg", group], "_r")
-    folds = max(1, min(k, numbered.count()))
+    folds = max(1, sizes.limit(k).count())
     return numbered.select(group, ((F.col("_r") - 1) % folds).cast("int").alias("fold"))
 
 

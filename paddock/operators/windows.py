@@ -37,12 +37,17 @@ def session_gaps(laps: DataFrame, time: str = "lap_time_seconds") -> DataFrame:
     )
 
 
-def lap_time_delta(laps: DataFrame, time: str = "lap_time_seconds") -> DataFrame:
-    """Lap time minus the driver's exact median in the session."""
-    medians = laps.groupBy(*DRIVER).agg(
+def lap_time_delta(
+    laps: DataFrame, time: str = "lap_time_seconds", keys: Sequence[str] = DRIVER
+) -> DataFrame:
+    """Lap time minus the exact median of the driver's laps in the session.
+
+    ``keys`` may add columns, such as the compound, to take medians over fewer laps.
+    """
+    medians = laps.groupBy(*keys).agg(
         F.median(time).alias("_median"), F.max("lap_number").alias("last_lap")
     )
-    joined = attach_per_driver(laps, medians)
+    joined = attach_per_driver(laps, medians, keys)
     return joined.select(*laps.columns, (F.col(time) - F.col("_median")).alias("lap_time_delta"))
 
 

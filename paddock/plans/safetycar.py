@@ -42,3 +42,9 @@ def with_sc_rate(df: DataFrame, rates: DataFrame) -> DataFrame:
         * F.when(F.col("circuit_name").isin(*fixed.STREET_CIRCUITS), fixed.SC_STREET).otherwise(1.0)
     )
     return join_lookup(df, per, ["circuit_name"]).withColumn("_lambda", base * factor).drop("_rate")
+
+
+def sc_holdout_mae(flags: DataFrame, rates: DataFrame) -> float | None:
+    """Mean distance between the next-lap chance and the onset flag, None without rows."""
+    error = F.abs(F.col("safety_car_probability") - F.col("is_sc_event").cast("double"))
+    return with_next_lap_sc(flags, rates).agg(F.avg(error)).first()[0]

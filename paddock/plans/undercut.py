@@ -11,6 +11,7 @@ from paddock import fixed
 from paddock.functions.scalars import normal_cdf
 from paddock.operators.aggregates import DRIVER
 from paddock.plans.projection import Score, project_stints, spread
+from paddock.scratch import materialise
 
 # Three independent stint draws over n, 1 and n - 1 laps.
 NOISE = fixed.LAP_NOISE_SECONDS * math.sqrt(2 * fixed.UNDERCUT_LAPS)
@@ -51,7 +52,7 @@ def undercut_roles(state: DataFrame, score: Score, laps: int = fixed.UNDERCUT_LA
 
 
 def _faced(pairs: DataFrame, roles: DataFrame, elapsed: DataFrame, now: str, later: str) -> DataFrame:
-    held = roles.join(elapsed, list(DRIVER))
+    held = materialise(roles.join(elapsed, list(DRIVER)), "roles")
     a = held.select("session_id", F.col("driver_id").alias(now), F.col("pit_now").alias("_a"),
                     F.col("elapsed").alias("_ta"))
     b = held.select("session_id", F.col("driver_id").alias(later), F.col("pit_next").alias("_b"),

@@ -83,8 +83,10 @@ def evaluate_plans(
     together, so no plan is paired with every rival.
     """
     state, elapsed = materialise(state, "state"), materialise(elapsed, "elapsed")
-    finishes = plan_finishes(state, elapsed, plans, score)
-    rivals = plan_finishes(state, elapsed, rival_plans(state, overview), score)
+    # One row per plan: written before the ordered pass, which would project them again to
+    # find its ranges.
+    finishes = materialise(plan_finishes(state, elapsed, plans, score), "finishes")
+    rivals = materialise(plan_finishes(state, elapsed, rival_plans(state, overview), score), "rivals")
     own = rivals.select(*DRIVER, F.col("finish_seconds").alias("_own"))
     both = finishes.withColumn("_rival", F.lit(0)).unionByName(rivals.withColumn("_rival", F.lit(1)))
     placed = over_order(

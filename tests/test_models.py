@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from paddock import fixed
-from paddock.ml import explain, pits, registry, styles, tyres
+from paddock.ml import explain, pits, registry, styles, training, tyres
 from paddock.operators import aggregates as agg
 from paddock.operators import encode
 from paddock.scratch import new_path
@@ -106,6 +106,18 @@ def test_model_store(spark):
     assert store.production("m") is not None
 
 
+def test_training_run(spark, laps):
+    seasons = laps.withColumn("season", 2023 + F.substring("session_id", 2, 1).cast("int"))
+    stints = agg.build_stints(laps.withColumn("stint_number", F.floor((F.col("lap_number") - 1) / 15).cast("int") + 1))
+    store = registry.ModelStore(spark, new_path(spark, "run"))
+    first = {r.model_name: r for r in training.train_all(seasons, stints, store, "20250101-000000", QUICK, cv=False).collect()}
+    assert set(first) == {"tyre_soft", "tyre_hard", "safety_car", "pit"} and all(r.promoted for r in first.values())
+    assert all(r.holdout_mae is not None and r.promotion_basis == "holdout" for r in first.values())
+    again = training.train_all(seasons, stints, store, "20250102-000000", QUICK, cv=False).collect()
+    assert not any(r.promoted for r in again)
+    assert store.production("tyre_soft") is not None and store.production_table("safety_car").count() == 2
+
+
 def test_contributions(spark):
     df = spark.createDataFrame([("r", 3.0, 10.0)], "k string, x double, y double")
     score = lambda d: d.withColumn("prediction", 2 * F.col("x") - F.col("y"))
