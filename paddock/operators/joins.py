@@ -171,7 +171,7 @@ def label_pit_laps(laps: DataFrame, stints: DataFrame) -> DataFrame:
     return joined.select(*laps.columns, F.col("_pit").isNotNull().alias("did_pit_this_lap"))
 
 
-def match_subscriptions(events: DataFrame, subscriptions: DataFrame, salts: int = 16) -> DataFrame:
+def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events with driver_id and alert_type paired with the subscriptions that hold both."""
     wanted = (
         subscriptions.select(
@@ -180,7 +180,7 @@ def match_subscriptions(events: DataFrame, subscriptions: DataFrame, salts: int
         .select("user_id", "driver_id", F.explode(F.array_distinct("alert_types")).alias("alert_type"))
         .distinct()
     )
-    return salted_join(events, wanted, ["driver_id", "alert_type"], "inner", salts)
+    return salted_join(events, wanted, ["driver_id", "alert_type"], "inner")
 
 
 def teammates(contracts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def teammates(contracts: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.select("driver_id", "season").join(contracts, ["driver_id", "season"])
     mates = contracts.select("team_id", "season", F.col("driver_id").alias("teammate_id"))
     return (
-        salted_join(mates, asked, ["team_id", "season"], "inner", 16)
+        salted_join(mates, asked, ["team_id", "season"], "inner")
         .filter("teammate_id <> driver_id")
         .select("driver_id", "season", "team_id", "teammate_id")
     )

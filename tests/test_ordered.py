@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paddock.operators.lapblocks import attach_per_driver, running_by_lap
-from paddock.operators.lookups import join_lookup, salted_join
+from paddock.operators.lookups import hot_keys, join_lookup, salted_join
 from paddock.operators.ordered import exact_quantiles, over_order, ranked
 from tests.conftest import rows
 
@@ -112,10 +112,18 @@ def test_lookup_join_takes_each_way(spark):
         assert "BroadcastHashJoin" in measured._jdf.queryExecution().executedPlan().toString()
         assert rows(measured) == want
         salted = join_lookup(left, right, ["k"], max_rows=0)
-        assert "BroadcastHashJoin" not in salted._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
         assert rows(salted) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert rows(salted_join(left, right, ["k"], "inner", 4)) == rows(left.join(right, "k"))
     with pytest.raises(ValueError):
         salted_join(left, right, ["k"], "full")
+
+
+def test_salting_only_repeats_hot_keys(spark):
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(4000)] + [(None, -1)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2)] + [(f"k{i}", i) for i in range(0, 4000, 4)], "k string, v int")
+    assert [r.k for r in hot_keys(left, ["k"]).collect()] == ["hot"]
+    for how in ("inner", "left"):
+        assert rows(salted_join(left, right, ["k"], how, 8)) == rows(left.join(right, "k", how))
