@@ -45,3 +45,34 @@ def materialise_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, in
     seen = Observation()
     held = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
     return held, int(seen.get["rows"])
+
+
+class Scratch:
+    """Tables that one job writes and reads again; emptied when it ends.
+
+    Rows that a caller gets lazily must not come from here.  A table is emptied by overwriting
+    it with no rows, which needs nothing but Spark's own writer, on any file system.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in list(self.paths):
+            self.drop(path)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, table: DataFrame | str) -> None:
+        path = table if isinstance(table, str) else table.scratch_path
+        self.paths.remove(path)
+        self.spark.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path)
