@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Shuffle files of a finished query go at once, not when the driver next collects garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # Spark 4.1 lets a union keep its children's partitioning; the adaptive planner may then
     # give the branches different partition counts, which fails at run time.
     "spark.sql.unionOutputPartitioning": "false",
