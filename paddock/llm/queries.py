@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import kneser_ney, near_dedup, neighbours, repetition
+from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, stream_vbyte
+from paddock.scratch import new_path
 from paddock.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,35 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash")
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+_SHINGLES = """
+  SELECT {key}, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS g FROM (
+    SELECT {key}, w, unnest(range(1, CAST(greatest(len(w) - 3, 1) AS BIGINT))) AS i FROM (
+      SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM {table}))
+"""
+
+OP5_SQL = f"""
+WITH items AS (SELECT DISTINCT * FROM ({_SHINGLES.format(key="item_id", table="benchmark")})),
+texts AS (SELECT DISTINCT * FROM ({_SHINGLES.format(key="doc_id", table="documents")})),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS s FROM texts JOIN items USING (g) GROUP BY doc_id, item_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(s AS BIGINT) AS n_shared
+FROM shared JOIN sizes USING (item_id) WHERE 100 * s >= 80 * n
+"""
+
+
+@query("op5_containment", OP5_SQL)
+def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_stream_vbyte")
+def op6_stream_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    path = new_path(spark, "token-file")
+    stream_vbyte.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return stream_vbyte.read(spark, path).drop("ids")
