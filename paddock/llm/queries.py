@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, stream_vbyte
+from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, stream_vbyte, url_templates
 from paddock.scratch import new_path
 from paddock.session import configure
 
@@ -140,3 +141,17 @@ def op6_stream_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-file")
     stream_vbyte.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return stream_vbyte.read(spark, path).drop("ids")
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad) by the document a page shows: the last number of its path is the doc_id."""
+    _, path = url_templates.parts(F.col("url"))
+    shown = pages.select("page_id", F.try_to_number(F.regexp_extract(path, "([0-9]{1,18})[^0-9/]*/?$", 1), F.lit("9" * 18)).cast("bigint").alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    return shown.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+
+
+@query("op10_url_templates")
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")))
