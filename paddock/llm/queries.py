@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, stream_vbyte, url_templates
+from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, site_style, stream_vbyte, url_templates
 from paddock.scratch import new_path
 from paddock.session import configure
 
@@ -155,3 +155,8 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op1_site_style")
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
