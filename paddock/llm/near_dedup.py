@@ -12,7 +12,8 @@ How the whole job is done without all pairs:
 * The centre of a bucket is the node that shares most buckets with others: of many edited
   copies that is the text they come from.
 * After components are formed, buckets that still hold several components get a new centre,
-  and its edges to nodes of other components are tested.
+  drawn for each bucket by hash, and its edges to nodes of other components are tested; so a node
+  apart from its family meets as many of its members as the two share buckets.  Then again.
 * What is then still undivided - pairs in one bucket, in different components, of sizes that
   allow the similarity, not tested yet - is tested pair by pair.  That is the exact way for the
   rest; for families of similar but not linked texts it may be many pairs.
@@ -43,7 +44,7 @@ from paddock.scratch import Scratch, materialise
 
 BANDS, WIDTH = 48, 5
 BINS = BANDS * WIDTH
-CENTRE_ROUNDS = 2
+CENTRE_ROUNDS = 4
 _donors: list[np.ndarray] = []
 
 
@@ -161,7 +162,7 @@ def near_duplicates(
         for turn in range(CENTRE_ROUNDS + 1):
             here = placed.join(home, "node")
             mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            rank = F.col("popular") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            rank = F.col("popular") if turn == 0 else F.xxhash64("bucket", "node", F.lit(turn))
             if turn < CENTRE_ROUNDS:
                 centre = here.groupBy("bucket").agg(
                     F.min("component").alias("lo"), F.max("component").alias("hi"),
