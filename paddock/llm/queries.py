@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import containment, kneser_ney, near_dedup, neighbours, repetition, site_style, stream_vbyte, url_templates
+from paddock.llm import containment, kneser_ney, near_dedup, neighbours, piece_lattice, repetition, site_style, stream_vbyte, url_templates
 from paddock.scratch import new_path
 from paddock.session import configure
 
@@ -160,3 +160,11 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_site_style")
 def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_gumbel_lattice")
+def op7_gumbel_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_lattice.sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
