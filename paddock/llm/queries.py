@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import containment, kneser_ney, near_dedup, neighbours, piece_lattice, repetition, site_style, stream_vbyte, url_templates
+from paddock.llm import containment, kneser_ney, near_dedup, neighbours, piece_lattice, repetition, site_style, stream_vbyte, suffix_dedup, url_templates
 from paddock.scratch import new_path
 from paddock.session import configure
 
@@ -168,3 +168,8 @@ def op7_gumbel_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_lattice.sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
+@query("op2_suffix_array")
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
