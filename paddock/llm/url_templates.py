@@ -64,8 +64,8 @@ def mask(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
-def _generalise(urls: DataFrame) -> DataFrame:
-    """Adds ``template`` to sums by (host, masked path)."""
+def _generalise(urls: DataFrame, tmp: Scratch) -> DataFrame:
+    """Adds ``template`` to sums by (host, masked path); each level is written, so that plans stay small."""
     segments = F.split("masked", "/", LEVELS + 1)  # what lies deeper stays in the last segment
     urls = urls.withColumns({"segments": segments, "template": F.lit("")})
     for level in range(1, LEVELS + 1):
@@ -81,6 +81,12 @@ def _generalise(urls: DataFrame) -> DataFrame:
                 F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))
             ),
         ).drop("wild", "segment")
+        urls = tmp.write(urls)
+        if level > 1:
+            tmp.drop(last)
+        last = urls
+        if urls.where(F.size("segments") > level + 1).isEmpty():
+            break
     return urls.drop("segments")
 
 
@@ -101,7 +107,7 @@ def judge_urls(
                 F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
             )
         )
-        urls = tmp.write(_generalise(urls))
+        urls = _generalise(urls, tmp)
         sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
         leaf = urls.groupBy("host", "template").agg(*sums).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
         pool = leaf.groupBy("host", "parent").agg(*[F.sum(c).alias(f"pool_{c}") for c in ("labelled", "bad")])
