@@ -193,3 +193,21 @@ def near_duplicates(
         out = out.select("doc_id", "n_shingles", F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
         # Rows of one doc_id with several texts are one node.
         return materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-result")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, with all its columns; rows without id stay.
+
+    Of rows that share the kept id the one with the lowest text stays.
+    """
+    found = near_duplicates(docs, words, percent, text, key)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs[key].cast("bigint") == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    rows = twice.select(F.col("doc_id").alias("_twice"))
+    single = left.join(rows, left[key].cast("bigint") == F.col("_twice"), "left_anti")
+    again = left.join(rows, left[key].cast("bigint") == F.col("_twice"), "left_semi")
+    lowest = again.groupBy(key).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (key, text)])).alias("_row"))
+    return single.unionByName(lowest.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in docs.columns]))

@@ -201,3 +201,16 @@ def classify(
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", labelled.held_out(F.col("doc_id")))
     return rows.mapInArrow(judge, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = PER_CLASS, text: str = "text"
+) -> DataFrame:
+    """The documents that score at least ``threshold``, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, per_class))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in tb.pieces(batches, text):
+            yield part.filter(pa.array(model.value.score(counts(data, offs)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

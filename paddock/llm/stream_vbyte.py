@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from paddock.scratch import Scratch
 END = 0
 BLOCK_IDS = 1 << 16
 PART_IDS = 1 << 23
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 NO_ID = -(1 << 63)
 
 #: Lengths of the four ids of each control byte.
@@ -112,12 +113,12 @@ class Words:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [re.split(r"(?= \S)", t) if "  " in t or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in cut for w in words if w not in self.known})
-        ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in ids)))
         known = self.known
+        if len(known) > REMEMBERED:  # keep what is in use
+            self.known = known = {w: known[w] for words in cut for w in words if w in known}
+        new = list({w for words in cut for w in words if w not in known})
+        ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known.update(zip(new, (array("I", e.ids).tobytes() for e in ids)))
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
