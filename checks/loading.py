@@ -47,19 +47,20 @@ def raw_laps(spark, root) -> DataFrame:
 
     return v.laps(spark, root).select(
         F.col("session_id"), F.concat(F.lit("D"), F.col("driver_id").cast("string")).alias("Driver"),
-        F.when(lap % 19 != 0, lap.cast("double")).alias("LapNumber"), took("lap_ms").alias("LapTime"),
+        F.when(lap % 19 != 0, F.when(lap % 23 == 0, float("nan")).otherwise(lap.cast("double"))).alias("LapNumber"), took("lap_ms").alias("LapTime"),
         took("sector1_ms").alias("Sector1Time"), took("sector2_ms").alias("Sector2Time"), took("sector3_ms").alias("Sector3Time"),
-        F.when(lap % 4 != 0, F.col("compound")).alias("Compound"), F.when(lap % 5 != 0, F.col("tyre_age_laps").cast("double")).alias("TyreLife"),
-        F.when(lap % 6 != 0, F.col("is_valid")).alias("IsAccurate"), F.col("position").cast("double").alias("Position"),
+        F.when(lap % 4 != 0, F.col("compound")).alias("Compound"), F.when(lap % 5 != 0, F.when(lap % 7 == 0, float("nan")).otherwise(F.col("tyre_age_laps").cast("double"))).alias("TyreLife"),
+        F.when(lap % 6 != 0, F.col("is_valid")).alias("IsAccurate"), F.when(lap % 8 == 0, float("nan")).otherwise(F.col("position").cast("double")).alias("Position"),
         F.col("track_status").alias("TrackStatus"), F.col("stint_number").cast("double").alias("Stint"), took("sector2_ms").alias("Time"),
     )
 
 
 @query("s02_normalize_laps", """
 SELECT session_id, driver_id, lap_number, ROUND(lap_ms / 1000.0, 6) AS lap_time_seconds, ROUND(sector1_ms / 1000.0, 6) AS sector1_seconds,
-  CASE WHEN lap_number % 4 = 0 THEN 'UNKNOWN' ELSE compound END AS compound, CASE WHEN lap_number % 5 = 0 THEN 0 ELSE tyre_age_laps END AS tyre_age_laps,
-  CASE WHEN lap_number % 6 = 0 THEN FALSE ELSE is_valid END AS is_valid, position, track_status, NULL AS reason FROM laps WHERE driver_id % 13 <> 0 AND lap_number % 19 <> 0
-UNION ALL SELECT session_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN driver_id % 13 = 0 THEN 'unmapped driver' ELSE 'no lap number' END FROM laps WHERE driver_id % 13 = 0 OR lap_number % 19 = 0
+  CASE WHEN lap_number % 4 = 0 THEN 'UNKNOWN' ELSE compound END AS compound, CASE WHEN lap_number % 5 = 0 OR lap_number % 7 = 0 THEN 0 ELSE tyre_age_laps END AS tyre_age_laps,
+  CASE WHEN lap_number % 6 = 0 THEN FALSE ELSE is_valid END AS is_valid, CASE WHEN lap_number % 8 <> 0 THEN position END AS position, track_status, NULL AS reason FROM laps
+WHERE driver_id % 13 <> 0 AND lap_number % 19 <> 0 AND lap_number % 23 <> 0
+UNION ALL SELECT session_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN driver_id % 13 = 0 THEN 'unmapped driver' ELSE 'no lap number' END FROM laps WHERE driver_id % 13 = 0 OR lap_number % 19 = 0 OR lap_number % 23 = 0
 """)
 def s02(spark, root):
     drivers = v.contracts(spark, root).select("driver_id").distinct().select(
@@ -130,14 +131,17 @@ def s06(spark, root):
 
 
 @query("s07_load_season", """
-SELECT CAST(session_id + 1 AS INT) AS round_number, COUNT(*) AS laps, CAST(COALESCE(SUM(lap_ms), 0) AS BIGINT) AS total_ms FROM laps GROUP BY 1
-UNION ALL SELECT CAST(i AS INT), 0, 0 FROM range(4, 25) t(i)
+SELECT CAST(session_id + 1 AS INT) AS round_number, COUNT(*) AS laps, CAST(COALESCE(SUM(lap_ms), 0) AS BIGINT) AS total_ms FROM laps WHERE session_id <> 1 GROUP BY 1
+UNION ALL SELECT CAST(i AS INT), 0, 0 FROM range(2, 25) t(i) WHERE i <> 3
 """)
 def s07(spark, root):
+    """Round 2 has good files and one that is no Parquet; rounds from 4 on are missing."""
     folder = new_path(spark, "season")
-    raw_laps(spark, root).withColumn("round_number", F.col("session_id") + 1).drop("session_id").write.partitionBy("round_number").parquet(
-        f"{folder}/season=2025/session_type=R"
-    )
+    season = f"{folder}/season=2025/session_type=R"
+    rows = raw_laps(spark, root).withColumn("round_number", F.col("session_id") + 1).drop("session_id")
+    rows.write.partitionBy("round_number").parquet(season)
+    broken = f"{season}/round_number=2"
+    spark.range(3).selectExpr("'no lap at all' AS value").coalesce(1).write.mode("append").text(broken)
     raw, missing = ingest.load_season(spark, folder, 2025)
     from paddock.functions.scalars import interval_seconds
 

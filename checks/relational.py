@@ -571,23 +571,22 @@ def a15(spark, root):
 
 
 def samples(spark, root) -> DataFrame:
-    """Every lap number is a run and its lap times are finish times."""
+    """Every lap number is a run, in every session, and its lap times are finish times."""
     return v.laps(spark, root).filter("lap_ms is not null").select(
-        (F.col("session_id") * 10_000_000 + F.col("lap_number")).alias("sim"), "driver_id",
-        F.col("lap_ms").alias("finish_time"),
+        "session_id", F.col("lap_number").alias("sim"), "driver_id", F.col("lap_ms").alias("finish_time")
     )
 
 
 SAMPLES_SQL = """
-, samples AS (SELECT session_id * 10000000 + lap_number AS sim, driver_id, lap_ms AS finish_time FROM laps WHERE lap_ms IS NOT NULL),
-placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sim ORDER BY finish_time, driver_id) AS position FROM samples),
-dist AS (SELECT driver_id, AVG(position) AS mean_position, AVG(finish_time) AS mean_finish_time, QUANTILE_CONT(finish_time, 0.05) AS finish_time_p5,
-  QUANTILE_CONT(finish_time, 0.95) AS finish_time_p95, SUM((position = 1)::INT) / COUNT(*) AS p_first FROM placed GROUP BY 1)
+, samples AS (SELECT session_id, lap_number AS sim, driver_id, lap_ms AS finish_time FROM laps WHERE lap_ms IS NOT NULL),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, sim ORDER BY finish_time, driver_id) AS position FROM samples),
+dist AS (SELECT session_id, driver_id, AVG(position) AS mean_position, AVG(finish_time) AS mean_finish_time, QUANTILE_CONT(finish_time, 0.05) AS finish_time_p5,
+  QUANTILE_CONT(finish_time, 0.95) AS finish_time_p95 FROM placed GROUP BY 1, 2)
 """
 
 
 @query("a16_finish_distribution", SAMPLES_SQL + """
-SELECT driver_id, ROUND(mean_position, 6) AS mean_position, ROUND(mean_finish_time, 6) AS mean_finish_time,
+SELECT session_id, driver_id, ROUND(mean_position, 6) AS mean_position, ROUND(mean_finish_time, 6) AS mean_finish_time,
   ROUND(finish_time_p5, 6) AS finish_time_p5, ROUND(finish_time_p95, 6) AS finish_time_p95 FROM dist
 """)
 def a16(spark, root):
@@ -596,19 +595,22 @@ def a16(spark, root):
 
 
 @query("a16_finish_positions", SAMPLES_SQL + """
-, n AS (SELECT driver_id, position, COUNT(*) AS n FROM placed GROUP BY 1, 2)
-SELECT driver_id, position, ROUND(n / SUM(n) OVER (PARTITION BY driver_id), 6) AS probability FROM n
+, n AS (SELECT session_id, driver_id, position, COUNT(*) AS n FROM placed GROUP BY 1, 2, 3),
+every AS (SELECT session_id, driver_id, UNNEST(range(1, last + 1)) AS position, total
+  FROM (SELECT session_id, driver_id, COUNT(*) AS total FROM placed GROUP BY 1, 2) JOIN (SELECT session_id, MAX(position) AS last FROM placed GROUP BY 1) USING (session_id))
+SELECT e.session_id, e.driver_id, e.position, ROUND(COALESCE(n, 0) / total, 6) AS probability FROM every e LEFT JOIN n USING (session_id, driver_id, position)
 """)
 def a16_positions(spark, root):
     return rounded(agg.finish_positions(samples(spark, root)), "probability")
 
 
 @query("a17_position_gain", SAMPLES_SQL + """
-SELECT driver_id, CAST(ROUND_EVEN(1 + driver_id % 20 - mean_position, 0) AS INT) AS position_gain FROM dist
+SELECT session_id, driver_id, CAST(ROUND_EVEN(1 + (driver_id + session_id) % 20 - mean_position, 0) AS INT) AS position_gain FROM dist
 """)
 def a17(spark, root):
     dist = agg.finish_distribution(samples(spark, root))
-    grid = v.laps(spark, root).select("driver_id").distinct().withColumn("start_position", 1 + F.col("driver_id") % 20)
+    start = 1 + (F.col("driver_id") + F.col("session_id")) % 20
+    grid = v.laps(spark, root).select("session_id", "driver_id").distinct().withColumn("start_position", start)
     return agg.position_gain(dist, grid)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.base import query
@@ -40,7 +40,7 @@ def text(c: str):
 
 
 def feed_rows(spark, root) -> DataFrame:
-    """Feed messages from laps: topics in turn, every thirteenth message broken."""
+    """Feed messages from laps: topics in turn, every thirteenth message broken, every ninth of a wrong shape."""
     lap = F.col("lap_number")
     cars = F.format_string('{"Cars": {"%s": %s}}', text("driver_id"), F.col("entry"))
     timing = F.format_string(
@@ -49,7 +49,8 @@ def feed_rows(spark, root) -> DataFrame:
     )
     weather = F.format_string('{"TrackTemp": "%s", "AirTemp": "%s"}', text("track_temp"), text("air_temp"))
     kind = lap % 4
-    payload = F.when(kind == 0, deflate_text(cars)).when(kind == 1, timing).when(kind == 2, weather).otherwise("{}")
+    odd = F.when(kind == 1, F.when(lap % 2 == 1, '{"Lines": 5}').otherwise("[1]")).otherwise(F.lit("7"))
+    payload = F.when((lap % 9 == 0) & (kind > 0), odd).when(kind == 0, deflate_text(cars)).when(kind == 1, timing).when(kind == 2, weather).otherwise("{}")
     topic = F.when(kind == 0, "CarData.z").when(kind == 1, "TimingData").when(kind == 2, "WeatherData").otherwise("SessionInfo")
     return entries(spark, root).select(
         *LAP, topic.alias("topic"), F.when(lap % 13 == 0, "{broken").otherwise(payload).alias("payload")
@@ -57,7 +58,7 @@ def feed_rows(spark, root) -> DataFrame:
 
 
 @query("r01_split_topics", """
-, m AS (SELECT session_id, driver_id, lap_number, lap_number % 4 AS kind, lap_number % 13 = 0 AS broken FROM laps WHERE lap_number % 4 <> 3)
+, m AS (SELECT session_id, driver_id, lap_number, lap_number % 4 AS kind, lap_number % 13 = 0 OR (lap_number % 9 = 0 AND lap_number % 4 > 0) AS broken FROM laps WHERE lap_number % 4 <> 3)
 SELECT session_id, driver_id, lap_number, CASE WHEN broken THEN 'rejects' ELSE ['cars', 'timing', 'weather'][kind + 1] END AS part, CASE WHEN NOT broken AND kind < 2 THEN CAST(driver_id AS VARCHAR) END AS car_number FROM m
 """)
 def r01(spark, root):
@@ -65,8 +66,6 @@ def r01(spark, root):
     out = None
     for name, df in parts.items():
         car = F.col("car_number") if "car_number" in df.columns else F.lit(None).cast("string")
-        if name == "weather":
-            df = df.filter("TrackTemp is not null or AirTemp is not null")
         rows = df.select(*LAP, F.lit(name).alias("part"), car.alias("car_number"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -171,13 +170,13 @@ SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(driver_id AS VARCHAR) AS
 
 @query("r05_upsert_laps_stream", UPSERT_SQL)
 def r05_stream(spark, root):
-    """Every lap arrives twice, one in three a third time after the restart."""
+    """Newer laps come first; laps days older, duplicates and repeats follow after the restart."""
     rows, path = lap_records(spark, root), new_path(spark, "r05")
-    early = rows.filter("created_at < '2024-01-15'")
-    late = rows.filter("created_at >= '2024-01-15'")
-    again = early.filter("lap_number % 3 = 0")
+    old = (F.col("created_at") < "2024-01-15") | (F.col("lap_number") % 5 == 0)
+    first, late = rows.filter(~old), rows.filter(old)
+    again = first.filter("lap_number % 3 = 0")
     in_parts(
-        spark, [early.unionByName(early), late.unionByName(late).unionByName(again)],
+        spark, [first.unionByName(first), late.unionByName(late).unionByName(again)],
         lambda s: live.upsert_laps(s, f"{path}/laps", f"{path}/checkpoint"),
     )
     return spark.read.schema(rows.schema).parquet(f"{path}/laps").select("session_id", "driver_id", "lap_number", "lap_time_seconds")
@@ -333,9 +332,10 @@ SELECT CAST(session_id AS VARCHAR) AS session_id, CAST(driver_id AS VARCHAR) AS
 def s08(spark, root):
     """All stored sessions replayed together as a stream."""
     folder, out = feed.replay_laps(lap_records(spark, root), batches=4), new_path(spark, "s08")
-    stream = feed.read_replay(spark, folder, 4)
-    live.start_batches(stream, lambda b, i: live.write_batch(b, f"{out}/rows", i), f"{out}/checkpoint").awaitTermination()
-    return live.read_batches(spark, f"{out}/rows").select("session_id", "driver_id", "lap_number", "lap_time_seconds", "seq")
+    feed.replay_stream(spark, folder, lambda b, i: live.write_batch(b, f"{out}/rows", i), f"{out}/checkpoint", 4)
+    # ``seq`` is the order of arrival: by batch, and inside a batch by lap and driver.
+    arrived = live.read_batches(spark, f"{out}/rows").withColumn("seq", F.row_number().over(Window.orderBy("batch_id", "lap_number", "driver_id", "session_id")).cast("bigint"))
+    return arrived.select("session_id", "driver_id", "lap_number", "lap_time_seconds", "seq")
 
 
 @query("s11_alert_rows", SUBSCRIPTIONS_SQL + """

@@ -227,34 +227,43 @@ def auc(pred: DataFrame, by: str = "fold", label: str = "label", score: str = "s
     return folds.filter("_p > 0 and _q > 0").select(by, area.alias("auc"))
 
 
-def _position_counts(samples: DataFrame, time: str) -> DataFrame:
-    placed = over_order(samples, ["sim"], [time, "driver_id"], rank="position")
-    return placed.groupBy("driver_id", "position").agg(F.count(F.lit(1)).alias("_n"))
+def _position_counts(samples: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    placed = over_order(samples, [*keys, "sim"], [time, "driver_id"], rank="position")
+    return placed.groupBy(*keys, "driver_id", "position").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def finish_positions(samples: DataFrame, time: str = "finish_time") -> DataFrame:
-    """Chance of each finishing position per driver, one row per position that occurs."""
-    counts = _position_counts(samples, time)
-    totals = counts.groupBy("driver_id").agg(F.sum("_n").alias("_total"))
-    return join_lookup(counts, totals, ["driver_id"]).select(
-        "driver_id", "position", (F.col("_n") / F.col("_total")).alias("probability")
+def finish_positions(samples: DataFrame, time: str = "finish_time", keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Chance of every finishing position of a session per driver, zero chances included.
+
+    A session has as many positions as its largest run has drivers.
+    """
+    driver = [*keys, "driver_id"]
+    counts = _position_counts(samples, time, keys)
+    totals = counts.groupBy(*driver).agg(F.sum("_n").alias("_total"))
+    field = counts.groupBy(*keys).agg(F.max("position").alias("_last"))
+    every = join_lookup(totals, field, keys).withColumn("position", F.explode(F.sequence(F.lit(1), F.col("_last").cast("int"))))
+    every = every.withColumn("position", F.col("position").cast(counts.schema["position"].dataType))
+    return every.join(counts, [*driver, "position"], "left").select(
+        *driver, "position", (F.coalesce("_n", F.lit(0)) / F.col("_total")).alias("probability")
     )
 
 
-def finish_distribution(samples: DataFrame, time: str = "finish_time") -> DataFrame:
-    """Per driver: mean position, mean, 5 % and 95 % finish time over the runs."""
-    places = _position_counts(samples, time).groupBy("driver_id").agg(
+def finish_distribution(samples: DataFrame, time: str = "finish_time", keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Per session and driver: mean position, mean, 5 % and 95 % finish time over the runs."""
+    driver = [*keys, "driver_id"]
+    places = _position_counts(samples, time, keys).groupBy(*driver).agg(
         (F.sum(F.col("position") * F.col("_n")) / F.sum("_n")).alias("mean_position")
     )
-    means = samples.groupBy("driver_id").agg(F.avg(time).alias("mean_finish_time"))
-    tails = exact_quantiles(samples, ["driver_id"], time, {"finish_time_p5": 0.05, "finish_time_p95": 0.95})
-    return places.join(means, "driver_id").join(tails, "driver_id")
+    means = samples.groupBy(*driver).agg(F.avg(time).alias("mean_finish_time"))
+    tails = exact_quantiles(samples, driver, time, {"finish_time_p5": 0.05, "finish_time_p95": 0.95})
+    return places.join(means, driver).join(tails, driver)
 
 
-def position_gain(distribution: DataFrame, grid: DataFrame) -> DataFrame:
+def position_gain(distribution: DataFrame, grid: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Starting position minus mean finish position, rounded half to even."""
-    return distribution.join(grid, "driver_id").select(
-        "driver_id",
+    driver = [*keys, "driver_id"]
+    return distribution.join(grid, driver).select(
+        *driver,
         F.rint(F.col("start_position") - F.col("mean_position")).cast("int").alias("position_gain"),
     )
 

@@ -172,7 +172,11 @@ def label_pit_laps(laps: DataFrame, stints: DataFrame) -> DataFrame:
 
 
 def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Events with driver_id and alert_type paired with the subscriptions that hold both."""
+    """Events with driver_id and alert_type paired with the subscriptions that hold both.
+
+    A plain join: a live batch is small and is broadcast; in a large one the followers of one
+    driver are the skewed side, which the adaptive planner splits.
+    """
     wanted = (
         subscriptions.select(
             "user_id", F.explode(F.array_distinct("driver_ids")).alias("driver_id"), "alert_types"
@@ -180,7 +184,7 @@ def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFram
         .select("user_id", "driver_id", F.explode(F.array_distinct("alert_types")).alias("alert_type"))
         .distinct()
     )
-    return salted_join(events, wanted, ["driver_id", "alert_type"], "inner")
+    return events.join(wanted, ["driver_id", "alert_type"])
 
 
 def teammates(contracts: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from paddock.scratch import materialise, materialise_counted
 
 BROADCAST_ROWS = 200_000
 SALTS = 64
-HOT_SHARE = 1000
+#: A hot key holds more than a thousandth of the rows, and more rows than one task minds.
+HOT_SHARE, HOT_ROWS = 1000, 10_000
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -54,7 +55,7 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys that hold more than a HOT_SHARE-th of the rows, so fewer than HOT_SHARE keys."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.filter(F.col("_n") * HOT_SHARE > total).select(*on)
+    hot = counts.filter((F.col("_n") * HOT_SHARE > total) & (F.col("_n") > HOT_ROWS)).select(*on)
     return materialise(hot.dropna(), "hot-keys")
 
 

@@ -13,7 +13,7 @@ from paddock.operators.aggregates import DRIVER, laps_in_session
 from paddock.operators.joins import latest_per
 from paddock.operators.lapblocks import attach_per_driver
 from paddock.operators.lookups import join_lookup
-from paddock.operators.ordered import over_order
+from paddock.operators.ordered import exact_quantiles, over_order
 
 
 def session_gaps(laps: DataFrame, time: str = "lap_time_seconds") -> DataFrame:
@@ -44,9 +44,8 @@ def lap_time_delta(
 
     ``keys`` may add columns, such as the compound, to take medians over fewer laps.
     """
-    medians = laps.groupBy(*keys).agg(
-        F.median(time).alias("_median"), F.max("lap_number").alias("last_lap")
-    )
+    middle = exact_quantiles(laps.filter(F.col(time).isNotNull()), list(keys), time, {"_median": 0.5})
+    medians = laps.groupBy(*keys).agg(F.max("lap_number").alias("last_lap")).join(middle, list(keys), "left")
     joined = attach_per_driver(laps, medians, keys)
     return joined.select(*laps.columns, (F.col(time) - F.col("_median")).alias("lap_time_delta"))
 

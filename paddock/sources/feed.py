@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,11 +54,11 @@ def lap_event_json(laps: DataFrame) -> DataFrame:
 
 
 def replay_laps(laps: DataFrame, session_id=None, batches: int = 10, path: str | None = None) -> str:
-    """Write timed lap events as numbered JSON files in (lap, driver) order, of one session
+    """Write timed lap events as JSON in numbered batches of (lap, driver) order, of one session
     or (``session_id`` None) of all of them side by side.
 
-    Rows are cut into ``batches`` equal runs of the order; reading the folder with
-    ``maxFilesPerTrigger`` replays the session.  Returns the folder.
+    Rows are cut into ``batches`` equal runs of the order; ``replay_stream`` plays them.
+    Returns the folder.
     """
     spark = laps.sparkSession
     path = path or new_path(spark, "replay")
@@ -77,11 +78,35 @@ def replay_laps(laps: DataFrame, session_id=None, batches: int = 10, path: str |
     return path
 
 
-def read_replay(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """Stream over a replay folder."""
-    schema = (
-        "driver_id string, session_id string, lap_number int, lap_time_seconds double, "
-        "compound string, sector1_seconds double, sector2_seconds double, sector3_seconds double, "
-        "seq bigint, batch int"
+REPLAY_SCHEMA = (
+    "driver_id string, session_id string, lap_number int, lap_time_seconds double, "
+    "compound string, sector1_seconds double, sector2_seconds double, sector3_seconds double, "
+    "seq bigint, batch int"
+)
+
+
+def replay_stream(
+    spark: SparkSession, path: str, each: Callable[[DataFrame, int], None], checkpoint: str, batches: int = 10, seconds: float = 0
+) -> None:
+    """Play a replay folder: micro-batch i is batch i of the folder, whatever files it has.
+
+    A clock source numbers the micro-batches, so the order does not hang on the times of files.
+    A restart from the checkpoint goes on after the last finished batch.  Returns when all
+    batches are played.
+    """
+    table = spark.read.schema(REPLAY_SCHEMA).json(path)
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def play(tick: DataFrame, batch_id: int) -> None:
+        if batch_id < batches:
+            each(table.filter(F.col("batch") == batch_id), batch_id)
+
+    query = (
+        clock.writeStream.foreachBatch(play).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
     )
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
+    try:
+        while not query.awaitTermination(0.2):
+            if query.lastProgress and query.lastProgress["batchId"] >= batches - 1:
+                break
+    finally:
+        query.stop()

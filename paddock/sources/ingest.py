@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from paddock import fixed
 from paddock.functions.scalars import interval_seconds
@@ -26,25 +27,30 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
 def normalize_laps(raw: DataFrame, drivers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(laps, rejects) from feed laps; rejects carry a reason.
 
-    Rows need a mapped driver code and a lap number.
+    Rows need a mapped driver code and a lap number.  A number that is NaN or does not fit is
+    a missing number; only a missing lap number rejects the row.
     """
+    def whole(name: str):
+        value = F.col(name).try_cast("double")
+        return F.when(~F.isnan(value), value).try_cast("int")
+
     codes = drivers.select(F.col("code").alias("Driver"), F.col("id").alias("driver_id"))
     rows = join_lookup(raw, codes, ["Driver"]).withColumn(
         "reason",
         F.when(F.col("driver_id").isNull(), "unmapped driver").when(
-            F.col("LapNumber").isNull(), "no lap number"
+            whole("LapNumber").isNull(), "no lap number"
         ),
     )
     kept = [c for c in ("session_id", "stint_number", "created_at") if c in raw.columns]
     laps = rows.filter("reason is null").select(
         *kept,
         "driver_id",
-        F.col("LapNumber").cast("int").alias("lap_number"),
+        whole("LapNumber").alias("lap_number"),
         interval_seconds("LapTime").alias("lap_time_seconds"),
         F.coalesce("Compound", F.lit("UNKNOWN")).alias("compound"),
-        F.coalesce(F.col("TyreLife").cast("int"), F.lit(0)).alias("tyre_age_laps"),
+        F.coalesce(whole("TyreLife"), F.lit(0)).alias("tyre_age_laps"),
         F.coalesce("IsAccurate", F.lit(False)).alias("is_valid"),
-        F.col("Position").cast("int").alias("position"),
+        whole("Position").alias("position"),
         F.col("TrackStatus").cast("string").alias("track_status"),
         interval_seconds("Sector1Time").alias("sector1_seconds"),
         interval_seconds("Sector2Time").alias("sector2_seconds"),
@@ -112,24 +118,26 @@ def load_season(
 ) -> tuple[DataFrame, DataFrame]:
     """(raw laps of a season, rounds that could not be read) from season=/round=/ folders.
 
-    One scan reads all rounds; unreadable files are skipped and their rounds reported.
+    A round is loaded whole or not at all.  Each round is decoded once by a job of its own, and
+    one file of it that fails, for whatever reason, rejects the round with the first line of
+    the error; the rest are then read strictly in one scan.  The rounds of a season bound the
+    number of jobs.
     """
-    expected = spark.createDataFrame([(r,) for r in rounds], "round_number int")
     path = f"{root}/season={season}/session_type={session_type}"
-    schema = f"{TABLES['raw_laps']}, round_number int"
-    try:
-        raw = (
-            spark.read.schema(schema)
-            .option("ignoreCorruptFiles", "true")
-            .option("basePath", path)
-            .parquet(path)
-            .withColumns({"season": F.lit(season), "session_type": F.lit(session_type)})
-        )
-    except AnalysisException:
-        raw = spark.createDataFrame([], f"{schema}, season int, session_type string")
-    raw = raw.filter(F.col("round_number").isin(*[int(r) for r in rounds]))
-    read = raw.select("round_number").distinct()
-    return raw, expected.join(read, "round_number", "left_anti")
+    schema = TABLES["raw_laps"]
+    whole, broken = [], []
+    for number in map(int, rounds):
+        folder = f"{path}/round_number={number}"
+        try:
+            rows = spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(folder)
+            rows.select(F.count(F.xxhash64(*rows.columns))).collect()
+            whole.append(folder)
+        except (PySparkException, Py4JJavaError) as error:
+            broken.append((number, str(error).strip().split("\n")[0]))
+    reader = spark.read.schema(f"{schema}, round_number int").option("ignoreCorruptFiles", "false").option("basePath", path)
+    raw = reader.parquet(*whole) if whole else spark.createDataFrame([], f"{schema}, round_number int")
+    raw = raw.withColumns({"season": F.lit(season), "session_type": F.lit(session_type)})
+    return raw, spark.createDataFrame(broken, "round_number int, reason string")
 
 
 def dedupe(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,27 +25,34 @@ from paddock.scratch import materialise
 from paddock.sources.feed import LAP_EVENT, inflate_text
 from paddock.sources.ingest import append_new
 
-WATERMARK = "10 minutes"
-
 
 def split_topics(feed: DataFrame) -> dict[str, DataFrame]:
     """cars, timing, weather and rejects from one feed with topic and payload text.
 
-    Other topics are ignored; a message that cannot be read goes to rejects only.
+    Other topics are ignored.  A message whose field is missing or not of its topic's shape -
+    an object of cars, an object of lines, an object - goes to rejects, and only there.
     """
     other = [c for c in feed.columns if c not in ("topic", "payload")]
     known = feed.filter(F.col("topic").isin(*fixed.FEED_TOPICS))
     text = F.when(F.col("topic") == "CarData.z", inflate_text("payload")).otherwise(F.col("payload"))
     read = known.withColumn("_text", text)
 
+    whole = F.try_parse_json("_text")
+
+    def holds(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(whole, path, "variant")).startswith("OBJECT")
+
+    shape = F.when(F.col("topic") == "CarData.z", holds("$.Cars")).when(F.col("topic") == "TimingData", holds("$.Lines")).otherwise(holds("$"))
+    known = read.withColumn("_broken", ~F.coalesce(shape, F.lit(False)))
+    broken, read = F.col("_broken"), known.filter("NOT _broken")
+
     def topic(name: str, schema: str) -> DataFrame:
         return read.filter(F.col("topic") == name).withColumn("_m", F.from_json("_text", schema))
 
     cars = topic("CarData.z", CARS).select(*other, F.explode("_m.Cars").alias("car_number", "entry"))
     timing = topic("TimingData", TIMING).select(*other, F.explode("_m.Lines").alias("car_number", "entry"))
     weather = topic("WeatherData", WEATHER).select(*other, "_m.TrackTemp", "_m.AirTemp")
-    broken = F.col("_text").isNull() | F.try_parse_json("_text").isNull()
-    rejects = read.filter(broken).select(*feed.columns)
+    rejects = known.filter(broken).select(*feed.columns)
     return {"cars": cars, "timing": timing, "weather": weather, "rejects": rejects}
 
 
@@ -234,32 +241,27 @@ def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
 
 
 LAP_KEYS = ("session_id", "driver_id", "lap_number")
-PRUNED_SESSIONS = 1000
 
 
-def upsert_laps(laps: DataFrame, target: str, checkpoint: str, ts: str = "created_at",
-                watermark: str = WATERMARK, **trigger) -> StreamingQuery:
-    """Append completed laps once per key: duplicates inside the watermark are dropped by
-    state, older ones by an anti join with the target table.
+def upsert_laps(laps: DataFrame, target: str, checkpoint: str, ts: str = "created_at", **trigger) -> StreamingQuery:
+    """Append completed laps once per key, however late they come.
 
-    The target is partitioned by session, and a batch of up to 1000 sessions reads only
-    those partitions of it.
+    Each batch appends the keys that the target lacks.  The target is partitioned by session;
+    the join with the batch's sessions lets Spark read only those partitions of it.  A batch
+    that is repeated after a failure finds its rows in the target.
     """
     spark = laps.sparkSession
-    once = laps.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(LAP_KEYS))
     schema = laps.schema
     spark.createDataFrame([], schema).write.mode("append").partitionBy("session_id").parquet(target)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = materialise(batch, "upsert")
         held = spark.read.schema(schema).parquet(target)
-        touched = [r[0] for r in rows.select("session_id").distinct().limit(PRUNED_SESSIONS + 1).collect()]
-        if len(touched) <= PRUNED_SESSIONS:
-            held = held.filter(F.col("session_id").isin(*touched)) if touched else held.limit(0)
-        fresh = append_new(held, rows, LAP_KEYS, [ts])
-        fresh.write.mode("append").partitionBy("session_id").parquet(target)
+        touched = rows.select("session_id").distinct()
+        fresh = append_new(held.join(touched, "session_id", "left_semi"), rows, LAP_KEYS, [ts])
+        fresh.repartition("session_id").write.mode("append").partitionBy("session_id").parquet(target)
 
-    return start_batches(once, each, checkpoint, **trigger)
+    return start_batches(laps, each, checkpoint, **trigger)
 
 
 def enrich_laps(laps: DataFrame, channels: DataFrame, car_map: DataFrame, now) -> DataFrame:

@@ -304,12 +304,16 @@ def test_style_features(spark):
 
 def test_finish_distribution_sums(spark, small_chunks):
     samples = spark.createDataFrame(
-        [(s, f"d{d}", float((d * 37 + s * 11) % 23)) for s in range(30) for d in range(6)], "sim int, driver_id string, finish_time double"
+        [(x, s, f"d{d}", float((d * 37 + s * 11) % 23)) for x in range(2) for s in range(30) for d in range(6 - x)],
+        "session_id int, sim int, driver_id string, finish_time double",
     )
-    sums = agg.finish_positions(samples).groupBy("driver_id").agg(F.sum("probability").alias("p")).collect()
-    assert len(sums) == 6 and all(abs(r.p - 1) < 1e-9 for r in sums)
+    places = agg.finish_positions(samples)
+    sums = places.groupBy("session_id", "driver_id").agg(F.sum("probability").alias("p"), F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in sums) == [5] * 5 + [6] * 6 and all(abs(r.p - 1) < 1e-9 for r in sums)
+    two = spark.createDataFrame([(0, 1, "a", 1.0), (0, 1, "b", 2.0)], "session_id int, sim int, driver_id string, finish_time double")
+    assert {tuple(r)[1:] for r in agg.finish_positions(two).collect()} == {("a", 1, 1.0), ("a", 2, 0.0), ("b", 1, 0.0), ("b", 2, 1.0)}
     got = agg.finish_distribution(samples).collect()
-    assert sum(r.mean_position for r in got) == pytest.approx(6 * 7 / 2)
+    assert sum(r.mean_position for r in got) == pytest.approx(6 * 7 / 2 + 5 * 6 / 2)
 
 
 def test_sampling_repeats_and_feeds_the_distribution(spark):
@@ -373,9 +377,13 @@ def test_season_load_reports_broken_rounds(spark, tmp_path):
     broken = base / "round_number=2"
     broken.mkdir()
     (broken / "part-0.parquet").write_bytes(b"not parquet at all")
-    raw, missing = ingest.load_season(spark, str(tmp_path), 2024, rounds=(1, 2, 3, 4))
+    half = base / "round_number=5"  # one good file, one cut short
+    spark.createDataFrame([("HAM", float(n), timedelta(seconds=90)) for n in range(10)], "Driver string, LapNumber double, LapTime interval day to second").repartition(2).write.parquet(str(half))
+    file = next(f for f in sorted(half.iterdir()) if f.suffix == ".parquet")
+    file.write_bytes(file.read_bytes()[:-200])
+    raw, missing = ingest.load_season(spark, str(tmp_path), 2024, rounds=(1, 2, 3, 4, 5))
     assert sorted(r.round_number for r in raw.collect()) == [1, 3]
-    assert sorted(r.round_number for r in missing.collect()) == [2, 4]
+    assert sorted(r.round_number for r in missing.collect()) == [2, 4, 5] and all(r.reason for r in missing.collect())
     none, all_missing = ingest.load_season(spark, str(tmp_path), 2030, rounds=(1, 2))
     assert none.count() == 0 and all_missing.count() == 2
 

@@ -131,6 +131,10 @@ def test_replay_keeps_lap_order(spark):
     got = spark.read.json(folder).orderBy("seq").collect()
     assert [(r.lap_number, r.driver_id) for r in got] == [(n, d) for n in range(1, 11) for d in ("a", "b") if (d, n) != ("b", 2)]
     assert sorted({r.batch for r in got}) == [0, 1, 2, 3]
+    arrived = []
+    feed.replay_stream(spark, folder, lambda b, i: arrived.append((i, sorted((r.lap_number, r.driver_id) for r in b.collect()))), folder + "-checkpoint", 4)
+    assert [i for i, _ in arrived] == [0, 1, 2, 3]
+    assert [x for _, rows in arrived for x in rows] == [(n, d) for n in range(1, 11) for d in ("a", "b") if (d, n) != ("b", 2)]
 
 
 def subs(spark):
