@@ -58,8 +58,6 @@ WITH ev AS (
     (CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 3 <> 0) AS cache_hit,
     concat('live:2025:', CAST(user_id AS VARCHAR), ':gaps') AS cache_key
   FROM events
-), schedule AS (
-  SELECT CAST(o_orderkey AS INT) + 1 AS round_number, CAST(o_orderdate AS DATE) AS race_date FROM orders WHERE o_orderkey < 24
 )
 """
 

@@ -289,11 +289,11 @@ def g10(spark, root):
 
 
 @query("g11_sample_finish_times", PLANS_SQL + """
-, draws AS (SELECT f.*, UNNEST(range(1, 11)) AS sim FROM fin f WHERE kind = 1),
+, draws AS (SELECT f.*, UNNEST(range(1, 1001)) AS sim FROM fin f WHERE kind = 1),
 u AS (SELECT *, concat_ws('|', '42', CAST(sim AS VARCHAR), CAST(session_id AS VARCHAR), CAST(driver_id AS VARCHAR)) AS k FROM draws),
 n AS (SELECT *, (CAST('0x' || substr(md5(k || '|a'), 1, 12) AS BIGINT) + 0.5) / 281474976710656e0 AS u1, (CAST('0x' || substr(md5(k || '|b'), 1, 12) AS BIGINT) + 0.5) / 281474976710656e0 AS u2 FROM u)
 SELECT CAST(sim AS INT) AS sim, session_id, driver_id, ROUND(finish + SQRT(-2 * LN(u1)) * COS(2 * PI() * u2) * 35e-2 * SQRT(laps_left), 5) AS finish_time FROM n
 """)
 def g11(spark, root):
     finishes = whatif.plan_finishes(state(spark, root), elapsed(spark, root), plans(spark, root), tyre_score)
-    return whatif.sample_finish_times(finishes, 10).withColumn("finish_time", F.round("finish_time", 5))
+    return whatif.sample_finish_times(finishes).withColumn("finish_time", F.round("finish_time", 5))

@@ -149,18 +149,32 @@ def r03_fresh(spark, root):
     return live.fresh(latest, datetime(2024, 1, 30, 12), 43_200).select("session_id", "car_number")
 
 
-@query("r04_latest_weather", """
+WEATHER_SQL = """
 , w AS (SELECT session_id, created_at, track_temp + 0.5 AS track_temp, air_temp + 0.5 AS air_temp FROM laps WHERE track_temp IS NOT NULL AND air_temp IS NOT NULL AND lap_number % 3 <> 0),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY created_at DESC, track_temp DESC, air_temp DESC) AS r FROM w)
 SELECT session_id, CAST(track_temp AS DOUBLE) AS track_temp, CAST(air_temp AS DOUBLE) AS air_temp, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS ts FROM r WHERE r = 1
-""")
-def r04(spark, root):
-    rows = v.laps(spark, root).select(
-        "session_id", F.col("created_at").cast("timestamp").alias("ts"),
+"""
+
+
+def weather_rows(spark, root) -> DataFrame:
+    return v.laps(spark, root).select(
+        "session_id", F.col("created_at").cast("timestamp").alias("ts"), "lap_number",
         F.when(F.col("lap_number") % 3 == 0, "dry").otherwise((F.col("track_temp") + 0.5).cast("string")).alias("TrackTemp"),
         (F.col("air_temp") + 0.5).cast("string").alias("AirTemp"),
     )
-    return live.latest_weather(rows).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("r04_latest_weather", WEATHER_SQL)
+def r04(spark, root):
+    return live.latest_weather(weather_rows(spark, root)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("r04_latest_weather_stream", WEATHER_SQL)
+def r04_stream(spark, root):
+    rows, path = weather_rows(spark, root), new_path(spark, "r04")
+    in_parts(spark, [rows.filter("lap_number > 8"), rows.filter("lap_number <= 8")], lambda s: live.store_latest(s, live.latest_weather, path))
+    latest = live.read_latest(spark, path, ("session_id",), ("track_temp", "air_temp"))
+    return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 UPSERT_SQL = """
@@ -182,18 +196,37 @@ def r05_stream(spark, root):
     return spark.read.schema(rows.schema).parquet(f"{path}/laps").select("session_id", "driver_id", "lap_number", "lap_time_seconds")
 
 
-@query("r06_enrich_laps", f"""
+ENRICH_SQL = f"""
 , c AS (SELECT session_id, driver_id, lap_number, created_at, {CHANNEL_SQL} FROM laps),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, driver_id ORDER BY created_at DESC, speed_kmh DESC NULLS LAST, throttle_pct DESC NULLS LAST, brake DESC NULLS LAST, gear DESC NULLS LAST) AS r FROM c),
 newest AS (SELECT * FROM r WHERE r = 1 AND driver_id % 13 <> 0 AND epoch_ms(TIMESTAMP '2024-01-30 18:00:00') - epoch_ms(created_at) BETWEEN 0 AND 7999)
 SELECT CAST(l.session_id AS VARCHAR) AS session_id, 'lap_completed' AS event, CAST(l.driver_id AS VARCHAR) AS driver_id, l.lap_number, n.speed_kmh, n.drs FROM laps l LEFT JOIN newest n ON n.session_id = l.session_id AND n.driver_id = l.driver_id
-""")
-def r06(spark, root):
-    cars = v.contracts(spark, root).select(text("driver_id").alias("driver_id"), text("driver_id").alias("car_number")).distinct()
-    rows = live.enrich_laps(lap_records(spark, root), live.latest_car(car_rows(spark, root)), cars, datetime(2024, 1, 30, 18))
+"""
+
+
+def _car_map(spark, root) -> DataFrame:
+    return v.contracts(spark, root).select(text("driver_id").alias("driver_id"), text("driver_id").alias("car_number")).distinct()
+
+
+def _enriched(rows: DataFrame) -> DataFrame:
     return rounded(rows.select("session_id", "event", "data.driver_id", "data.lap_number", "data.speed_kmh", "data.drs"), "speed_kmh")
 
 
+@query("r06_enrich_laps", ENRICH_SQL)
+def r06(spark, root):
+    return _enriched(live.enrich_laps(lap_records(spark, root), live.latest_car(car_rows(spark, root)), _car_map(spark, root), datetime(2024, 1, 30, 18)))
+
+
+@query("r06_enrich_laps_stream", ENRICH_SQL)
+def r06_stream(spark, root):
+    rows, path, channels = lap_records(spark, root), new_path(spark, "r06"), live.latest_car(car_rows(spark, root))
+    in_parts(
+        spark, [rows.filter("lap_number > 8"), rows.filter("lap_number <= 8")],
+        lambda s: live.enrich_stream(s, lambda: channels, _car_map(spark, root), path, lambda: datetime(2024, 1, 30, 18)),
+    )
+    return _enriched(live.read_batches(spark, f"{path}/events"))
+
+
 @query("r07_predict_stream", """
 , r AS (SELECT session_id, driver_id, lap_number, ROW_NUMBER() OVER (PARTITION BY session_id, driver_id ORDER BY lap_number DESC) AS r FROM laps)
 SELECT session_id, driver_id, lap_number, TRUE AS message FROM r WHERE r = 1

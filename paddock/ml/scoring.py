@@ -36,6 +36,12 @@ def score_laps(
     predicted delta in seconds, as stored predictions have always held; the lap count is
     life_laps, and ``pit_lap_from`` chooses which of the two moves optimal_pit_lap.
     """
+    # All that follows is about the sessions of the batch; a lap table partitioned by session
+    # is read in those partitions only.
+    batch = materialise(batch, "batch")
+    touched = batch.select("session_id").distinct()
+    laps = laps.join(touched, "session_id", "left_semi")
+    state = state.join(touched, "session_id", "left_semi")
     wanted = batch.select(*DRIVER).distinct()
     field = position_context(laps, wanted)
     facts = state.select(*DRIVER, "total_laps", "circuit_code", "driver_code", "circuit_name")
@@ -72,14 +78,16 @@ def score_laps(
         *key, "_delta", "life_remaining", "safety_car_probability", F.col("prediction").alias("pit_probability")
     )
 
-    roles = undercut_roles(state, score_tyre)
-    elapsed = elapsed_time(laps)
     ahead = held.filter("ahead_driver_id is not null").select(
         *DRIVER, F.col("ahead_driver_id").alias("target_driver_id")
     ).distinct()
     behind = held.filter("behind_driver_id is not null").select(
         *DRIVER, F.col("behind_driver_id").alias("target_driver_id")
     ).distinct()
+    target = F.col("target_driver_id").alias("driver_id")
+    needed = wanted.union(ahead.select("session_id", target)).union(behind.select("session_id", target)).distinct()
+    roles = materialise(undercut_roles(state.join(needed, list(DRIVER), "left_semi"), score_tyre), "roles")
+    elapsed = elapsed_time(laps)
     under = undercut(ahead, roles, elapsed).select(*DRIVER, F.col("probability").alias("_under"))
     over = overcut(behind, roles, elapsed).select(*DRIVER, F.col("probability").alias("_over"))
     used = F.col("_delta") if pit_lap_from == "predicted_delta" else F.col("life_remaining")

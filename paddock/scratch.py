@@ -6,6 +6,7 @@ set on the context).  Only a local session without one gets a folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -21,7 +23,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = sc.applicationId
     if app not in _LOCAL:
@@ -36,6 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` once and read it back, so that every later use sees the same rows."""
     path = new_path(df.sparkSession, name)
+    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,6 +50,27 @@ def materialise_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, in
     return held, int(seen.get["rows"])
 
 
+def _empty(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def made(spark: SparkSession) -> int:
+    """How many lineage cuts of this application are not emptied yet: a mark for ``clear``."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Empty the tables ``materialise`` wrote since a mark, when nothing reads them any more.
+
+    The caller of an operator knows when its rows are written or counted; until then a lineage
+    cut may be read again.
+    """
+    paths = _MADE.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:]:
+        _empty(spark, path)
+    del paths[since:]
+
+
 class Scratch:
     """Tables that one job writes and reads again; emptied when it ends.
 
@@ -75,4 +99,4 @@ class Scratch:
     def drop(self, table: DataFrame | str) -> None:
         path = table if isinstance(table, str) else table.scratch_path
         self.paths.remove(path)
-        self.spark.createDataFrame([], "x int").coalesce(1).write.mode("overwrite").parquet(path)
+        _empty(self.spark, path)

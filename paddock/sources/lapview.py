@@ -154,10 +154,3 @@ def request_log(spark: SparkSession, root: str) -> DataFrame:
         (_code() % 3 != 0).alias("cache_hit"),
         F.concat(F.lit("live:2025:"), F.col("user_id").cast("string"), F.lit(":gaps")).alias("cache_key"),
     )
-
-
-def schedule(spark: SparkSession, root: str) -> DataFrame:
-    return read(spark, root, "orders").filter("o_orderkey < 24").select(
-        (F.col("o_orderkey").cast("int") + 1).alias("round_number"),
-        F.col("o_orderdate").cast("date").alias("race_date"),
-    )

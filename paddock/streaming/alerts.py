@@ -70,7 +70,8 @@ def pit_alerts(messages: DataFrame, subscriptions: DataFrame, users: DataFrame)
 def undercut_threats(laps: DataFrame, predictions: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Undercut alerts for cars right behind another with a latest score over the threshold."""
     pairs = adjacent_pairs(latest_per(laps, DRIVER, ["lap_number"]))
-    scores = latest_predictions(predictions).select(
+    stored = predictions.join(laps.select("session_id").distinct(), "session_id", "left_semi")
+    scores = latest_predictions(stored).select(
         "session_id", F.col("driver_id").alias("trailing_driver_id"), "undercut_score"
     )
     due = pairs.join(scores, ["session_id", "trailing_driver_id"]).filter(

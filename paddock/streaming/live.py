@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paddock import fixed
+from paddock import fixed, scratch
 from paddock.functions.scalars import channel_fields, parse_lap_time, parse_temp
 from paddock.operators.lookups import join_lookup
 from paddock.operators.ordered import over_order
@@ -138,8 +138,16 @@ def start_batches(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Run ``each`` on every micro-batch; by default read what is there and stop."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        mark = scratch.made(batch.sparkSession)
+        try:
+            each(batch, batch_id)
+        finally:  # what the batch cut is read by nobody once its rows are written
+            scratch.clear(batch.sparkSession, mark)
+
     return (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
