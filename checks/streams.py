@@ -103,10 +103,22 @@ def r02(spark, root):
 def r02_stream(spark, root):
     rows, path = timing_rows(spark, root), new_path(spark, "r02")
     in_parts(spark, [rows.filter("seq <= 8"), rows.filter("seq > 8")], lambda s: live.lap_completions(s, path))
-    laps = live.read_batches(spark, f"{path}/laps")
+    laps = live.read_batches(spark, f"{path}/laps").withColumn("session_id", text("session_id"))
     return rounded(laps.select(*COMPLETED), "lap_time_seconds", "sector1_seconds")
 
 
+@query("r02_live_chain", COMPLETED_SQL.replace("FROM b WHERE", "FROM b WHERE driver_id % 13 <> 0 AND").replace("CAST(driver_id AS VARCHAR) AS car_number", "CAST(driver_id AS VARCHAR) AS driver_id"))
+def r02_chain(spark, root):
+    """Timing rows to completed laps of mapped cars to the stored lap table, one stream after the other."""
+    rows = timing_rows(spark, root).withColumn("ts", F.timestamp_seconds(F.col("seq") * 90))
+    path, cars = new_path(spark, "chain"), _car_map(spark, root)
+    in_parts(spark, [rows.filter("seq <= 8"), rows.filter("seq > 8")], lambda s: live.lap_completions(s, path, cars))
+    done = live.read_batches(spark, f"{path}/laps").withColumn("session_id", text("session_id"))
+    in_parts(spark, [done.drop("batch_id", "entry")], lambda s: live.upsert_laps(s, f"{path}/stored", f"{path}/upsert"))
+    stored = spark.read.parquet(f"{path}/stored").withColumn("session_id", text("session_id"))
+    return rounded(stored.select(*[c if c != "car_number" else "driver_id" for c in COMPLETED]), "lap_time_seconds", "sector1_seconds")
+
+
 def car_rows(spark, root) -> DataFrame:
     from paddock.schemas import CAR_ENTRY
 
@@ -318,9 +330,20 @@ def _window_sql(rule: rules.Rule, value: str) -> str:
   FROM (SELECT *, UNNEST(range(0, {n})) AS i, date_trunc('hour', ts) AS pane FROM request_log) CROSS JOIN LATERAL (SELECT pane - to_minutes(CAST(i * {rule.slide_minutes} AS BIGINT)) AS w) GROUP BY w"""
 
 
+def _p95_sql() -> str:
+    """Quantile of bucket counts as nested CASE."""
+    bounds = rules.LATENCY_BUCKETS
+    rank, out = "95e-2 * COUNT(latency_s)", f"{bounds[-1]}::DOUBLE"
+    for i in reversed(range(len(bounds))):
+        within = f"COUNT(*) FILTER (latency_s <= {bounds[i]!r}::DOUBLE)"
+        low, before = (bounds[i - 1], f"COUNT(*) FILTER (latency_s <= {bounds[i - 1]!r}::DOUBLE)") if i else (0.0, "0")
+        out = f"CASE WHEN {within} >= {rank} THEN {low!r}::DOUBLE + {bounds[i] - low!r}::DOUBLE * ({rank} - {before}) / ({within} - {before}) ELSE {out} END"
+    return out
+
+
 RULES_SQL = ", windows AS (" + " UNION ALL ".join(
     _window_sql(r, e)
-    for r, e in zip(RULES, ("QUANTILE_CONT(latency_s, 0.95)", "AVG((status >= 500)::INT)", "AVG(cache_hit::INT)"))
+    for r, e in zip(RULES, (_p95_sql(), "AVG((status >= 500)::INT)", "AVG(cache_hit::INT)"))
 ) + ")"
 
 
@@ -334,16 +357,19 @@ def r10(spark, root):
     return rows.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
 
 
-@query("r10_window_rule_stream", RULES_SQL + "SELECT rule, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, ROUND(value, 6) AS value, firing FROM windows WHERE rule = 'low_hit_rate'")
+@query("r10_window_rule_stream", RULES_SQL + "SELECT rule, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, ROUND(value, 6) AS value, firing FROM windows")
 def r10_stream(spark, root):
     log = v.request_log(spark, root).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = new_path(spark, "r10")
-    in_parts(
-        spark, [log.filter("ts < '2024-01-15'"), log.filter("ts >= '2024-01-15'")],
-        lambda s: live.store_updates(rules.window_rule_stream(s, RULES[2]), path),
-    )
-    rows = live.read_updates(spark, path, ["rule", "window_start"])
-    return rows.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
+    out = None
+    for rule in RULES:
+        path = new_path(spark, "r10")
+        in_parts(
+            spark, [log.filter("ts < '2024-01-15'"), log.filter("ts >= '2024-01-15'")],
+            lambda s, rule=rule, path=path: live.store_updates(rules.window_rule_stream(s, rule), path),
+        )
+        rows = live.read_updates(spark, path, ["rule", "window_start"])
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
 
 
 @query("r11_sustained", RULES_SQL + """

@@ -1,9 +1,9 @@
 """Live feed: topics, completed laps, latest samples, stored and enriched laps.
 
 Each streaming query applies a batch function to its micro-batches, so a stream and its
-batch twin share one definition.  State that must survive a restart is a versioned
-table next to the stream's checkpoint: batch N reads the newest version below N and
-writes version N, so a repeated batch gives the same rows.
+batch twin share one definition.  What must survive a restart is what earlier batches
+stored: batch N reads the batches below N and writes its own folder, so a repeated batch
+gives the same rows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paddock import fixed, scratch
 from paddock.functions.scalars import channel_fields, parse_lap_time, parse_temp
+from paddock.operators.joins import map_cars
 from paddock.operators.lookups import join_lookup
 from paddock.operators.ordered import over_order
 from paddock.operators.reshape import top_k
@@ -93,45 +94,10 @@ def completed_laps(
     return laps, best.groupBy(*keys).agg(F.max("_lap").alias("highest"))
 
 
-class Versioned:
-    """Table with one version per micro-batch."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            ):
-                done.append(int(name[2:]))
-        return done
-
-    def before(self, batch_id: int) -> DataFrame:
-        """Newest complete version older than ``batch_id``, empty when there is none."""
-        older = [n for n in self._versions() if n < batch_id]
-        reader = self.spark.read.schema(self.schema)
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return reader.parquet(f"{self.path}/v={max(older)}")
-
-    def latest(self) -> DataFrame:
-        return self.before(2**62)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
     """Write a micro-batch's rows to its own folder; repeating the batch replaces it."""
-    df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
+    writer = df.repartition(*by).write.partitionBy(*by) if by else df.write
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt).save(f"{path}/batch_id={batch_id}")
 
 
 def start_batches(
@@ -154,18 +120,34 @@ def start_batches(
     )
 
 
-def lap_completions(timing: DataFrame, path: str, **trigger) -> StreamingQuery:
-    """Stream of timing rows to lap records under ``path``/laps."""
+SEEN = "session_id string, car_number string, lap_number int, batch_id bigint"
+
+
+def lap_completions(
+    timing: DataFrame, path: str, car_map: DataFrame | None = None, clock: Callable[[], datetime] | None = None, **trigger
+) -> StreamingQuery:
+    """Stream of timing rows to lap records under ``path``/laps.
+
+    The highest lap of a car is what earlier batches stored for it, read in the sessions of the
+    batch only.  With ``car_map`` the records carry driver_id, as ``upsert_laps`` needs it, and
+    laps of cars that are not mapped are left out; ``clock`` gives created_at where the rows
+    have no ``ts``.
+    """
     spark = timing.sparkSession
-    seen = Versioned(
-        spark, f"{path}/highest", "session_id string, car_number string, highest int"
-    )
+    held = f"{path}/laps"
+    spark.createDataFrame([], SEEN).write.mode("append").partitionBy("batch_id", "session_id").parquet(held)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = materialise(batch, "timing")
-        laps, best = completed_laps(rows, seen.before(batch_id))
-        write_batch(laps, f"{path}/laps", batch_id)
-        seen.write(best.select("session_id", "car_number", F.col("highest").cast("int")), batch_id)
+        stored = spark.read.schema(SEEN).parquet(held).filter(F.col("batch_id") < batch_id)
+        stored = stored.join(rows.select("session_id").distinct(), "session_id", "left_semi")
+        seen = stored.groupBy("session_id", "car_number").agg(F.max("lap_number").alias("highest"))
+        laps, _ = completed_laps(rows, materialise(seen, "seen"))
+        if car_map is not None:
+            laps, _ = map_cars(laps, car_map)
+        if "created_at" not in laps.columns and ("ts" in laps.columns or clock):
+            laps = laps.withColumn("created_at", F.col("ts") if "ts" in laps.columns else F.lit(clock()).cast("timestamp"))
+        write_batch(laps, held, batch_id, by=["session_id"])
 
     return start_batches(timing, each, f"{path}/checkpoint", **trigger)
 

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ordered import exact_quantiles, over_order
+from paddock.operators.ordered import over_order
+
+# Upper bounds in seconds of a latency histogram's buckets; one without bound follows.
+LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
 
 @dataclass(frozen=True)
@@ -45,25 +48,44 @@ def _windows_of(pane: str, rule: Rule) -> Column:
     )
 
 
+def _sums(rule: Rule) -> list[Column]:
+    """What is summed over the rows of a pane or window: a fixed number of counts."""
+    if rule.measure == "p95":
+        within = [F.count(F.when(F.col("latency_s") <= b, 1)) for b in LATENCY_BUCKETS]
+        return [c.alias(f"_s{i}") for i, c in enumerate([*within, F.count("latency_s")])]
+    hit = F.col("status").between(500, 599) if rule.measure == "error_ratio" else F.col("cache_hit")
+    return [F.sum(hit.cast("bigint")).alias("_s0"), F.count(F.lit(1)).alias("_s1")]
+
+
+def histogram_quantile(share: float, within: Sequence[Column], total: Column, bounds: Sequence[float] = LATENCY_BUCKETS) -> Column:
+    """Quantile of bucket counts, linear inside a bucket; beyond the last bound, that bound."""
+    rank = share * total
+    out = F.lit(float(bounds[-1]))
+    for i in reversed(range(len(bounds))):
+        low, before = (bounds[i - 1], within[i - 1]) if i else (0.0, F.lit(0))
+        out = F.when(within[i] >= rank, low + (bounds[i] - low) * (rank - before) / (within[i] - before)).otherwise(out)
+    return F.when(total > 0, out)
+
+
+def _value(rule: Rule) -> Column:
+    if rule.measure == "p95":
+        n = len(LATENCY_BUCKETS)
+        return histogram_quantile(0.95, [F.col(f"_s{i}") for i in range(n)], F.col(f"_s{n}"))
+    return F.try_divide(F.col("_s0"), F.col("_s1"))
+
+
 def window_values(log: DataFrame, rule: Rule) -> DataFrame:
     """(window_start, value) of the rule's measure.
 
-    Rows are first summed per pane of one slide, so a row is not copied into each window
-    that holds it; only the panes are.
+    Rows are first summed per pane of one slide to a fixed number of counts, so a row is not
+    copied into each window that holds it; only the panes are.
     """
     pane = F.window("ts", f"{rule.slide_minutes} minutes")["start"].alias("_pane")
-    if rule.measure == "p95":
-        counts = log.groupBy(pane, "latency_s").agg(F.count(F.lit(1)).alias("_n"))
-        rows = counts.select(_windows_of("_pane", rule).alias("window_start"), "latency_s", "_n")
-        return exact_quantiles(rows, ["window_start"], "latency_s", {"value": 0.95}, weight="_n")
-    hit = (
-        F.col("status").between(500, 599) if rule.measure == "error_ratio" else F.col("cache_hit")
-    )
-    panes = log.groupBy(pane).agg(
-        F.sum(hit.cast("bigint")).alias("_hit"), F.count(F.lit(1)).alias("_n")
-    )
-    rows = panes.select(_windows_of("_pane", rule).alias("window_start"), "_hit", "_n")
-    return rows.groupBy("window_start").agg((F.sum("_hit") / F.sum("_n")).alias("value"))
+    sums = _sums(rule)
+    names = [f"_s{i}" for i in range(len(sums))]
+    panes = log.groupBy(pane).agg(*sums).select(_windows_of("_pane", rule).alias("window_start"), *names)
+    whole = panes.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in names])
+    return whole.select("window_start", _value(rule).alias("value"))
 
 
 def window_rules(log: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -79,17 +101,16 @@ def window_rules(log: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def window_rule_stream(log: DataFrame, rule: Rule, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming form: sliding event-time windows, approximate percentile."""
+    """Streaming form: sliding event-time windows over the same counts, so of the same value.
+
+    The watermark bounds the state: a row that comes later than it is not counted.
+    """
     window = F.window("ts", f"{rule.size_minutes} minutes", f"{rule.slide_minutes} minutes")
-    measures = {
-        "p95": F.percentile_approx("latency_s", 0.95, 10_000),
-        "error_ratio": F.avg(F.col("status").between(500, 599).cast("double")),
-        "hit_rate": F.avg(F.col("cache_hit").cast("double")),
-    }
     return (
         log.withWatermark("ts", watermark)
         .groupBy(window)
-        .agg(measures[rule.measure].alias("value"))
+        .agg(*_sums(rule))
+        .withColumn("value", _value(rule))
         .select(
             F.lit(rule.name).alias("rule"), F.col("window.start").alias("window_start"),
             F.col("value").cast("double").alias("value"), rule.fires(F.col("value")).alias("firing"),

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from paddock import scratch
 from paddock.scratch import new_path
 from paddock.sources import feed
 from paddock.streaming import alerts, live, rules
@@ -55,13 +56,39 @@ def test_completed_laps_stream_survives_a_restart(spark, cut):
     assert rows(got) == rows(want)
 
 
-def test_repeated_batch_gives_the_same_state(spark):
-    path = new_path(spark, "seen")
-    table = live.Versioned(spark, path, "session_id string, car_number string, highest int")
-    for n, top in ((0, 3), (1, 5), (1, 5)):
-        table.write(spark.createDataFrame([("s", "44", top)], table.schema), n)
-    assert table.before(1).first().highest == 3 and table.latest().first().highest == 5
-    assert table.before(0).count() == 0
+def test_live_chain_stores_mapped_cars(spark):
+    path = new_path(spark, "chain")
+    cars = spark.createDataFrame([("44", "ham")], "car_number string, driver_id string")
+    whole = timing(spark, MESSAGES)
+    run_parts(spark, [whole.filter("seq <= 3"), whole.filter("seq > 3")], lambda s: live.lap_completions(s, path, cars, lambda: NOW))
+    laps = live.read_batches(spark, f"{path}/laps").drop("batch_id")
+    run_parts(spark, [laps], lambda s: live.upsert_laps(s, f"{path}/stored", f"{path}/upsert"))
+    got = spark.read.parquet(f"{path}/stored").collect()
+    assert sorted((r.driver_id, r.lap_number, r.created_at) for r in got) == [("ham", n, NOW) for n in (1, 3, 4)]
+
+
+def test_upsert_stores_laps_however_late(spark):
+    schema = "session_id string, driver_id string, lap_number int, lap_time_seconds double, created_at timestamp"
+    base = [("s", "d", n, 90.0 + n, NOW - timedelta(hours=n)) for n in range(6)]
+    path = new_path(spark, "late")
+    run_parts(spark, [spark.createDataFrame([r], schema) for r in base], lambda s: live.upsert_laps(s, f"{path}/t", f"{path}/c"))
+    assert sorted(r.lap_number for r in spark.read.schema(schema).parquet(f"{path}/t").collect()) == list(range(6))
+
+
+def test_wrong_shapes_are_rejected(spark):
+    bad = [("TimingData", '{"Lines": 5}'), ("TimingData", "[1]"), ("TimingData", "{}"), ("WeatherData", "7"), ("WeatherData", "null"), ("TimingData", None)]
+    parts = live.split_topics(spark.createDataFrame(bad, "topic string, payload string"))
+    assert rows(parts["rejects"]) == sorted(bad, key=repr)
+    assert all(parts[name].count() == 0 for name in ("cars", "timing", "weather"))
+
+
+def test_lineage_cuts_are_emptied(spark):
+    mark = scratch.made(spark)
+    held = scratch.materialise(spark.range(100), "life")
+    path = held.inputFiles()[0].rsplit("/", 1)[0]
+    assert held.count() == 100
+    scratch.clear(spark, mark)
+    assert spark.read.schema("x int").parquet(path).count() == 0 and scratch.made(spark) == mark
 
 
 def test_upsert_drops_duplicates_in_and_across_batches(spark):
@@ -193,11 +220,12 @@ def test_sustained_needs_an_unbroken_run(spark, small_chunks):
     assert got[4].firing_since is None and got[5].firing_since == NOW + timedelta(minutes=5)
 
 
-def test_stream_rules_close_windows_with_the_watermark(spark):
+@pytest.mark.parametrize("measure", ["hit_rate", "p95", "error_ratio"])
+def test_stream_rules_close_windows_with_the_watermark(spark, measure):
     log = spark.createDataFrame(
         [(NOW + timedelta(seconds=20 * i), i % 4 != 0, 200) for i in range(120)], "ts timestamp, cache_hit boolean, status int"
-    ).withColumn("latency_s", F.lit(1.0))
-    rule = rules.Rule("low", "hit_rate", 10, 5, 0.8, False, 10)
+    ).withColumn("latency_s", F.minute("ts") / 7.0)
+    rule = rules.Rule("low", measure, 10, 5, 0.8, False, 10)
     path = new_path(spark, "rule")
     stream = lambda s: rules.window_rule_stream(s, rule).writeStream.outputMode("append").format("parquet").option(
         "checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/out")
