@@ -121,7 +121,9 @@ def test_lookup_join_takes_each_way(spark):
         salted_join(left, right, ["k"], "full")
 
 
-def test_salting_only_repeats_hot_keys(spark):
+def test_salting_only_repeats_hot_keys(spark, monkeypatch):
+    assert hot_keys(spark.createDataFrame([("a", 1)] * 20, "k string, i int"), ["k"]).count() == 0  # a few rows are never hot
+    monkeypatch.setattr("paddock.operators.lookups.HOT_ROWS", 100)
     left = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(4000)] + [(None, -1)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("hot", 2)] + [(f"k{i}", i) for i in range(0, 4000, 4)], "k string, v int")
     assert [r.k for r in hot_keys(left, ["k"]).collect()] == ["hot"]
