@@ -42,7 +42,12 @@ from paddock.llm import textbytes as tb
 
 SAMPLES, SEED = 2, 7
 #: Bytes of text whose words share one lattice.
-PIECE = 2 << 20
+PIECE = 5 << 18
+#: Characters of text whose paths are drawn at once.
+TOGETHER = 1 << 19
+#: Sets of less log mass than this get no key: that one of them holds a largest key is less likely
+#: than a collision of hashes.
+FAINT = -60.0
 #: A piece of rank r weighs 1 / (r + FLATTEN); one byte of a character outside the vocabulary weighs BYTE.
 FLATTEN, BYTE = 10.0, 1e-7
 _SPACE, _OWN_MARK = 0x2581, 0x110000
@@ -148,7 +153,8 @@ class Lattice:
         degree = np.zeros(total, np.int64)
 
         def add(from_: np.ndarray, n: int, ids: np.ndarray, logs: np.ndarray) -> None:
-            edges.append((from_, degree[from_], from_ + n, ids, logs))
+            narrow = (x.astype(np.int32) for x in (from_, degree[from_], from_ + n, ids))
+            edges.append((*narrow, logs))
             degree[from_] += 1
 
         for n in range(1, pieces.longest + 1):
@@ -172,6 +178,8 @@ class Lattice:
         self.first[nodes_in_order] = heads
         self.degree = degree
         from_, nth, to, ids, logs_ = (np.concatenate(c) for c in zip(*edges))
+        edges.clear()
+        del prefix, place, live
         slot = self.first[from_] + nth
         self.origin, self.to, self.ids, logs = (np.empty(len(slot), x.dtype) for x in (from_, to, ids, logs_))
         self.origin[slot], self.to[slot], self.ids[slot], logs[slot] = from_, to, ids, logs_
@@ -240,10 +248,15 @@ class Path:
         self.keys = np.full(len(edge), -np.inf)  # of the sets that leave the path at each edge
 
 
-def sample_paths(lattice: Lattice, doc: np.ndarray, row_key: np.ndarray, k: int) -> tuple[list[Path], np.ndarray, np.ndarray]:
-    """``k`` paths of every text, whether each exists, and the threshold of each text."""
+def sample_paths(
+    lattice: Lattice, word: np.ndarray, doc: np.ndarray, row_key: np.ndarray, k: int
+) -> tuple[list[Path], np.ndarray, np.ndarray]:
+    """``k`` paths of every text, whether each exists, and the threshold of each text.
+
+    ``word`` and ``doc``: the distinct word and the text of each word of the texts.
+    """
     texts, words = len(row_key), len(doc)
-    enter = lattice.enter[lattice.word]
+    enter = lattice.enter[word]
     first_word = np.searchsorted(doc, np.arange(texts + 1))
     inside = np.arange(words) - first_word[doc]
 
@@ -261,17 +274,14 @@ def sample_paths(lattice: Lattice, doc: np.ndarray, row_key: np.ndarray, k: int)
         path = paths[s]
         count = np.diff(path.bound)
         step = np.arange(len(path.edge)) - np.repeat(path.bound[:-1], count)
-        rest = 1 - np.exp(lattice.log_share[path.edge])
-        at = path.bound[:-1] + since
-        ok = (since < count) & (left >= 0)
-        rest[at[ok]] = left[ok]
-        alone = lattice.degree[lattice.origin[path.edge]] < 2
-        rest = np.where(alone | (rest < 1e-12), 0.0, rest)
-        text = np.repeat(np.arange(texts), count)
-        u = _uniform(tb.mix(row_key[text] ^ np.uint64(s + 77)) + step.astype(np.uint64) * _GOLD)
-        with np.errstate(divide="ignore"):
-            keys = np.where(rest > 0, _gumbel(path.before + np.log(np.maximum(rest, 1e-300)), bound[text], u), -np.inf)
-        path.keys = np.where(step >= np.repeat(since, count), keys, -np.inf)
+        at = np.flatnonzero((step >= np.repeat(since, count)) & (path.before > FAINT) & (lattice.degree[lattice.origin[path.edge]] > 1))
+        text = np.repeat(np.arange(texts), count)[at]
+        rest = 1 - np.exp(lattice.log_share[path.edge[at]])
+        inherits = (step[at] == since[text]) & (left[text] >= 0)  # where the path left its set, earlier edges are gone too
+        rest[inherits] = left[text[inherits]]
+        at, text, rest = (x[rest > 1e-12] for x in (at, text, rest))
+        u = _uniform(tb.mix(row_key[text] ^ np.uint64(s + 77)) + step[at].astype(np.uint64) * _GOLD)
+        path.keys[at] = _gumbel(path.before[at] + np.log(rest), bound[text], u)
 
     split(0, top, np.zeros(texts, np.int64), np.full(texts, -1.0))
     for s in range(1, k + 1):
@@ -361,21 +371,32 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, bound
 
 
-def segment(texts: list[str], row_key: np.ndarray, pieces: Pieces, k: int):
-    """For each of ``k`` samples: exists, ids, bounds, log p; and log inclusion for each."""
+def segment(texts: list[str], row_key: np.ndarray, pieces: Pieces, k: int, together: int | None = None):
+    """Texts a to b, and for each of ``k`` samples: exists, ids, bounds, log p and log inclusion.
+
+    All texts share the lattice of their distinct words; paths are drawn for some texts at a time,
+    of ``together`` characters or one text, which is what bounds the memory.
+    """
     codes, bound = _codes(texts)
     start = np.flatnonzero(codes == _SPACE)
     end = np.append(start[1:], len(codes))
     doc = np.searchsorted(bound, start, "right") - 1
     lattice = Lattice(codes, start, end, pieces)
-    paths, exists, kappa = sample_paths(lattice, doc, row_key, k)
-    for s, path in enumerate(paths):
-        ids, at = piece_ids(lattice, pieces, path)
-        gap = np.where(kappa > -np.inf, path.log_p - np.where(kappa > -np.inf, kappa, 0), 700.0)
-        with np.errstate(divide="ignore", over="ignore"):
-            rate = np.exp(np.minimum(gap, 700))
-            inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-rate)))
-        yield exists[s], ids, at, path.log_p, np.minimum(inclusion, 0.0)
+    a = 0
+    while a < len(texts):
+        b = len(texts) if together is None else max(int(np.searchsorted(bound, bound[a] + together, "right")) - 1, a + 1)
+        lo, hi = np.searchsorted(doc, [a, b])
+        paths, exists, kappa = sample_paths(lattice, lattice.word[lo:hi], doc[lo:hi] - a, row_key[a:b], k)
+        out = []
+        for s, path in enumerate(paths):
+            ids, at = piece_ids(lattice, pieces, path)
+            gap = np.where(kappa > -np.inf, path.log_p - np.where(kappa > -np.inf, kappa, 0), 700.0)
+            with np.errstate(divide="ignore", over="ignore"):
+                rate = np.exp(np.minimum(gap, 700))
+                inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-rate)))
+            out.append((exists[s], ids, at, path.log_p, np.minimum(inclusion, 0.0)))
+        yield a, b, out
+        a = b
 
 
 def sampled_segmentations(
@@ -390,15 +411,16 @@ def sampled_segmentations(
             texts = [t or "" for t in tb.column(part, "text").to_pylist()]
             ids_of = tb.column(part, "doc_id")
             row_key = tb.mix(ids_of.fill_null(0).to_numpy().view(np.uint64) + np.uint64(seed * int(_GOLD) & (1 << 64) - 1))
-            for s, (exists, ids, at, log_p, inclusion) in enumerate(segment(texts, row_key, pieces, samples)):
+            drawn = ((a, s, *one) for a, _, out in segment(texts, row_key, pieces, samples, TOGETHER) for s, one in enumerate(out))
+            for a, s, exists, ids, at, log_p, inclusion in drawn:
                 keep = np.flatnonzero(exists)
                 raw = ids.astype("<i4")
                 back = decode(ids, pieces)
                 size = np.concatenate([np.zeros(1, np.int64), np.cumsum(pieces.size[ids])])
-                same = [np.array_equal(back[size[at[t]] + 1 : size[at[t + 1]]], data[offs[t] : offs[t + 1]]) for t in keep]
+                same = [np.array_equal(back[size[at[t]] + 1 : size[at[t + 1]]], data[offs[a + t] : offs[a + t + 1]]) for t in keep]
                 own = [raw[at[t] : at[t + 1]] for t in keep]
                 cols = [
-                    ids_of.take(pa.array(keep)), pa.array(np.full(len(keep), s, np.int32)), pa.array((at[1:] - at[:-1])[keep]),
+                    ids_of.take(pa.array(a + keep)), pa.array(np.full(len(keep), s, np.int32)), pa.array((at[1:] - at[:-1])[keep]),
                     pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()), pa.array(np.round(log_p[keep], 6)),
                     pa.array(np.round(inclusion[keep], 6)), pa.array(same, pa.bool_()),
                 ]

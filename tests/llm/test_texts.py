@@ -199,7 +199,7 @@ def test_segmentations_follow_the_lattice():
     all_ = {a + b: x + y for a, x in paths(pieces, known, "▁the") for b, y in paths(pieces, known, "▁cats")}
     total = np.logaddexp.reduce(list(all_.values()))
     keys = tb.mix(np.arange(4000, dtype=np.uint64) * np.uint64(77))
-    samples = list(piece_lattice.segment(["the cats"] * 4000, keys, pieces, 3))
+    ((_, _, samples),) = piece_lattice.segment(["the cats"] * 4000, keys, pieces, 3)
     seen, first, weighed = Counter(), Counter(), Counter()
     for s, (exists, ids, at, log_p, inclusion) in enumerate(samples):
         assert exists.all()
@@ -221,7 +221,8 @@ def test_segmentations_follow_the_lattice():
 
 def test_all_segmentations_of_a_short_text():
     pieces = piece_lattice.Pieces.of(MODEL)
-    out = [(e[0], tuple(i[a[0] : a[1]].tolist()), inc[0]) for e, i, a, _, inc in piece_lattice.segment(["ab"], np.array([5], np.uint64), pieces, 12)]
+    ((_, _, samples),) = piece_lattice.segment(["ab"], np.array([5], np.uint64), pieces, 12)
+    out = [(e[0], tuple(i[a[0] : a[1]].tolist()), inc[0]) for e, i, a, _, inc in samples]
     there = [o for o in out if o[0]]
     assert len({o[1] for o in there}) == len(there) < 12 and all(o[2] == 0 for o in there)
 
