@@ -27,6 +27,7 @@ in the order of their ids.  An empty table gives an empty file.  Extra columns a
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -99,6 +100,7 @@ class Words:
     _held: dict[str, Words] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,10 +118,10 @@ class Words:
         known = self.known
         if len(known) > REMEMBERED:  # keep what is in use
             self.known = known = {w: known[w] for words in cut for w in words if w in known}
-        new = list({w for words in cut for w in words if w not in known})
+        new = [w for w in set().union(*cut) if w not in known]
         ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         known.update(zip(new, (array("I", e.ids).tobytes() for e in ids)))
-        return [b"".join([known[w] for w in words]) for words in cut]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 def _tokenise(path: str):
