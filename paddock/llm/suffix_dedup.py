@@ -13,8 +13,8 @@ difference-cover algorithm, with two changes that keep the work near the repeate
    strings have equal samples wherever they start, and no gap exceeds ``REACH``.  Samples are
    named by the rank of the bytes that fix the next sample.
 3. *Triples.*  Names of three samples in a row are sorted and numbered; the numbers are the next
-   names, and the step repeats on them (three, nine, 27 samples) until every name
-   that occurs twice spans ``length`` bytes.  That is the order of sampled suffixes, as far as needed.
+   names, and the step repeats on them (three samples, nine) until every name that occurs
+   twice spans what step 4 needs.  That is the order of sampled suffixes, as far as needed.
 4. *Remaining suffixes* are merged by (bytes before the next content-defined sample, rank of that
    sample's suffix), sorted, and their prefixes of ``length`` bytes compared with the neighbour's.
    First the suffixes that start ``REACH`` - 1 bytes before a sample: between two of them that
@@ -58,7 +58,10 @@ class Sizes:
         self.gram = length * 4 // 5
         self.anchor = min(32, length // 10)
         self.reach = (length - self.anchor) * 3 // 10
-        self.fixes = 2 * self.reach + self.anchor + 1  # bytes after a sample that fix the next one
+        # Order counts this far behind a sample, as the bytes before it are compared for themselves.
+        self.needed = length - self.reach + 1
+        # Bytes that fix the next sample; and nine samples in a row, however dense, span what is needed.
+        self.fixes = max(2 * self.reach + self.anchor + 1, self.needed - 8)
         if self.reach < 2 or 3 * self.reach + self.anchor > length:
             raise ValueError("length is too short")
 
@@ -93,9 +96,7 @@ def _notes(sizes: Sizes, ranges: bool):
             count = len(data) - sizes.gram + 1
             if count <= sizes.length - sizes.gram:
                 continue
-            prefix = tb.prefix_hash(data)
-            at = np.arange(count)
-            h = tb.span_hash(prefix, at, at + sizes.gram)
+            h = tb.window_hash(tb.prefix_hash(data), sizes.gram)
             width = sizes.length - sizes.gram + 1
             least = _least(h, width)  # for each start of a string of ``length`` bytes
             valid = np.zeros(len(least) + 1, np.int32)
@@ -128,8 +129,7 @@ def _notes(sizes: Sizes, ranges: bool):
 def _samples(data: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions of a text, and its running hash."""
     prefix = tb.prefix_hash(data)
-    at = np.arange(len(data) - sizes.anchor + 1)
-    h = tb.span_hash(prefix, at, at + sizes.anchor)
+    h = tb.window_hash(prefix, sizes.anchor)
     least = _least(h, sizes.reach)
     pad = np.zeros(sizes.reach - 1, np.uint64)
     return np.flatnonzero(h == _least(np.concatenate([pad, least, pad]), sizes.reach, np.maximum)), prefix
@@ -227,7 +227,7 @@ def _suffix_ranks(parse: DataFrame, words: DataFrame, sizes: Sizes, tmp: Scratch
     """(seq, at, name): samples of each document with the ranks of their suffixes."""
     names = tmp.write(_numbered(words.groupBy("word").agg(F.first("bytes").alias("bytes")), "bytes").select("word", "name"))
     rows = parse.select("seq", F.posexplode(F.arrays_zip("at", "word")).alias("j", "r")).select("seq", "j", "r.at", "r.word")
-    now = tmp.write(_in_order(rows.join(names, "word"), "at", "name"))
+    now = tmp.write(_in_order(rows.join(names.hint("shuffle_hash"), "word"), "at", "name"))
     tmp.drop(names)
     step = 1
     while True:
@@ -244,9 +244,9 @@ def _suffix_ranks(parse: DataFrame, words: DataFrame, sizes: Sizes, tmp: Scratch
         reach = F.when(F.col("last") == 0, F.lit(1 << 30)).otherwise(F.col("last") + sizes.fixes - F.col("at"))
         triples = rows.withColumn("reach", reach).groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min("reach").alias("reach"))
         triples = tmp.write(_numbered(triples, "a", "b", "c"))
-        rows = rows.select("seq", "j", "at", "a", "b", "c").join(triples.select("a", "b", "c", "name"), ["a", "b", "c"])
+        rows = rows.select("seq", "j", "at", "a", "b", "c").join(triples.select("a", "b", "c", "name").hint("shuffle_hash"), ["a", "b", "c"])
         after = tmp.write(_in_order(rows, "at", "name"))
-        done = triples.where((F.col("n") > 1) & (F.col("reach") < sizes.length)).isEmpty()
+        done = triples.where((F.col("n") > 1) & (F.col("reach") < sizes.needed)).isEmpty()
         tmp.drop(now)
         tmp.drop(triples)
         now, step = after, 3 * step
@@ -298,7 +298,7 @@ def _repeated(tests: DataFrame, partners: DataFrame, tmp: Scratch) -> DataFrame:
     twice = found.where("edge = 0").select("head", "digest")
     if across:
         twice = twice.union(tests.sparkSession.createDataFrame(across, "head bigint, digest bigint"))
-    hit = tests.select("seq", "p", "head", "digest").join(twice.distinct(), ["head", "digest"])
+    hit = tests.select("seq", "p", "head", "digest").join(twice.distinct().hint("shuffle_hash"), ["head", "digest"])
     out = tmp.write(hit.groupBy("seq").agg(F.sort_array(F.collect_set("p")).alias("starts")))
     tmp.drop(found)
     return out
@@ -376,7 +376,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     with Scratch(docs.sparkSession, "suffix") as tmp:
         often = rows.select("text").mapInArrow(_notes(sizes, False), "note bigint, n bigint").groupBy("note").agg(F.sum("n").alias("n")).where("n > 1")
         notes = rows.select("k1", "k2", "text").mapInArrow(_notes(sizes, True), "note bigint, k1 bigint, k2 bigint, lo int, hi int")
-        ranges = notes.join(often.select("note"), "note").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+        ranges = notes.join(often.select("note").hint("shuffle_hash"), "note").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
         ranges = tmp.write(ranges.select("k1", "k2", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi")))
         held = tmp.write(rows.drop("doc_id").join(ranges, ["k1", "k2"]).withColumn("seq", F.monotonically_increasing_id()))
         tmp.drop(ranges)
@@ -402,7 +402,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         gaps = known.select("seq", "at", "head", "of", "gap", "starts").join(held.select("seq", "lo", "hi"), "seq")
         gaps = tmp.write(gaps.mapInArrow(_gaps(sizes), "kind int, head bigint, gap bigint, seq bigint, i int"))
         asked = gaps.where("kind = 0").select("head").distinct()
-        taking = gaps.where("kind = 1").join(asked, "head", "left_semi").groupBy("gap").agg(F.min(F.struct("seq", "i")).alias("r"))
+        taking = gaps.where("kind = 1").join(asked.hint("shuffle_hash"), "head", "left_semi").groupBy("gap").agg(F.min(F.struct("seq", "i")).alias("r"))
         taking = taking.groupBy("r.seq").agg(F.collect_list("r.i").alias("gaps"))
         known = known.select("seq", "at", "of", "starts").join(ranks.select("seq", "name"), "seq").join(taking, "seq", "left")
         known = tmp.write(known.withColumn("gaps", F.coalesce("gaps", no)))

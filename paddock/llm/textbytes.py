@@ -96,6 +96,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+def window_hash(prefix: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` bytes in a row, cheaper than ``span_hash`` and with other values."""
+    out = prefix[n:] - prefix[:-n]
+    _, down = powers(len(prefix))
+    out *= down[: len(out)]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out
+
+
 def spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run without ``space``; runs end with their text."""
     inside = ~space[data]
