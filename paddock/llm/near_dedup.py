@@ -12,11 +12,10 @@ How the whole job is done without all pairs:
 * The centre of a bucket is the node that shares most buckets with others: of many edited
   copies that is the text they come from.
 * After components are formed, buckets that still hold several components get a new centre,
-  drawn for each bucket by hash, and its edges to nodes of other components are tested; so a node
-  apart from its family meets as many of its members as the two share buckets.  Then again.
-* What is then still undivided - pairs in one bucket, in different components, of sizes that
-  allow the similarity, not tested yet - is tested pair by pair.  That is the exact way for the
-  rest; for families of similar but not linked texts it may be many pairs.
+  drawn by hash, and its edges to nodes of other components are tested.  Then again.
+* Nodes whose buckets are then still divided are compared where they are in different
+  components and share one of the rarest shingles of each, which linked sets must.  That is the
+  exact way for the rest: a passage shared by many otherwise different texts is never rare.
 
 With 48 bands of 5 bins a pair at similarity 0.8 meets in no bucket with probability 6e-9.
 
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm import textbytes as tb
@@ -44,7 +43,7 @@ from paddock.scratch import Scratch, materialise
 
 BANDS, WIDTH = 48, 5
 BINS = BANDS * WIDTH
-CENTRE_ROUNDS = 4
+CENTRE_ROUNDS = 2
 _donors: list[np.ndarray] = []
 
 
@@ -139,6 +138,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.select("a", "b", (100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).alias("linked"))
 
 
+def _sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that share one of the rarest shingles of each.
+
+    Two linked sets differ in so few shingles that they share one of the n - ceil(n * percent / 100) + 1
+    rarest of either, so no link is lost; texts that only share a passage do not meet.  Where they
+    first meet in the order of rarity, no more shingles can follow than remain: pairs that cannot
+    reach the similarity from there are not formed.
+    """
+    rows = sets.join(nodes, "node").select("node", "component", "n", F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))  # as many rows as the set
+    rare = rows.join(common, "s").withColumn("place", place)
+    rare = rare.where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    several = rare.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    rare = rare.join(several, "s").select("s", F.col("node").alias("a"), "component", "n", "place")
+    other = rare.select("s", F.col("a").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    most = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("nb"))
+    return rare.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & enough)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -161,18 +181,17 @@ def near_duplicates(
         home = nodes.select("node", F.col("node").alias("component"), "popular")
         for turn in range(CENTRE_ROUNDS + 1):
             here = placed.join(home, "node")
-            mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            rank = F.col("popular") if turn == 0 else F.xxhash64("bucket", "node", F.lit(turn))
             if turn < CENTRE_ROUNDS:
+                rank = F.col("popular") if turn == 0 else F.xxhash64("node", F.lit(turn))
                 centre = here.groupBy("bucket").agg(
                     F.min("component").alias("lo"), F.max("component").alias("hi"),
                     F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("minus"), "component", "n")).alias("c"),
                 ).where("lo < hi").select("bucket", (-F.col("c.minus")).alias("b"), F.col("c.component").alias("cb"), F.col("c.n").alias("nb"))
                 pairs = here.join(centre, "bucket").where("component <> cb").select(F.col("node").alias("a"), "b", "n", "nb")
             else:
-                open_ = here.join(mixed.where("lo < hi").select("bucket"), "bucket").select("bucket", "node", "component", "n")
-                other = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-                pairs = open_.withColumnRenamed("node", "a").join(other, "bucket").where("a < b AND component <> cb")
+                mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+                open_ = here.join(mixed.select("bucket"), "bucket").select("node", "component", "n").distinct()
+                pairs = _sharing_rare(open_, sets, percent)
             pairs = pairs.where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select("a", "b").distinct()
             if tested is not None:
                 done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
