@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document, with their inclusion scores."""
-    return piece_lattice.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return piece_lattice.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -167,7 +167,7 @@ def op7_gumbel_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_lattice.sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
+    return piece_lattice.sampled_segmentations(table(spark, sf_dir, "documents"), model)
 
 
 @query("op2_suffix_array")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -153,5 +154,10 @@ def test_pipeline_stages(spark, tables):
     assert {r.doc_id for r in rows} == set(kept["decontaminate"]) and all(r.decodes for r in rows)
 
 
+def test_last_stage_gives_the_ids(spark, tables):
+    rows = corpus_pipeline.STAGES[4][1](spark, tables["documents"].limit(20), SF).collect()
+    assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in rows)
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

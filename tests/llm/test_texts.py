@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -219,6 +220,10 @@ def test_segmentations_follow_the_lattice():
     assert len(set(tuple(ids[at[0] : at[1]].tolist()) for _, ids, at, _, _ in samples)) == 3
 
 
+def test_segmentations_of_the_query_have_ids(spark):
+    assert "ids" in queries.QUERIES["op7_gumbel_lattice"](spark, SF).columns
+
+
 def test_all_segmentations_of_a_short_text():
     pieces = piece_lattice.Pieces.of(MODEL)
     ((_, _, samples),) = piece_lattice.segment(["ab"], np.array([5], np.uint64), pieces, 12)
