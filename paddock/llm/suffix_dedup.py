@@ -318,7 +318,7 @@ def _open_starts(part: pa.RecordBatch, k: int, n: int, sizes: Sizes) -> tuple[np
 
 
 def _gaps(sizes: Sizes):
-    """What open gaps end in (kind 0: head), and the settled gaps (kind 1: head, hash of the gap, place)."""
+    """What open gaps end in (kind 0: head), and the settled gaps (kind 1: each head, hash of the gap, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -328,8 +328,11 @@ def _gaps(sizes: Sizes):
                 starts, tested, settled, at = _open_starts(part, k, n, sizes)
                 head = _ints(part, "head", k)
                 ends = np.unique(np.searchsorted(at, np.flatnonzero(starts) + sizes.reach - 1))
-                i = np.flatnonzero(settled)
-                heads += [head[ends], head[_ints(part, "of", k)[i + 1]]]
+                # The starts in a gap end in any sample up to the gap's last.
+                of, i = _ints(part, "of", k), np.flatnonzero(settled)
+                i = np.repeat(i, of[i + 1] - of[i])
+                ending = np.arange(len(i)) - np.searchsorted(i, i) + of[i] + 1
+                heads += [head[ends], head[ending]]
                 gaps += [np.zeros(len(ends), np.int64), _ints(part, "gap", k)[i]]
                 places += [np.zeros(len(ends), np.int64), i]
                 kinds += [np.zeros(len(ends), np.int64), np.ones(len(i), np.int64)]

@@ -120,6 +120,20 @@ def test_repeated_strings(spark, length):
     check_removed(spark, rows, length, clashing=True)
 
 
+def test_overlapping_quotes_of_one_text(spark):
+    """Quotes whose only partner lies inside a gap between repeated samples."""
+    random.seed(9)
+    text = lambda n: "".join(random.choice("abcdefgh \n") for _ in range(n))
+    rows = []
+    for _ in range(25):
+        base = text(2500)
+        rows.append((len(rows), base))
+        for _ in range(14):
+            at = random.randrange(1950)
+            rows.append((len(rows), text(30) + base[at : at + random.randrange(400, 521)] + text(30)))
+    check_removed(spark, rows, 400)
+
+
 def test_repeated_strings_on_odd_rows(spark, odd, nothing):
     check_removed(spark, ODD, 400)
     assert suffix_dedup.repeated_bytes(nothing).count() == 0
