@@ -7,8 +7,9 @@ it: presentation (in how many ways the node is laid out, by the sequence of its
 content (in how many ways it reads).  Branches whose larger importance is low - the same
 words in the same layout on page after page - are removed from each page, unless they carry
 much of the host's text.  Elements that say themselves what they are (navigation, footer, form,
-script, a class such as ``sidebar`` or ``comments``) have no presentation importance, whatever
-they read; where a page has an article (or main) element, so has all outside it.
+script, a whole class, id or role such as ``sidebar`` or ``comments``) have no presentation
+importance, whatever they read, but named ones stay if they carry much of the host's text, and no name
+counts on html, body, main, article or what lies around the only articles; where a page has an article (or main) element, so has all outside it.
 
 Two scans of the pages: one emits a row per page and style node, which are summed by value and
 then by node, so a host of any size is only ever sums; one extracts.  The removed nodes of each
@@ -48,7 +49,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
 )
 APART = frozenset(
-    "aside audio button canvas dialog embed fieldset figcaption footer form head iframe label menu nav noscript object option select svg template textarea title video".split()
+    "aside audio button canvas embed fieldset footer form head iframe menu nav noscript object option select svg template textarea video".split()
 )
 SELF_CLOSING = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
                 "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
@@ -69,7 +70,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that hold the text are furniture by no name of theirs.
+NEVER_APART = frozenset("html body main article".split())
 _DIGITS = re.compile(r"\d+")
 
 
@@ -77,16 +79,27 @@ def _child(path: int, name: str) -> int:
     return xxhash.xxh64_intdigest(name, path & 0xFFFFFFFFFFFFFFFF)
 
 
+class Element:
+    """An open element: style node, and whether it is apart by its tag, inside an article, furniture
+    by its name, or around an article."""
+
+    __slots__ = ("tag", "up", "path", "apart", "inside", "named", "around")
+
+    def __init__(self, tag: str, up: "Element | None", path: int, apart: bool = False, inside: bool = False, named: bool = False):
+        self.tag, self.up, self.path, self.apart, self.inside, self.named = tag, up, path, apart, inside, named
+        self.around = False
+
+
 class Page:
-    """Blocks of a page in order, each with the chain of style nodes around it."""
+    """Blocks of a page in order, each with the chain of style nodes around it, or furniture's own node."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []  # text, style nodes, inside the article
-        self.children: dict[int, list[str]] = {}
+        self._blocks: list[tuple[str, Element]] = []
+        self._nested: list[tuple[Element, str]] = []
         self._words: list[str] = []
-        # tag, style node, apart, inside article
-        self._open: list[tuple[str, int, bool, bool]] = [("", 1, False, False)]
+        self._open: list[Element] = [Element("", None, 1)]
         self.has_article = False
+        self._free = False  # an article lies in no furniture
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -98,11 +111,42 @@ class Page:
                     self._end(tag)
                 else:
                     self._start(tag, m[4])
+            elif m[1] and m[1].lower() == "title" and self._open[-1].inside:  # not that of the page
+                self._text(m[0].partition(">")[2].rpartition("</")[0])
         self._text(source[at:])
         self._flush()
+        self.blocks: list[tuple[str, tuple[int, ...], bool, int | None]] = []  # text, style nodes, inside the article, furniture
+        self.children: dict[int, list[str]] = {}
+        known: dict[Element, tuple[tuple[int, ...], int | None]] = {}
+        for text, e in self._blocks:
+            nodes, furniture = self._chain(e, known)
+            self.blocks.append((text, nodes, e.inside, furniture))
+        for e, name in self._nested:
+            if self._chain(e.up, known)[1] is None and not self._furniture(e):
+                self.children.setdefault(e.up.path, []).append(name)
+
+    def _furniture(self, e: Element) -> bool:
+        """Whether the name counts: not around the article, unless another one lies free."""
+        return e.named and (self._free or not e.around)
+
+    def _chain(self, e: Element, known: dict) -> tuple[tuple[int, ...], int | None]:
+        """Style nodes from the root to an element, and the outermost furniture among them."""
+        below = []
+        at: Element | None = e
+        while at is not None and at not in known:
+            below.append(at)
+            at = at.up
+        nodes, furniture = known[at] if at is not None else ((), None)
+        for one in reversed(below):
+            if not nodes or nodes[-1] != one.path:
+                nodes = (*nodes, one.path)
+            if furniture is None and self._furniture(one):
+                furniture = one.path
+            known[one] = nodes, furniture
+        return nodes, furniture
 
     def _text(self, raw: str) -> None:
-        if not self._open[-1][2]:
+        if not self._open[-1].apart:
             self._words.append(html.unescape(raw))
 
     def _flush(self) -> None:
@@ -110,7 +154,7 @@ class Page:
             text = " ".join("".join(self._words).split())
             self._words = []
             if text:
-                self.blocks.append((text, tuple(dict.fromkeys(n[1] for n in self._open)), self._open[-1][3]))
+                self._blocks.append((text, self._open[-1]))
 
     def _pop_to(self, at: int) -> None:
         self._flush()
@@ -127,45 +171,50 @@ class Page:
             closes = frozenset({"p"})
         if closes:
             for at in range(len(self._open) - 1, 0, -1):
-                if self._open[at][0] in closes:
+                if self._open[at].tag in closes:
                     self._pop_to(at)
                     break
-                if self._open[at][0] in SCOPE:
+                if self._open[at].tag in SCOPE:
                     break
         name = tag
         words: list[str] = []
         if attributes:
             held = [(k.lower(), a or b or c) for k, a, b, c in _NAME.findall(attributes)]
             if held:
-                words = [w.lower() for _, v in held for w in _PART.findall(v)]
+                words = [w for _, v in held for w in v.lower().split()]
                 name += "." + ".".join(_DIGITS.sub("#", v) for _, v in sorted(held))
-        _, path, apart, inside = self._open[-1]
-        if tag in INLINE and not (words and not NAMED_APART.isdisjoint(words)):
-            self._open.append((tag, path, apart, inside))
+        up = self._open[-1]
+        named = tag not in NEVER_APART and not NAMED_APART.isdisjoint(words)
+        if tag in INLINE and not named:
+            self._open.append(Element(tag, up, up.path, up.apart, up.inside))
             return
         self._flush()
-        apart = apart or tag in APART or (tag == "header" and not inside) or not NAMED_APART.isdisjoint(words)
+        apart = up.apart or tag in APART or (tag == "header" and not up.inside)
+        here = Element(tag, up, _child(up.path, name), apart, up.inside, named)
         if tag in ("article", "main") and not apart:
-            inside = self.has_article = True
+            here.inside = self.has_article = True
+            self._free = self._free or not any(e.named for e in self._open)
+            for e in self._open:
+                e.around = True
         if not apart:
-            self.children.setdefault(path, []).append(name)
-        self._open.append((tag, _child(path, name), apart, inside))
+            self._nested.append((here, name))
+        self._open.append(here)
 
     def _end(self, tag: str) -> None:
         for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] == tag:
-                if tag in INLINE and not self._open[at][2]:
+            if self._open[at].tag == tag:
+                if tag in INLINE and not self._open[at].named:
                     del self._open[at]
                 else:
                     self._pop_to(at)
                 return
 
-    def kept(self) -> list[tuple[str, tuple[int, ...]]]:
-        """Blocks with presentation importance: inside the article, where there is one."""
-        return [(text, nodes) for text, nodes, inside in self.blocks if inside or not self.has_article]
+    def kept(self) -> list[tuple[str, tuple[int, ...], int | None]]:
+        """Blocks with presentation importance, inside the article, where there is one; furniture's may go."""
+        return [(text, nodes, furniture) for text, nodes, inside, furniture in self.blocks if inside or not self.has_article]
 
     def text(self, removed: frozenset[int]) -> str:
-        return "\n".join(text for text, nodes in self.kept() if removed.isdisjoint(nodes))
+        return "\n".join(text for text, nodes, _ in self.kept() if removed.isdisjoint(nodes))
 
 
 def _signed(x: int) -> int:
@@ -173,15 +222,20 @@ def _signed(x: int) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, kind, value, chars) of each page and style node: kind 0 layout, 1 content."""
+    """(host, node, kind, value, chars) of each page and style node: kind 0 layout, 1 content, 2 furniture."""
     for part, _, _ in tb.pieces(batches, "html"):
         out: list[tuple[str, int, int, int, int]] = []
         for host, source in zip(tb.column(part, "host").to_pylist(), tb.column(part, "html").to_pylist()):
             page = Page(source or "")
             reads: dict[int, list[str]] = {}
-            for text, nodes in page.kept():
+            beside: dict[int, int] = {}
+            for text, nodes, furniture in page.kept():
+                if furniture is not None:
+                    beside[furniture] = beside.get(furniture, 0) + len(text)
+                    continue
                 for node in nodes:
                     reads.setdefault(node, []).append(text)
+            out += [(host, _signed(node), 2, 0, chars) for node, chars in beside.items()]
             for node, texts in reads.items():
                 layout = xxhash.xxh64_intdigest(" ".join(page.children.get(node, ())))
                 content = xxhash.xxh64_intdigest("\n".join(texts))
@@ -193,7 +247,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content, chars) of every style node; needs host and html."""
+    """(host, node, pages, presentation, content, chars, furniture) of every style node; needs host and html.
+
+    What lies in furniture has characters of its own and counts for no node around it.
+    """
     seen = pages.mapInArrow(_nodes, "host string, node bigint, kind int, value bigint, chars bigint")
     values = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
@@ -201,20 +258,22 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
 
     spread = F.col("n") * F.log("n")
-    nodes = values.groupBy("host", "node").agg(of(1, F.col("n")).alias("pages"), of(0, spread).alias("s0"), of(1, spread).alias("s1"), F.sum("chars").alias("chars"))
+    nodes = values.groupBy("host", "node").agg(of(1, F.col("n")).alias("pages"), of(0, spread).alias("s0"), of(1, spread).alias("s1"), of(1, F.col("chars")).alias("chars"), of(2, F.col("chars")).alias("furniture"))
     most = F.log("pages")
 
     def entropy(s: str):  # (log m - sum(n log n) / m) / log m
         return F.when(F.col("pages") > 1, 1 - F.col(s) / (F.col("pages") * most)).otherwise(F.lit(1.0))
 
-    return nodes.select("host", "node", "pages", entropy("s0").alias("presentation"), entropy("s1").alias("content"), "chars")
+    return nodes.select("host", "node", "pages", entropy("s0").alias("presentation"), entropy("s1").alias("content"), "chars", "furniture")
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, removed): style nodes of low importance."""
-    whole = tree.groupBy("host").agg(F.max("chars").alias("all"))  # the root's characters are the host's
+    """(host, removed): style nodes of low importance; furniture has none, however it reads."""
+    # The root's characters are the host's, besides those in furniture.
+    whole = tree.groupBy("host").agg(F.max("chars").alias("all"), F.sum("furniture").alias("beside"))
     low = (F.greatest("presentation", "content") < LOW) & (F.col("pages") >= MIN_PAGES) & (F.col("chars") <= MUCH_TEXT * F.col("all"))
-    return tree.join(whole, "host").where(low).groupBy("host").agg(F.collect_set("node").alias("removed"))
+    furniture = (F.col("furniture") > 0) & (F.col("furniture") <= MUCH_TEXT * (F.col("all") + F.col("beside")))
+    return tree.join(whole, "host").where(low | furniture).groupBy("host").agg(F.collect_set("node").alias("removed"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,3 +295,18 @@ def test_url_templates(spark):
     labels = [(k, int(k % 2)) for k in range(0, 400, 3)]
     got = url_templates.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
     assert {(r.template, r.verdict) for r in got} == {("/junk/*/#.html", "block"), ("/news/*/#.html", "allow")}
+
+
+def test_names_do_not_empty_a_page(spark):
+    text = "A story that is told at some length here and goes on"
+    sources = [
+        f"<body class='has-sidebar'><article class='post no-comments'><p>{text}</p></article></body>",
+        f"<body class='comments'><div id='content-widget'><p>{text}</p></div></body>",
+        f"<body><div class='widget'><main role='main' class='search'><p>{text}</p></main></div></body>",
+        f"<body><div class='widget'><p>{text}</p></div></body>",
+        f"<article><p>{text}</p><figure><figcaption>{text}</figcaption></figure><dialog>{text}</dialog><label>{text}</label></article>",
+        f"<body><article><p>{text}</p><div class='comments'><article>Nice</article></div></article></body>",
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.org/", s) for k, s in enumerate(sources)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in site_style.main_text(df).collect()}
+    assert got == {0: text, 1: text, 2: text, 3: text, 4: "\n".join([text] * 4), 5: text}
