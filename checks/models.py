@@ -1,4 +1,4 @@
-"""Fitted models over the lap tables; few boosting rounds keep the check short."""
+"""Fitted models over the lap tables, with the operators' own rounds, depth and folds."""
 
 from __future__ import annotations
 
@@ -17,8 +17,6 @@ from paddock.plans import pitstops
 from paddock.scratch import new_path
 from paddock.sources import lapview as v
 
-QUICK = tyres.BoostParams(rounds=3, depth=3, folds=2)
-
 
 def model_laps(spark, root) -> tuple[DataFrame, dict[str, DataFrame]]:
     held = with_season(spark, root, v.laps(spark, root)).select(
@@ -29,16 +27,16 @@ def model_laps(spark, root) -> tuple[DataFrame, dict[str, DataFrame]]:
     return held, {c: encode.code_table(held, c) for c in ("circuit_id", "driver_id")}
 
 
-def _tyres(spark, root, cv: bool = False) -> tuple[tyres.TyreModels, DataFrame, dict]:
+def _tyres(spark, root) -> tuple[tyres.TyreModels, DataFrame, dict]:
     held, codes = model_laps(spark, root)
     train, holdout = (tyres.tyre_features(part, codes) for part in season_split(held))
-    return tyres.fit_tyre_models(train, holdout, QUICK, cv), train, codes
+    return tyres.fit_tyre_models(train, holdout), train, codes
 
 
 @query("h01_tyre_models")
 def h01(spark, root):
     """Rows and errors of each compound's model, cross-validated by session."""
-    models, _, _ = _tyres(spark, root, cv=True)
+    models, _, _ = _tyres(spark, root)
     rows = [(n, m.rows, m.cv_mae, m.cv_rmse, m.holdout_mae) for n, m in models.by_name.items()]
     return spark.createDataFrame(rows, "model string, rows bigint, cv_mae double, cv_rmse double, holdout_mae double")
 
@@ -54,7 +52,7 @@ def h05_run(spark, root):
     """A whole training run into an empty store: every model is new, so all are promoted."""
     held, _ = model_laps(spark, root)
     store = registry.ModelStore(spark, new_path(spark, "store"))
-    rows = training.train_all(held, v.stints(spark, root), store, "20240101-000000", QUICK, cv=False)
+    rows = training.train_all(held, v.stints(spark, root), store, "20240101-000000")
     return rows.select("model_name", "version", "promotion_basis", "promoted", F.round("holdout_mae", 6).alias("holdout_mae"))
 
 
@@ -62,7 +60,7 @@ def h05_run(spark, root):
 def h02(spark, root):
     """Pit probability of every training row."""
     frame = pit_frame(spark, root)
-    model = pits.fit_pit_model(frame, QUICK, cv=False)
+    model = pits.fit_pit_model(frame)
     scored = tyres.positive_score(model.model)(frame.select(*DRIVER, "lap_number", *fixed.PIT_FEATURES))
     return scored.select(*DRIVER, "lap_number", F.round("prediction", 6).alias("pit_probability"))
 
