@@ -5,8 +5,9 @@ Given rules decide first.  For the rest, the paths of each host form a tree of s
 1. Variable segments become wildcards: digit runs are masked at once; then, level by level, a
    segment under one parent template is a wildcard if the parent has more than ``BRANCHES``
    different segments and the segment holds less than ``RARE`` of the parent's urls.
-2. Branches are merged with their siblings under one parent template while the share of bad
-   labels is statistically alike (a z-test of the branch against the parent's pool).
+2. From the leaves upwards, level by level, branches are merged with their siblings under one
+   parent template while the share of bad labels is statistically alike (a z-test of the branch
+   against the parent's pool).
 3. A template is rejected if its labelled purity is below ``PURITY``.  Purity is smoothed towards
    the purity of the host, and that towards the purity of all urls.
 
@@ -23,12 +24,14 @@ rows give repeated rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.scratch import Scratch, materialise
 
-LEVELS, BRANCHES, RARE = 6, 20, 0.05
+BRANCHES, RARE = 20, 0.05
 ALIKE, PURITY, STRENGTH = 1.96, 0.5, 10.0
 
 #: (verdict, host, path) of the given rules.
@@ -65,29 +68,58 @@ def mask(path: Column) -> Column:
 
 
 def _generalise(urls: DataFrame, tmp: Scratch) -> DataFrame:
-    """Adds ``template`` to sums by (host, masked path); each level is written, so that plans stay small."""
-    segments = F.split("masked", "/", LEVELS + 1)  # what lies deeper stays in the last segment
-    urls = urls.withColumns({"segments": segments, "template": F.lit("")})
-    for level in range(1, LEVELS + 1):
-        here = F.get("segments", F.lit(level))
-        urls = urls.withColumn("segment", here)
-        held = urls.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        parent = held.groupBy("host", "template").agg(F.sum("n").alias("all"), F.count("*").alias("branches"))
-        wild = held.join(parent, ["host", "template"]).where((F.col("branches") > BRANCHES) & (F.col("n") < RARE * F.col("all")))
-        wild = wild.select("host", "template", "segment", F.lit(True).alias("wild"))
-        urls = urls.join(wild, ["host", "template", "segment"], "left").withColumn(
-            "template",
-            F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))
-            ),
-        ).drop("wild", "segment")
-        urls = tmp.write(urls)
-        if level > 1:
-            tmp.drop(last)
-        last = urls
-        if urls.where(F.size("segments") > level + 1).isEmpty():
-            break
-    return urls.drop("segments")
+    """Adds ``template`` to sums by (host, masked path).
+
+    Each level is written, so that plans stay small.  A parent of at most ``BRANCHES`` different
+    paths has no wildcard below, so they are done as they are: only crowded parents go deeper.
+    """
+    open_ = urls.withColumns({"segments": F.split("masked", "/"), "template": F.lit("")})
+    done, level = [open_.where(F.size("segments") < 2).drop("segments")], 1
+    open_ = open_.where(F.size("segments") > 1)
+    while not open_.isEmpty():
+        here = open_.withColumn("segment", F.get("segments", F.lit(level)))
+        held = here.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
+        parent = held.groupBy("host", "template").agg(F.sum("n").alias("all"), F.count("*").alias("branches"), F.sum("paths").alias("paths"))
+        few = parent["paths"] <= BRANCHES
+        wild = (F.col("branches") > BRANCHES) & (F.col("n") < RARE * F.col("all"))
+        known = held.drop("paths").join(parent, ["host", "template"]).select("host", "template", "segment", wild.alias("wild"), few.alias("few"))
+        rest = F.array_join(F.slice("segments", F.lit(level + 1), F.size("segments")), "/")
+        step = F.when(F.col("few"), rest).when(F.col("wild"), F.lit("*")).otherwise(F.col("segment"))
+        last = F.col("few") | (F.size("segments") == level + 1)
+        here = tmp.write(
+            here.join(known.where("wild OR few"), ["host", "template", "segment"], "left").withColumns(
+                {"wild": F.coalesce("wild", F.lit(False)), "few": F.coalesce("few", F.lit(False))}
+            ).withColumns({"template": F.concat("template", F.lit("/"), step), "done": last}).drop("wild", "few", "segment")
+        )
+        done.append(here.where("done").drop("segments", "done"))
+        open_ = here.where("NOT done").drop("done")
+        level += 1
+    return tmp.write(reduce(DataFrame.unionByName, done))
+
+
+def _pooled(urls: DataFrame) -> DataFrame:
+    """(host, template, labelled, bad): the counts of the largest pool each template merges into.
+
+    From the leaf upwards, a branch joins its parent's pool while the branch has no label or its
+    share of bad ones is like the pool's; it takes the counts of the first that does not join.
+    """
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    leaf = urls.groupBy("host", "template").agg(*sums)
+    cut = F.split("template", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda k: F.array_join(F.slice(cut, F.lit(1), k), "/"))
+    # What ends at a template is a branch beside the deeper ones.
+    chain = leaf.select("host", "template", "labelled", "bad", F.posexplode(F.concat(up, F.array("template"))).alias("depth", "node"))
+    leafs = chain["depth"] == F.size(cut)
+    chain = chain.withColumns({"ends": leafs, "above": F.when(leafs, F.col("template")).otherwise(F.regexp_replace("node", "/[^/]*$", ""))})
+    nodes = chain.groupBy("host", "node", "ends", "depth", "above").agg(*sums)
+    pool = nodes.where("NOT ends").select("host", F.col("node").alias("above"), *[F.col(c).alias(f"pool_{c}") for c in ("labelled", "bad")])
+    share = F.col("pool_bad") / F.greatest("pool_labelled", F.lit(1))
+    spread = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
+    alike = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= ALIKE * spread
+    merged = (F.col("depth") > 0) & ((F.col("labelled") == 0) | alike)
+    apart = nodes.join(pool, ["host", "above"]).where(~merged).select("host", "node", "ends", "labelled", "bad")
+    found = chain.select("host", "template", "node", "ends", "depth").join(apart, ["host", "node", "ends"])
+    return found.groupBy("host", "template").agg(F.max_by(F.struct("labelled", "bad"), "depth").alias("r")).select("host", "template", "r.*")
 
 
 def judge_urls(
@@ -109,15 +141,7 @@ def judge_urls(
         )
         urls = _generalise(urls, tmp)
         sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
-        leaf = urls.groupBy("host", "template").agg(*sums).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-        pool = leaf.groupBy("host", "parent").agg(*[F.sum(c).alias(f"pool_{c}") for c in ("labelled", "bad")])
-        share = F.col("pool_bad") / F.greatest("pool_labelled", F.lit(1))
-        spread = F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1)))
-        alike = F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - share) <= ALIKE * spread
-        merged = (F.col("labelled") == 0) | alike
-        leaf = leaf.join(pool, ["host", "parent"]).withColumns(
-            {c: F.when(merged, F.col(f"pool_{c}")).otherwise(F.col(c)) for c in ("labelled", "bad")}
-        )
+        leaf = _pooled(urls)
         every = urls.agg(*sums).first()
         overall = 1 - (every["bad"] or 0) / max(every["labelled"] or 0, 1)
         hosts = urls.groupBy("host").agg(*sums)

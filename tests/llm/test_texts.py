@@ -297,6 +297,25 @@ def test_url_templates(spark):
     assert {(r.template, r.verdict) for r in got} == {("/junk/*/#.html", "block"), ("/news/*/#.html", "allow")}
 
 
+def test_url_templates_of_long_paths(spark):
+    deep = [(k, f"http://h.com/a/b/c/d/e/f/{'spam' if k % 2 else 'ok'}/{'abcdefghij'[k % 10]}{'qrstuvwxyz'[k // 10 % 10]}{'klmno'[k // 100]}") for k in range(400)]
+    one = [(1000, "http://h.com/" + "/".join("xyz"[k % 3] for k in range(300)))]
+    labels = [(k, int(k % 2)) for k in range(0, 400, 3)]
+    got = url_templates.judge_urls(spark.createDataFrame(deep + one, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
+    held = {(r.template, r.verdict) for r in got if r.page_id < 1000}
+    assert held == {("/a/b/c/d/e/f/spam/*", "block"), ("/a/b/c/d/e/f/ok/*", "allow")}
+    assert [r.template for r in got if r.page_id == 1000] == [one[0][1][len("http://h.com") :]]
+
+
+def test_url_branches_merge_upwards(spark):
+    """A leaf without labels, and a parent without any, are judged by what lies above."""
+    pages = [(k, f"http://h.com/bad/x{'abcdefgh'[k % 8]}/{'pqrstuvw'[k // 8 % 8]}/page") for k in range(64)] + [(100 + k, f"http://h.com/good/{'abcdefgh'[k % 8]}/page") for k in range(64)]
+    labels = [(k, 1) for k in range(64) if k % 8] + [(100 + k, 0) for k in range(64)]
+    got = url_templates.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
+    assert {r.verdict for r in got if r.page_id < 64} == {"block"} and {r.verdict for r in got if r.page_id >= 100} == {"allow"}
+    assert len({r.purity for r in got if r.page_id < 64}) == 1
+
+
 def test_names_do_not_empty_a_page(spark):
     text = "A story that is told at some length here and goes on"
     sources = [
