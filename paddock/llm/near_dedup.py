@@ -24,8 +24,10 @@ Work: one scan for signatures, one for the sets of documents that share a bucket
 
 Defined results: a null or empty text, or white space only, has no shingle, is linked with
 nothing and kept.  A text of fewer words than a shingle has its whole word sequence as its only
-shingle.  Rows of one doc_id are one node.  A row without doc_id is linked with nothing, has a
-null component_id and is kept.  Extra columns are ignored.
+shingle.  A row is known by its doc_id and the hash of its text: rows that repeat a doc_id with
+another text are judged for themselves, equal rows alike.  A component is named by its smallest
+doc_id and keeps the row of the smallest (doc_id, hash).  A row without doc_id is linked with
+nothing, has a null component_id and is kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.llm import textbytes as tb
@@ -108,11 +110,12 @@ def _sketch(words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     tb.column(part, "doc_id"),
+                    tb.column(part, "k2"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array(digest[:, k].view(np.int64) if len(sets) else [], pa.int64()) for k in (0, 1)),
                     pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "buckets"],
+                ["doc_id", "k2", "n_shingles", "d1", "d2", "buckets"],
             )
 
     return run
@@ -159,23 +162,26 @@ def _sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rare.join(other, "s").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & enough)
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _judged(docs: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
+    """(doc_id, k2, n_shingles, component_id, kept) of every row; k2 is the hash of its text."""
     spark = docs.sparkSession
-    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(docs[key].cast("bigint").alias("doc_id"), _text_key(docs[text]).alias("k2"), docs[text].cast("string").alias("text"))
+    node = F.xxhash64("doc_id", "k2")
     with Scratch(spark, "near") as tmp:
-        sketch = tmp.write(rows.mapInArrow(_sketch(words), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, buckets array<bigint>"))
+        sketch = tmp.write(rows.mapInArrow(_sketch(words), "doc_id bigint, k2 bigint, n_shingles bigint, d1 bigint, d2 bigint, buckets array<bigint>"))
         named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-        same = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "buckets")).alias("r"))
-        placed = same.select(F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), F.explode("r.buckets").alias("bucket"))
+        same = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k2", "n_shingles", "buckets")).alias("r"))
+        same = same.select("d1", "d2", "r.*", F.xxhash64("r.doc_id", "r.k2").alias("node"))
+        placed = same.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
         shared = placed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
         placed = tmp.write(placed.join(shared, "bucket").select("node", "n", "bucket", "held"))
         nodes = placed.groupBy("node").agg(F.sum("held").alias("popular"))
         nodes = tmp.write(nodes)
-        sets = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
-        # Rows that repeat a node's id may hold another text: the one that stands for the set counts.
+        sets = rows.where("doc_id IS NOT NULL").select(node.alias("node"), "text").join(nodes.select("node"), "node")
         sets = tmp.write(sets.mapInArrow(_full(words), "node bigint, shingles array<bigint>").dropDuplicates(["node", "shingles"]))
         tested = links = None
         home = nodes.select("node", F.col("node").alias("component"), "popular")
@@ -205,28 +211,43 @@ def near_duplicates(
                 home = tmp.write(
                     nodes.join(named_by, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "popular")
                 )
-        group = same.select("d1", "d2", F.col("r.doc_id").alias("node"))
-        group = group.join(home.select("node", "component"), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-        own = F.col("n_shingles") == 0
-        out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(group, ["d1", "d2"], "left")
-        out = out.select("doc_id", "n_shingles", F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-        # Rows of one doc_id with several texts are one node.
-        return materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-result")
+        group = same.select("d1", "d2", "doc_id", "k2", "node")
+        group = group.join(home.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = group.groupBy("component").agg(F.min(F.struct("doc_id", "k2")).alias("first"))
+        group = group.select("d1", "d2", "component").join(first, "component").select("d1", "d2", "first")
+        alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+        out = sketch.select("doc_id", "k2", "n_shingles", "d1", "d2").join(group, ["d1", "d2"], "left")
+        out = out.select(
+            "doc_id", "k2", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+            (alone | (F.struct("doc_id", "k2") == F.col("first"))).alias("kept"),
+        )
+        return materialise(out, "near-result")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    return _judged(docs, words, percent, text, key).drop("k2")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without id stay.
+    """One row of each component, with all its columns; rows without id or shingles stay.
 
-    Of rows that share the kept id the one with the lowest text stays.
+    It is the row that ``near_duplicates`` keeps; of several with that id and text one stays.
     """
-    found = near_duplicates(docs, words, percent, text, key)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[key].cast("bigint") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = _judged(docs, words, percent, text, key)
+    id_, k2 = docs[key].cast("bigint"), _text_key(docs[text])
+
+    def of(rows: DataFrame) -> Column:
+        return (id_ == rows["_id"]) & (k2 == rows["_k2"])
+
+    names = [F.col("doc_id").alias("_id"), F.col("k2").alias("_k2")]
+    gone = found.where("NOT kept").select(*names).distinct()
+    left = docs.join(gone, of(gone), "left_anti")
+    twice = found.where("doc_id IS NOT NULL AND n_shingles > 0 AND kept").groupBy("doc_id", "k2").count().where("count > 1").select(*names)
     if twice.isEmpty():
         return left
-    rows = twice.select(F.col("doc_id").alias("_twice"))
-    single = left.join(rows, left[key].cast("bigint") == F.col("_twice"), "left_anti")
-    again = left.join(rows, left[key].cast("bigint") == F.col("_twice"), "left_semi")
-    lowest = again.groupBy(key).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (key, text)])).alias("_row"))
-    return single.unionByName(lowest.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in docs.columns]))
+    single, again = left.join(twice, of(twice), "left_anti"), left.join(twice, of(twice), "left_semi")
+    lowest = again.groupBy(key, text).agg(F.min(F.struct(*[F.lit(0).alias("_"), *(c for c in docs.columns if c not in (key, text))])).alias("_row"))
+    return single.unionByName(lowest.select(*[F.col(c) if c in (key, text) else F.col(f"_row.{c}").alias(c) for c in docs.columns]))

@@ -84,6 +84,15 @@ def test_near_duplicates_on_odd_rows(spark, odd, nothing):
     assert near_dedup.one_of_each(odd).count() == len(ODD) - 1  # the repeated row goes
 
 
+def test_rows_of_one_id_are_judged_for_themselves(spark):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, d.upper() + " more"), (5, c)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, rows), 5).collect()}
+    assert got == {(1, 36, 1, True), (2, 36, 1, False), (2, 36, 2, True), (3, 36, 3, True), (4, 37, 3, False), (5, 36, 3, False)}
+    kept = near_dedup.one_of_each(documents(spark, rows, clashing=True)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (2, b), (3, c), (3, d)]
+
+
 def removed(rows, length):
     """Result of every row by counting all strings of ``length`` bytes."""
     texts = [(t or "").encode() for _, t in rows]
