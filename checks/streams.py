@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import query
@@ -18,6 +18,7 @@ from checks.relational import DRIVER, LAP, PREDICTIONS_SQL, SUBSCRIPTIONS_SQL, p
 from checks.strategy import pit_score, state, tyre_score
 from checks.values import CHANNEL_SQL, deflate_text, entries, lap_records
 from paddock.ml import scoring
+from paddock.operators import ordered
 from paddock.scratch import new_path
 from paddock.sources import feed
 from paddock.sources import lapview as v
@@ -393,7 +394,7 @@ def s08(spark, root):
     folder, out = feed.replay_laps(lap_records(spark, root), batches=4), new_path(spark, "s08")
     feed.replay_stream(spark, folder, lambda b, i: live.write_batch(b, f"{out}/rows", i), f"{out}/checkpoint", 4)
     # ``seq`` is the order of arrival: by batch, and inside a batch by lap and driver.
-    arrived = live.read_batches(spark, f"{out}/rows").withColumn("seq", F.row_number().over(Window.orderBy("batch_id", "lap_number", "driver_id", "session_id")).cast("bigint"))
+    arrived = ordered.over_order(live.read_batches(spark, f"{out}/rows"), [], ["batch_id", "lap_number", "driver_id", "session_id"], rank="seq")
     return arrived.select("session_id", "driver_id", "lap_number", "lap_time_seconds", "seq")
 
 
