@@ -12,8 +12,8 @@ curve turns it into a score.  Each model interpolates three orders by absolute d
 the same words always precede, does not pass for the speech of that class);
 
 below that, all classes share one backoff: how often the whole corpus, labelled or not, uses
-the word among words with those first letters.  It is kept as hashed counts of fixed width,
-so its size does not grow while its counts cover every document.
+the word among words with those first letters.  The words and openings of the class models are
+counted exactly, by 64-bit hash, in every document: a grouped table of the model's size.
 
 Bounds: ``per_class`` texts of each class are fitted (a documented bound of the classifier) and
 as many are set aside to fit the curve; what does not exceed the discount backs off.  The model is the
@@ -42,8 +42,8 @@ from paddock.llm import textbytes as tb
 from paddock.scratch import Scratch
 
 PER_CLASS = 6000
-#: Discount of each order, bytes of a word's opening, and hashed buckets of the shared counts.
-DISCOUNT, HEAD_BYTES, BUCKETS = 2, 5, 1 << 18
+#: Discount of each order and bytes of a word's opening.  The README gives the figures of DISCOUNT and EVEN.
+DISCOUNT, HEAD_BYTES = 2, 5
 #: Evidence of one word counts beyond EVEN only (what the topics and languages of the two classes
 #: do to common words stays below), and up to MOST.
 EVEN, MOST = 2.5, 12.0
@@ -82,23 +82,28 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(hit, at, len(keys))
 
 
-def shared_counts(docs: DataFrame) -> np.ndarray:
-    """Hashed word counts (first half) and opening counts (second half) of all documents."""
+def shared_counts(docs: DataFrame, words: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often all documents use each of ``words`` and of the openings ``heads`` (sorted hashes)."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, heads))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BUCKETS, np.int64)
+        total = [np.zeros(len(k) + 1, np.int64) for k in sent.value]
         for _, data, offs in tb.pieces(batches, "text"):
-            words, heads, _ = words_of(data, offs)
-            total[:BUCKETS] += np.bincount(words & np.uint64(BUCKETS - 1), minlength=BUCKETS)
-            total[BUCKETS:] += np.bincount(heads & np.uint64(BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add_up, "bucket int, n bigint")
-    held = sums.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * BUCKETS)
-    out[held["bucket"].to_numpy(int)] = held["n"].to_numpy(float)
+            for t, keys, found in zip(total, sent.value, words_of(data, offs)):
+                t += np.bincount(_find(keys, found), minlength=len(t))
+        for kind, t in enumerate(total):
+            at = np.flatnonzero(t[:-1])
+            if len(at):
+                cols = [pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(t[at])]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "at", "n"])
+
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add_up, "kind int, at bigint, n bigint")
+    held = sums.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
+    out = np.zeros(len(words)), np.zeros(len(heads))
+    for kind, counts in enumerate(out):
+        part = held[held["kind"] == kind]
+        counts[part["at"].to_numpy(int)] = part["n"].to_numpy(float)
     return out
 
 
@@ -159,7 +164,7 @@ def _discounted(n: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Rater:
     """Log-likelihood differences of known pairs, words and openings, in sorted arrays."""
 
-    def __init__(self, g: Grams, shared: np.ndarray):
+    def __init__(self, g: Grams, docs: DataFrame):
         order = np.argsort(g.words)
         self.words, head_of, before = g.words[order], g.heads[order], g.before[:, order]
         # Openings: how many different words of the class have each.
@@ -169,8 +174,8 @@ class Rater:
         head, spread = _discounted(types, below)
         self.head_llr = np.append(np.log(head[1]) - np.log(head[0]), np.log(spread[1]) - np.log(spread[0]))
         # Words: the shared counts divide an opening's share among its words.
-        used = shared[self.words & np.uint64(BUCKETS - 1)] + 1
-        all_used = shared[BUCKETS + (head_of & np.uint64(BUCKETS - 1)).astype(int)] + 2
+        used, all_used = shared_counts(docs, self.words, self.heads)
+        used, all_used = used + 1, all_used[opening] + 2
         word, spread = _discounted(before, head[:, opening] * used / np.maximum(all_used, used))
         self.word_llr = np.log(word[1]) - np.log(word[0])
         self.unseen_llr = float(np.log(spread[1]) - np.log(spread[0]))
@@ -241,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     grams = _grams(learn)
     if not len(grams.words) or not grams.before.sum(1).all():
         return Constant(sizes.get(1, 0) / max(sum(sizes.values()), 1))
-    model = Rater(grams, shared_counts(docs))
+    model = Rater(grams, docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -329,3 +329,12 @@ def test_names_do_not_empty_a_page(spark):
     df = spark.createDataFrame([(k, f"http://h{k}.org/", s) for k, s in enumerate(sources)], "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in site_style.main_text(df).collect()}
     assert got == {0: text, 1: text, 2: text, 3: text, 4: "\n".join([text] * 4), 5: text}
+
+
+def test_shared_counts_are_exact(spark):
+    texts = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]} often" for k in range(5000)]
+    words, heads, _ = kneser_ney.words_of(*tb.flat(pa.array(texts)))
+    keys, n = np.unique(words, return_counts=True)
+    openings, m = np.unique(heads, return_counts=True)
+    used, all_used = kneser_ney.shared_counts(documents(spark, list(enumerate(texts))).repartition(7), keys, openings)
+    assert used.tolist() == n.tolist() and all_used.tolist() == m.tolist()
