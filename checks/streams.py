@@ -394,7 +394,7 @@ def s08(spark, root):
     folder, out = feed.replay_laps(lap_records(spark, root), batches=4), new_path(spark, "s08")
     feed.replay_stream(spark, folder, lambda b, i: live.write_batch(b, f"{out}/rows", i), f"{out}/checkpoint", 4)
     # ``seq`` is the order of arrival: by batch, and inside a batch by lap and driver.
-    arrived = ordered.over_order(live.read_batches(spark, f"{out}/rows"), [], ["batch_id", "lap_number", "driver_id", "session_id"], rank="seq")
+    arrived = ordered.over_order(live.read_batches(spark, f"{out}/rows").drop("seq"), [], ["batch_id", "lap_number", "driver_id", "session_id"], rank="seq")
     return arrived.select("session_id", "driver_id", "lap_number", "lap_time_seconds", "seq")
 
 
