@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import containment, kneser_ney, near_dedup, neighbours, piece_lattice, repetition, site_style, stream_vbyte, suffix_dedup, url_templates
+from paddock.llm import (
+    containment, hard_negatives, kneser_ney, near_dedup, neighbours, piece_lattice, repetition, secret_owners, site_style, stream_vbyte, suffix_dedup,
+    url_templates, word_runs,
+)
 from paddock.scratch import new_path
 from paddock.session import configure
 
@@ -173,3 +176,93 @@ def op7_gumbel_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array")
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def _matches(kind: str, pattern: str, group: int, texts: str = "t") -> str:
+    """SQL for (r, start, end, kind, value) of all matches: a match starts after all parts and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT r, kind, CAST(upto - length(m) AS BIGINT) + base AS s, CAST(upto AS BIGINT) + base AS e, v FROM (
+    SELECT r, {secret_owners.KINDS.index(kind)} AS kind, base, m, v, sum(length(p) + length(m)) OVER (PARTITION BY r, base ORDER BY i) AS upto FROM (
+      SELECT r, base, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS m, unnest(vs) AS v, generate_subscripts(ms, 1) AS i FROM (
+        SELECT r, base, regexp_split_to_array(x, '{quoted}') AS ps, regexp_extract_all(x, '{quoted}') AS ms,
+          regexp_extract_all(x, '{quoted}', {group}) AS vs FROM {texts}) WHERE len(ms) > 0))"""
+
+
+_LIVE = (
+    f"length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= {secret_owners.MIN_LETTERS} "
+    f"AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secret_owners.MIN_DIGITS} "
+    f"AND len(list_distinct(string_split(lower(v), ''))) >= {secret_owners.MIN_DIFFERENT}"
+)
+_LINE = "coalesce(string_agg(CASE {when} THEN [{names}][kind + 1] || ':' || s || ':' || e END, ',' ORDER BY s, kind), '')"
+_NAMES = ", ".join(f"'{k}'" for k in secret_owners.KINDS)
+
+OP11_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS x, 0 AS base FROM documents),
+assigned AS ({_matches("assign", secret_owners.ASSIGN, 2)}),
+base AS (
+  SELECT * FROM assigned WHERE length(v) >= {secret_owners.ASSIGN_VALUE} UNION ALL {_matches("access", secret_owners.ACCESS, 0)}
+  UNION ALL {_matches("hex", secret_owners.HEX, 0)}
+), ends AS (
+  SELECT r, list(e ORDER BY s) AS es FROM assigned GROUP BY r
+), between AS (
+  SELECT r, unnest(regexp_split_to_array(x, '{secret_owners.ASSIGN.replace("'", "''")}')) AS x, unnest(list_prepend(0, coalesce(es, []))) AS base
+  FROM t LEFT JOIN ends USING (r)
+), tokens AS (
+  SELECT * FROM ({_matches("owned", secret_owners.TOKEN, 0, "between")}) WHERE {_LIVE}
+    AND NOT regexp_matches(v, '{secret_owners.ACCESS}|{secret_owners.HEX}')
+), uses AS (
+  SELECT * FROM base UNION ALL SELECT * FROM tokens
+), owners AS (
+  SELECT lower(v) AS h, count(DISTINCT coalesce('=' || source, '-')) AS n FROM uses JOIN t USING (r) GROUP BY 1
+), judged AS (
+  SELECT r, kind, s, e, n > {secret_owners.MAX_OWNERS} AS example, n <= {secret_owners.MAX_OWNERS} AND {_LIVE} AS live
+  FROM uses JOIN owners ON lower(v) = h
+), per AS (
+  SELECT r, {_LINE.format(when="WHEN kind < 3", names=_NAMES)} AS base_line, {_LINE.format(when="WHEN kind < 3 OR live", names=_NAMES)} AS spans,
+    {", ".join(f"count(CASE WHEN kind = {i} THEN 1 END) AS n_{k}" for i, k in enumerate(secret_owners.KINDS[:3]))},
+    count(CASE WHEN live THEN 1 END) AS n_live, count(CASE WHEN example THEN 1 END) AS n_example
+  FROM judged GROUP BY r
+)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_owners.KINDS[:3])},
+  sha256(coalesce(base_line, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM t LEFT JOIN per USING (r)
+"""
+
+
+@query("op11_secret_owners", OP11_SQL)
+def op11_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_owners.secret_spans(table(spark, sf_dir, "documents")).drop("live")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) <= 5
+)
+SELECT CAST(p.anchor_id AS BIGINT) AS anchor_id, CAST(positive_id AS BIGINT) AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.uid, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  CAST(s.vec_id AS BIGINT) AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.uid = s.uid AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.uid, positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_word_runs")
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
