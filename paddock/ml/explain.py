@@ -1,14 +1,17 @@
-"""Feature contributions by replacing one feature with its training mean."""
+"""Feature contributions: exact Shapley values under trees, or one feature replaced by its training mean for any score."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
 from paddock.functions.scalars import compound_code, compound_model, forward_fuel
+from paddock.ml.boosting import Forest, feature_matrix
 from paddock.operators.aggregates import DRIVER
 from paddock.operators.reshape import top_contributions, top_k
 from paddock.plans.projection import Score
@@ -53,6 +56,42 @@ def contributions(
     return top_contributions(each.select("_key.*", "prediction", entries.alias("contributions")), top)
 
 
+def tree_contributions(df: DataFrame, keys: Sequence[str], forest: Forest, route: str | None = None, top: int = 5) -> DataFrame:
+    """Per row the ``top`` features by their exact Shapley values under the trees.
+
+    ``base`` is the mean prediction along the covers; base and the values of all features add up to
+    ``prediction``.  Rows whose model is missing have neither.
+    """
+    models = df.sparkSession.sparkContext.broadcast(forest)
+    features = list(forest.features)
+    kinds = df.select(*keys).schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], "prediction double", "base double",
+                        "contributions array<struct<feature:string,value:double,contribution:double>>"])
+
+    def explain(batches):
+        held = models.value
+        for batch in batches:
+            x = feature_matrix(batch, features)
+            names = batch.column(batch.schema.get_field_index(route)).to_pylist() if route else [held.names()[0]] * len(x)
+            rows: list = [None] * len(x)
+            for name in set(names) & set(held.names()):
+                at = np.flatnonzero(np.array(names, object) == name)
+                for low in range(0, len(at), 64):
+                    some = at[low : low + 64]
+                    base, phi = held.contributions(x[some], name)
+                    for i, total, values in zip(some, held.predict(x[some], name), phi, strict=True):
+                        given = [None if np.isnan(v) else float(v) for v in x[i]]
+                        rows[i] = (float(total), base, [{"feature": f, "value": v, "contribution": float(c)} for f, v, c in zip(features, given, values, strict=True)])
+            kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("contribution", pa.float64())]))
+            columns = [pa.array([None if r is None else r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), kind))]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(k)) for k in keys], *columns], [*keys, "prediction", "base", "contributions"]
+            )
+
+    asked = df.select(*dict.fromkeys([*keys, *features, *([route] if route else [])]))
+    return top_contributions(asked.mapInArrow(explain, schema), top)
+
+
 def feature_means(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Training means, one row."""
     row = train.agg(*[F.avg(f).alias(f) for f in features]).first()
@@ -60,10 +99,10 @@ def feature_means(train: DataFrame, features: Sequence[str]) -> dict[str, float]
 
 
 def explain_top_window(
-    windows: DataFrame, state: DataFrame, means: Mapping[str, float], score: Score, top: int = 5
+    windows: DataFrame, state: DataFrame, forest: Forest, top: int = 5
 ) -> DataFrame:
     """Pit windows where the best candidate of each driver carries contributions."""
-    best = top_k(windows, DRIVER, [F.col("projected_total_delta_seconds"), F.col("pit_lap")], 1)
+    best = top_k(windows, DRIVER, [F.round("projected_total_delta_seconds", 9), F.col("pit_lap")], 1)
     rows = best.select(*DRIVER, "pit_lap").join(state, list(DRIVER)).select(
         *DRIVER, "pit_lap",
         F.col("pit_lap").alias("lap_number"),
@@ -74,5 +113,5 @@ def explain_top_window(
         F.col("driver_code").alias("driver_id_encoded"),
         compound_model("compound").alias("tyre_model"),
     )
-    why = contributions(rows, [*DRIVER, "pit_lap"], fixed.TYRE_FEATURES, means, score, top).drop("prediction")
+    why = tree_contributions(rows, [*DRIVER, "pit_lap"], forest, "tyre_model", top).drop("prediction", "base")
     return windows.join(why, [*DRIVER, "pit_lap"], "left")

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
 from paddock.functions.scalars import compound_code, compound_model, fuel_features
-from paddock.ml.tyres import BoostParams, positive_score
+from paddock.ml import boosting
+from paddock.ml.boosting import BoostParams, Forest
+from paddock.ml.tyres import positive_score
 from paddock.operators.aggregates import auc
-from paddock.operators.encode import group_folds
+from paddock.operators.encode import model_folds
 from paddock.operators.joins import LAP_KEYS, gap_features, label_pit_laps
 from paddock.operators.windows import progress_features
 from paddock.plans.projection import Score, life_remaining
@@ -25,7 +23,8 @@ from paddock.scratch import materialise
 
 @dataclass(frozen=True)
 class PitModel:
-    model: PipelineModel
+    trees: DataFrame
+    model: Forest
     cv_auc: float | None
     rows: int
     positive_rate: float
@@ -51,52 +50,22 @@ def pit_training_frame(laps: DataFrame, stints: DataFrame, score_tyre: Score, ra
     )
 
 
-def _weighted(train: DataFrame) -> tuple[DataFrame, int, float]:
-    """Label and weight: a pit lap weighs as much as (1 - p) / p others."""
-    facts = train.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("did_pit_this_lap").cast("double")).alias("p")
-    ).first()
-    p = facts["p"] or 0.0
-    heavy = (1 - p) / p if p > 0 else 1.0
-    label = F.col("did_pit_this_lap").cast("double")
-    return (
-        train.withColumns({"label": label, "weight": F.when(label > 0, heavy).otherwise(1.0)}),
-        facts["n"],
-        p,
-    )
-
-
-def _pipeline(params: BoostParams) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(fixed.PIT_FEATURES), outputCol="features"),
-            GBTClassifier(
-                labelCol="label", weightCol="weight", maxIter=params.rounds, stepSize=params.rate,
-                maxDepth=params.depth, seed=params.seed,
-            ),
-        ]
-    )
-
-
 def fit_pit_model(train: DataFrame, params: BoostParams = BoostParams(), cv: bool = True) -> PitModel:
-    weighted, n, p = _weighted(materialise(train, "pit-train"))
+    """Pit chance of a lap; a pit lap weighs as much as (1 - p) / p others."""
+    label = F.col("did_pit_this_lap").cast("double")
+    rows = train.select("session_id", F.lit("pit").alias("model"), *fixed.PIT_FEATURES, label.alias("target"))
+    rows = materialise(model_folds(rows, "model", "session_id", params.folds) if cv else rows.withColumn("fold", F.lit(boosting.ALL)), "pit-train")
+    trees = boosting.fit(rows, fixed.PIT_FEATURES, params, heavy=True)
+    forest = Forest.of(trees, fixed.PIT_FEATURES)
     area = None
-    if cv:
-        folded = materialise(group_folds(weighted, "session_id", params.folds), "pit-folds")
-        k = folded.agg(F.max("fold")).first()[0] + 1
-        scored = None
-        for fold in range(k if k > 1 else 0):
-            fit = _pipeline(params).fit(folded.filter(F.col("fold") != fold))
-            part = fit.transform(folded.filter(F.col("fold") == fold)).select(
-                "fold", F.col("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-            )
-            scored = part if scored is None else scored.unionByName(part)
-        if scored is not None:
-            area = auc(materialise(scored, "pit-scored")).agg(F.avg("auc")).first()[0]
-    return PitModel(_pipeline(params).fit(weighted), area, n, p)
+    if cv and len(forest.models) > 1:
+        scored = forest.probability(rows, "model", "fold").select("fold", F.col("target").alias("label"), F.col("prediction").alias("score"))
+        area = auc(materialise(scored, "pit-scored")).agg(F.avg("auc")).first()[0]
+    facts = rows.agg(F.count("*").alias("n"), F.avg("target").alias("p")).first()
+    return PitModel(trees.where(F.col("held") == boosting.ALL), forest, area, facts["n"], facts["p"] or 0.0)
 
 
-def pit_holdout_mae(model: PipelineModel, holdout: DataFrame) -> float | None:
+def pit_holdout_mae(forest: Forest, holdout: DataFrame) -> float | None:
     """Mean distance between the pit probability and the label, None without rows."""
     error = F.abs(F.col("prediction") - F.col("did_pit_this_lap").cast("double"))
-    return positive_score(model)(holdout).agg(F.avg(error)).first()[0]
+    return positive_score(forest)(holdout).agg(F.avg(error)).first()[0]

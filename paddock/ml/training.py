@@ -33,7 +33,7 @@ def train_all(
     train, holdout = (materialise(part, "split") for part in season_split(laps))
 
     tyres = fit_tyre_models(tyre_features(train, codes), tyre_features(holdout, codes), params, cv)
-    published = {f"tyre_{n}": (m.model, m.holdout_mae, m.cv_mae) for n, m in tyres.by_name.items()}
+    published = {f"tyre_{n}": (tyres.table(n), m.holdout_mae, m.cv_mae) for n, m in tyres.by_name.items()}
 
     rates = materialise(fit_sc_rates(lap_flags(train.filter("is_valid"))), "rates")
     sc_error = sc_holdout_mae(lap_flags(holdout.filter("is_valid")), rates)
@@ -45,5 +45,5 @@ def train_all(
         for part in (train, holdout)
     ]
     pit = fit_pit_model(frames[0], params, cv)
-    published["pit"] = (pit.model, pit_holdout_mae(pit.model, frames[1]), None)
+    published["pit"] = (pit.trees, pit_holdout_mae(pit.model, frames[1]), None)
     return store.publish(version, published)

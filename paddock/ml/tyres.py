@@ -3,51 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
 from paddock.functions.scalars import compound_code, compound_model, fuel_features
-from paddock.operators.aggregates import laps_in_session, regression_metrics
-from paddock.operators.encode import apply_codes, group_folds
+from paddock.ml import boosting
+from paddock.ml.boosting import BoostParams, Forest
+from paddock.operators.aggregates import laps_in_session
+from paddock.operators.encode import apply_codes, model_folds
 from paddock.operators.windows import impute_weather, lap_time_delta
 from paddock.plans.projection import Score
 from paddock.scratch import materialise
 
 
-@dataclass(frozen=True)
-class BoostParams:
-    """Boosting settings; tests and quick runs lower ``rounds``."""
-
-    rounds: int = 300
-    rate: float = 0.05
-    depth: int = 6
-    seed: int = 42
-    folds: int = 5
-
-
 @dataclass(frozen=True)
 class TyreModel:
-    model: PipelineModel
+    rows: int
     cv_mae: float | None
     cv_rmse: float | None
-    rows: int
     holdout_mae: float | None = None
 
 
 @dataclass(frozen=True)
 class TyreModels:
-    by_name: dict[str, TyreModel] = field(default_factory=dict)
+    """Trees of all compounds, errors by model name."""
+
+    trees: DataFrame
+    forest: Forest
+    by_name: dict[str, TyreModel]
 
     def score(self) -> Score:
         """Score function that sends each row to its compound's model."""
-        return model_score({n: m.model for n, m in self.by_name.items()})
+        return model_score(self.forest)
+
+    def table(self, name: str) -> DataFrame:
+        """Rows of one compound's trees, as a model store keeps them."""
+        return self.trees.where((F.col("model") == name) & (F.col("held") == boosting.ALL))
 
 
 def tyre_features(laps: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
@@ -66,87 +60,50 @@ def tyre_features(laps: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def _pipeline(params: BoostParams) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(fixed.TYRE_FEATURES), outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
-            GBTRegressor(
-                featuresCol="features", labelCol="lap_time_delta", maxIter=params.rounds,
-                stepSize=params.rate, maxDepth=params.depth, seed=params.seed,
-            ),
-        ]
-    )
-
-
 def fit_tyre_models(
     train: DataFrame, holdout: DataFrame | None = None, params: BoostParams = BoostParams(), cv: bool = True
 ) -> TyreModels:
-    """Fit one model per compound with rows; folds never share a session.
+    """One model per compound with rows, all grown together; folds never share a session.
 
     ``train`` and ``holdout`` come from ``tyre_features``.
     """
-    cols = ["session_id", "compound", *fixed.TYRE_FEATURES, "lap_time_delta"]
-    kept = materialise(train.select(*cols).filter("lap_time_delta is not null"), "tyre-features")
-    held = None if holdout is None else materialise(holdout.select(*cols), "tyre-holdout")
-    models = {}
-    for compound, name in fixed.COMPOUND_MODELS.items():
-        rows = kept.filter(F.col("compound") == compound)
-        n = rows.count()
-        if n == 0:
-            continue
-        mae, rmse = _cross_validate(rows, params) if cv else (None, None)
-        fitted = TyreModel(_pipeline(params).fit(rows), mae, rmse, n)
-        if held is not None:
-            fitted = replace(fitted, holdout_mae=holdout_mae(fitted.model, held.filter(F.col("compound") == compound)))
-        models[name] = fitted
-    return TyreModels(models)
-
-
-def _cross_validate(rows: DataFrame, params: BoostParams) -> tuple[float | None, float | None]:
-    folded = materialise(group_folds(rows, "session_id", params.folds), "folds")
-    k = folded.agg(F.max("fold")).first()[0] + 1
-    if k < 2:
-        return None, None
-    scored = None
-    for fold in range(k):
-        model = _pipeline(params).fit(folded.filter(F.col("fold") != fold))
-        part = model.transform(folded.filter(F.col("fold") == fold)).select("fold", "lap_time_delta", "prediction")
-        scored = part if scored is None else scored.unionByName(part)
-    mean = regression_metrics(scored, label="lap_time_delta").filter("fold is null").first()
-    return mean["mae"], mean["rmse"]
-
-
-def holdout_mae(model: PipelineModel, holdout: DataFrame) -> float | None:
-    """Mean absolute error over holdout rows, None without rows."""
-    error = F.abs(F.col("prediction") - F.col("lap_time_delta"))
-    return model.transform(holdout).agg(F.avg(error)).first()[0]
-
-
-def model_score(models: Mapping[str, PipelineModel], default: float = 0.0) -> Score:
-    """Score rows by ``tyre_model``: each fitted model sees its own rows only.
-
-    Rows whose model is missing get ``default``.  The branch filters move below the
-    expansion of laps, so each state row is expanded once in total.
-    """
-
-    def score(df: DataFrame) -> DataFrame:
-        known = list(models)
-        rest = df.filter(~F.coalesce(F.col("tyre_model").isin(*known), F.lit(False)))
-        out = rest.withColumn("prediction", F.lit(default))
-        for name, model in models.items():
-            part = model.transform(df.filter(F.col("tyre_model") == name))
-            out = out.unionByName(part.select(*df.columns, "prediction"))
-        return out
-
-    return score
+    cols = ["session_id", F.col("tyre_model").alias("model"), *fixed.TYRE_FEATURES, F.col("lap_time_delta").alias("target")]
+    kept = materialise(train.where("lap_time_delta is not null").select(*cols), "tyre-features")
+    rows = materialise(model_folds(kept, "model", "session_id", params.folds), "tyre-folds") if cv else kept.withColumn("fold", F.lit(boosting.ALL))
+    trees = boosting.fit(rows, fixed.TYRE_FEATURES, params)
+    forest = Forest.of(trees, fixed.TYRE_FEATURES)
+    counts = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}
+    crossed, held_out = {}, {}
+    if cv:
+        crossed = {r["model"]: r for r in _fold_errors(forest.score(rows, "model", "fold")).collect()}
+    if holdout is not None:
+        held_out = {r["model"]: r["mae"] for r in _errors(forest.score(holdout.select(*cols), "model"), ["model"]).collect()}
+    by_name = {}
+    for name in (n for n in fixed.COMPOUND_MODELS.values() if n in counts):
+        errors = crossed.get(name)
+        mae, rmse = (errors["mae"], errors["rmse"]) if errors else (None, None)
+        by_name[name] = TyreModel(counts[name], mae, rmse, held_out.get(name))
+    return TyreModels(trees, forest, by_name)
+
+
+def _errors(scored: DataFrame, by: list[str]) -> DataFrame:
+    error = F.col("prediction") - F.col("target")
+    return scored.groupBy(*by).agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"))
+
+
+def _fold_errors(scored: DataFrame) -> DataFrame:
+    """Errors per fold, averaged over the folds of models that have two or more."""
+    per = _errors(scored, ["model", "fold"]).groupBy("model").agg(
+        F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.count("*").alias("folds")
+    )
+    return per.where("folds > 1")
 
 
-def positive_score(model) -> Score:
-    """Score function giving the positive-class probability of a fitted classifier."""
+def model_score(forest: Forest, default: float = 0.0) -> Score:
+    """Score rows by ``tyre_model``; rows whose model is missing get ``default``."""
+    return lambda df: forest.score(df, "tyre_model", default=default)
 
-    def score(df: DataFrame) -> DataFrame:
-        scored = model.transform(df)
-        return scored.select(*df.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("prediction"))
 
-    return score
+def positive_score(forest: Forest) -> Score:
+    """Score function giving the chance of a positive row."""
+    return forest.probability

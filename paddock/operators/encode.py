@@ -46,6 +46,15 @@ def group_folds(df: DataFrame, group: str = "session_id", k: int = 5) -> DataFra
     return join_lookup(df, fold_table(df, group, k), [group])
 
 
+def model_folds(df: DataFrame, model: str, group: str, k: int = 5) -> DataFrame:
+    """Adds ``fold``: within each model its groups by size, dealt out in turn to at most ``k`` folds."""
+    sizes = df.groupBy(model, group).agg((-F.count(F.lit(1))).alias("_neg"))
+    numbered = ranked(sizes, [model], ["_neg", group], "_r")
+    counts = sizes.groupBy(model).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_k"))
+    folds = numbered.join(counts, model).select(model, group, ((F.col("_r") - 1) % F.col("_k")).cast("int").alias("fold"))
+    return join_lookup(df, folds, [model, group])
+
+
 def missing_keys(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct incoming keys that the existing table does not hold."""
     return incoming.select(*keys).distinct().join(existing.select(*keys), list(keys), "left_anti")

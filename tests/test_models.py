@@ -6,7 +6,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from paddock import fixed
-from paddock.ml import explain, pits, registry, styles, training, tyres
+from paddock.ml import boosting, explain, pits, registry, styles, training, tyres
+from paddock.ml.boosting import Forest
 from paddock.operators import aggregates as agg
 from paddock.operators import encode
 from paddock.scratch import new_path
@@ -115,7 +116,7 @@ def test_training_run(spark, laps):
     assert all(r.holdout_mae is not None and r.promotion_basis == "holdout" for r in first.values())
     again = training.train_all(seasons, stints, store, "20250102-000000", QUICK, cv=False).collect()
     assert not any(r.promoted for r in again)
-    assert store.production("tyre_soft") is not None and store.production_table("safety_car").count() == 2
+    assert Forest.of(store.production_table("tyre_soft"), fixed.TYRE_FEATURES).names() == ["soft"] and store.production_table("safety_car").count() == 2
 
 
 def test_contributions(spark):
