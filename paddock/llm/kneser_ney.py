@@ -98,12 +98,12 @@ def shared_counts(docs: DataFrame, words: np.ndarray, heads: np.ndarray) -> tupl
                 yield pa.RecordBatch.from_arrays(cols, ["kind", "at", "n"])
 
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(add_up, "kind int, at bigint, n bigint")
-    held = sums.groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    held = sums.groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     sent.destroy()
+    kind, at, n = (held[c].to_numpy() for c in ("kind", "at", "n"))
     out = np.zeros(len(words)), np.zeros(len(heads))
-    for kind, counts in enumerate(out):
-        part = held[held["kind"] == kind]
-        counts[part["at"].to_numpy(int)] = part["n"].to_numpy(float)
+    for k, counts in enumerate(out):
+        counts[at[kind == k]] = n[kind == k]
     return out
 
 
@@ -141,9 +141,9 @@ def _grams(rows: DataFrame) -> Grams:
     sums += [F.sum(F.least(f"n{c}", F.lit(DISCOUNT))).alias(f"d{c}") for c in (0, 1)]
 
     def held(df: DataFrame, keys: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray | None]:
-        got = df.toPandas()
-        part = [got[[f"{x}0", f"{x}1"]].to_numpy(float).T if f"{x}0" in got else None for x in "nd"]
-        return [got[k].to_numpy(np.int64).view(np.uint64) for k in keys], *part
+        got = df.toArrow()
+        part = [np.stack([got[f"{x}{c}"].to_numpy().astype(float) for c in (0, 1)]) if f"{x}0" in got.column_names else None for x in "nd"]
+        return [got[k].to_numpy().view(np.uint64) for k in keys], *part
 
     with Scratch(rows.sparkSession, "word-pairs") as tmp:
         pairs = tmp.write(triples.groupBy("v", "w", "h").agg(*by))
@@ -247,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if not len(grams.words) or not grams.before.sum(1).all():
         return Constant(sizes.get(1, 0) / max(sum(sizes.values()), 1))
     model = Rater(grams, docs)
+    del grams
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             yield pa.RecordBatch.from_arrays([tb.column(part, "doc_id"), tb.column(part, "label"), found], ["doc_id", "label", "x"])
 
     held = sorted(map(tuple, aside.mapInArrow(rate, "doc_id bigint, label int, x double").collect()))
+    sent.destroy()
     y = np.array([r[1] for r in held], float)
     if len(y) and 0 < y.mean() < 1:
         taken = {0: (y == 0).sum(), 1: (y == 1).sum()}
