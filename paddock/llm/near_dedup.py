@@ -227,14 +227,15 @@ def _judged(docs: DataFrame, words: int, percent: int, text: str, key: str) -> D
 def near_duplicates(
     docs: DataFrame, words: int = 2, percent: int = 80, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    return _judged(docs, words, percent, text, key).drop("k2")
+    """(doc_id, n_shingles, component_id, kept) of every document; a row is kept if its id is its component's."""
+    found = _judged(docs, words, percent, text, key)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns; rows without id or shingles stay.
 
-    It is the row that ``near_duplicates`` keeps; of several with that id and text one stays.
+    It is the first by id, and among rows of that id by a hash of the text; of equal ones one stays.
     """
     found = _judged(docs, words, percent, text, key)
     id_, k2 = docs[key].cast("bigint"), _text_key(docs[text])
