@@ -466,20 +466,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
     included, are untouched.
     """
 
+    mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in tb.pieces(batches, text):
             values = tb.column(part, text).to_pylist()
-            starts = tb.column(part, "_starts")
+            starts = tb.column(part, mark + "starts")
             for k in range(part.num_rows):
                 if starts[k].is_valid:
                     raw = np.frombuffer(values[k].encode(), np.uint8)
                     values[k] = _kept(raw, *_spans(np.asarray(starts[k].values.to_numpy(zero_copy_only=False), np.int64), length)).decode(errors="ignore")
             at = part.schema.get_field_index(text)
             part = part.set_column(at, part.schema.field(at).name, pa.array(values, part.schema.field(at).type))
-            yield part.select([c for c in part.schema.names if c != "_starts"])
+            yield part.select([c for c in part.schema.names if c != mark + "starts"])
 
     plain = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
-    found = repeats(plain, length).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("starts").alias("_starts"))
+    found = repeats(plain, length).select(*[F.col(c).alias(mark + c) for c in ("k1", "k2", "starts")])
     mine = F.coalesce(docs[key].cast("bigint"), F.lit(-(1 << 62)))
-    hit = (mine == F.col("_k1")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_k2"))
-    return docs.join(found, hit, "left").select(*docs.columns, "_starts").mapInArrow(run, docs.schema)
+    hit = (mine == F.col(mark + "k1")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col(mark + "k2"))
+    return docs.join(found, hit, "left").select(*docs.columns, mark + "starts").mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import near_dedup, suffix_dedup
@@ -166,7 +167,7 @@ def test_pipeline_stages(spark, tables):
             groups = linked(list(before.items()), 5)
             assert set(kept[name]) == {i for i, (_, c) in groups.items() if i == c}
         elif name == "repeated_strings":
-            expected = {r[0]: r[1] - r[2] for r in removed(list(before.items()), 400)}
+            expected = {r[0]: r[1] - r[2] for r in removed(list(before.items()), 200)}
             assert all(0 <= expected[i] - len(t.encode()) < 4 * 50 for i, t in kept[name].items()) and set(kept[name]) == set(before)
         elif name == "decontaminate":
             items = [shingles(r.text, 5) for r in tables["benchmark"].collect()]
@@ -184,3 +185,28 @@ def test_last_stage_gives_the_ids(spark, tables):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_a_row_is_kept_if_its_id_is_its_components(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l m"), (2, "a b c d e f g h i j k l"), (None, "x y")]
+    got = sorted(((r.doc_id or 0), r.component_id, r.kept) for r in near_dedup.near_duplicates(documents(spark, rows), words=2).collect())
+    assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_short_passages_that_repeat(spark):
+    """The pipeline's stage removes shared passages of over 50 short words, and nothing else."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 5)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages = [own(rng.randint(51, 80)) for _ in range(8)]
+    rows = [(k, f"{own(40)} {passages[k % 8]} {own(40)}" if k < 24 else own(120)) for k in range(40)]
+    docs = documents(spark, rows).withColumns({"_starts": F.lit(1), "_k1": F.lit(2), "_k2": F.lit(3)})
+    got = corpus_pipeline.repeated_strings(spark, docs, SF)
+    assert got.columns == docs.columns
+    texts = {r.doc_id: r.text for r in got.collect()}
+    for k, text in rows:
+        if k < 24:
+            # A neighbouring character may agree by chance.
+            assert len(text) - len(texts[k]) - len(passages[k % 8]) in range(0, 9)
+        else:
+            assert texts[k] == text
