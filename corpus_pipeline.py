@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 400 bytes that occur elsewhere."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without strings of 200 bytes that occur elsewhere: passages of some 50 short words are that long."""
+    return suffix_dedup.without_repeats(docs, length=200)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
