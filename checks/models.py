@@ -10,7 +10,7 @@ from checks.relational import DRIVER, STYLE_SQL, circuit_flags, season_laps, sea
 from checks.strategy import GAPPED_SQL, STATE_SQL, fuel_sql, pit_score, pit_sql, rounded, state, tyre_score, tyre_sql
 from paddock import fixed
 from paddock.functions.scalars import season_split
-from paddock.ml import explain, pits, registry, scoring, styles, training, tyres
+from paddock.ml import boosting, explain, pits, registry, scoring, styles, training, tyres
 from paddock.operators import aggregates as agg
 from paddock.operators import encode
 from paddock.plans import pitstops
@@ -61,22 +61,19 @@ def pit_frame(spark, root) -> DataFrame:
     return pits.pit_training_frame(encode.apply_codes(held, codes), v.stints(spark, root), tyre_score, rates)
 
 
-@query("h05_training_run")
+@query("h05_training_run", """
+, held AS (SELECT l.*, c.season FROM laps l JOIN context c ON c.session_id = l.session_id WHERE lap_ms IS NOT NULL AND season <= 2025),
+m AS (SELECT 'tyre_' || CASE compound WHEN 'HARD' THEN 'hard' WHEN 'INTERMEDIATE' THEN 'inter' WHEN 'SOFT' THEN 'soft' WHEN 'WET' THEN 'wet' ELSE 'medium' END AS model_name, season FROM held WHERE is_valid
+  UNION ALL SELECT 'safety_car', season FROM held WHERE is_valid UNION ALL SELECT 'pit', season FROM held WHERE position IS NOT NULL)
+SELECT model_name, '20240101-000000' AS version, CASE WHEN BOOL_OR(season = 2025) THEN 'holdout' ELSE 'cv_only' END AS promotion_basis, TRUE AS promoted, BOOL_OR(season = 2025) AS with_holdout
+FROM m GROUP BY 1 HAVING BOOL_OR(season <= 2024) OR model_name IN ('safety_car', 'pit')
+""")
 def h05_run(spark, root):
     """A whole training run into an empty store: every model is new, so all are promoted."""
     held, _ = model_laps(spark, root)
     store = registry.ModelStore(spark, new_path(spark, "store"))
     rows = training.train_all(held, v.stints(spark, root), store, "20240101-000000")
-    return rows.select("model_name", "version", "promotion_basis", "promoted", F.round("holdout_mae", 6).alias("holdout_mae"))
-
-
-@query("h02_pit_model")
-def h02(spark, root):
-    """Pit probability of every training row."""
-    frame = pit_frame(spark, root)
-    model = pits.fit_pit_model(frame)
-    scored = tyres.positive_score(model.model)(frame.select(*DRIVER, "lap_number", *fixed.PIT_FEATURES))
-    return scored.select(*DRIVER, "lap_number", F.round("prediction", 6).alias("pit_probability"))
+    return rows.select("model_name", "version", "promotion_basis", "promoted", F.col("holdout_mae").isNotNull().alias("with_holdout"))
 
 
 PIT_FRAME_SQL = """
@@ -107,6 +104,46 @@ def h04(spark, root):
     return rows.withColumns({n: F.round(n, 6) for n in names})
 
 
+@query("h02_pit_model", PIT_FRAME_SQL + """
+, first_stint AS (SELECT *, MIN(stint_number) OVER (PARTITION BY session_id, driver_id) AS f FROM stints)
+SELECT session_id, driver_id, lap_number, TRUE AS is_chance, TRUE AS higher_at_stops,
+  EXISTS (SELECT 1 FROM first_stint s WHERE s.session_id = c.session_id AND s.driver_id = c.driver_id AND s.start_lap = c.lap_number AND stint_number > f) AS did_pit_this_lap
+FROM near c
+""")
+def h02(spark, root):
+    """Label of every training row; its pit probability is a chance, and on average higher at stops."""
+    frame = pit_frame(spark, root)
+    model = pits.fit_pit_model(frame)
+    scored = tyres.positive_score(model.model)(frame.select(*DRIVER, "lap_number", "did_pit_this_lap", *fixed.PIT_FEATURES))
+    means = scored.groupBy("did_pit_this_lap").agg(F.avg("prediction").alias("p"))
+    higher = means.agg(F.max(F.when(F.col("did_pit_this_lap"), F.col("p"))) > F.max(F.when(~F.col("did_pit_this_lap"), F.col("p")))).first()[0]
+    return scored.select(
+        *DRIVER, "lap_number", F.col("prediction").between(0, 1).alias("is_chance"), F.lit(higher).alias("higher_at_stops"), "did_pit_this_lap"
+    )
+
+
+@query("h09_tree_contributions", STATE_SQL + """
+, f AS (SELECT session_id, driver_id, CASE WHEN tyre_age_laps < 5 THEN 0e0 ELSE 1.6875 END AS by_age,
+  6e-1 * CASE WHEN lap_number < 20 THEN -5e-1 ELSE 2.5e-1 END + 4e-1 * CASE WHEN lap_number < 10 THEN 7.5e-1 ELSE 2e0 END AS by_lap,
+  CASE WHEN tyre_age_laps < 5 THEN CASE WHEN lap_number < 20 THEN -5e-1 ELSE 2.5e-1 END ELSE CASE WHEN lap_number < 10 THEN 7.5e-1 ELSE 2e0 END END AS whole FROM state)
+SELECT session_id, driver_id, 2.175e0 AS base, ROUND(1.5 + whole, 8) AS prediction, ROUND((by_age - 6.75e-1 + whole - by_lap) / 2, 8) AS of_age, ROUND((by_lap - 6.75e-1 + whole - by_age) / 2, 8) AS of_lap
+FROM f
+""")
+def h09_trees(spark, root):
+    """Shapley values of every driver's state under one given tree over age and lap."""
+    lap, age = (fixed.TYRE_FEATURES.index(f) for f in ("lap_number", "tyre_age_laps"))
+    tree = ("given", -1, 0, [age, lap, lap], [5.0, 20.0, 10.0], [10.0, 6.0, 4.0, 2.0, 4.0, 1.0, 3.0], [-0.5, 0.25, 0.75, 2.0], 1.5)
+    forest = boosting.Forest.of(spark.createDataFrame([tree], boosting.TREES), fixed.TYRE_FEATURES)
+    rows = state(spark, root).select(
+        *DRIVER, *[F.col(f) if f in ("lap_number", "tyre_age_laps") else F.lit(0).alias(f) for f in fixed.TYRE_FEATURES]
+    )
+    out = explain.tree_contributions(rows, DRIVER, forest, top=len(fixed.TYRE_FEATURES))
+    of = lambda f: F.round(F.get(F.filter("contributions", lambda e: e["feature"] == f), F.lit(0))["contribution"], 8)
+    return out.select(
+        *DRIVER, F.round("base", 8).alias("base"), F.round("prediction", 8).alias("prediction"), of("tyre_age_laps").alias("of_age"), of("lap_number").alias("of_lap")
+    )
+
+
 @query("h05_promote", """
 , c AS (SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS holdout, o_totalprice / 2 AS cv FROM orders),
 cur AS (SELECT o_orderkey AS name, o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 2 END AS mae FROM orders WHERE o_orderkey % 3 <> 0)

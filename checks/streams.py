@@ -148,7 +148,8 @@ def r03(spark, root):
 @query("r03_latest_car_stream", LATEST_SQL)
 def r03_stream(spark, root):
     rows, path = car_rows(spark, root), new_path(spark, "r03")
-    in_parts(spark, [rows.filter("lap_number <= 8"), rows.filter("lap_number > 8")], lambda s: live.store_latest(s, live.latest_car, path))
+    parts = [rows.filter("lap_number <= 5"), rows.filter("lap_number between 6 and 8"), rows.filter("lap_number > 8")]
+    in_parts(spark, parts, lambda s: live.store_latest(s, live.latest_car, path, every=1))
     return _shown(live.read_latest(spark, path, ("session_id", "car_number"), live.CHANNEL_FIELDS))
 
 
@@ -185,7 +186,7 @@ def r04(spark, root):
 @query("r04_latest_weather_stream", WEATHER_SQL)
 def r04_stream(spark, root):
     rows, path = weather_rows(spark, root), new_path(spark, "r04")
-    in_parts(spark, [rows.filter("lap_number > 8"), rows.filter("lap_number <= 8")], lambda s: live.store_latest(s, live.latest_weather, path))
+    in_parts(spark, [rows.filter("lap_number > 8"), rows.filter("lap_number <= 8")], lambda s: live.store_latest(s, live.latest_weather, path, ("session_id",), every=1))
     latest = live.read_latest(spark, path, ("session_id",), ("track_temp", "air_temp"))
     return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 

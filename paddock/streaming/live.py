@@ -192,17 +192,41 @@ def latest_weather(weather: DataFrame, keys: Sequence[str] = ("session_id",)) ->
     return latest_samples(read, keys, ("track_temp", "air_temp"))
 
 
+def keep_latest(newest: DataFrame, batch_id: int, path: str, keys: Sequence[str], ts: str = "ts", every: int = 16) -> None:
+    """Add one batch's newest samples to a store that holds a bounded number of batch folders.
+
+    ``every`` batches make an epoch.  The first batch of epoch E folds the base of E - 1 and the
+    batches of E - 1 into the base of E, in the slot of the base of E - 2; then it empties the slot
+    of the batches of E - 3, which both bases hold, and takes it.  At any moment the folders present cover all
+    batches, so ``read_latest`` needs no list of what is valid; a repeated batch does the same again.
+    """
+    spark, epoch = newest.sparkSession, batch_id // every
+    value = [c for c in newest.columns if c not in (*keys, ts)]
+    batches, base = (lambda e: f"{path}/latest/batches/slot={e % 3}"), (lambda e: f"{path}/latest/base/slot={e % 2}")
+    if batch_id % every == 0:
+        folded = newest.limit(0)
+        if epoch:
+            columns = newest.columns
+            held = spark.read.schema(newest.schema).parquet(base(epoch - 1)).select(*columns)
+            folded = latest_samples(held.unionByName(read_batches(spark, batches(epoch - 1)).select(*columns)), keys, value, ts)
+        folded.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(base(epoch))
+        none = spark.createDataFrame([], "x int, batch_id int").write.partitionBy("batch_id").mode("overwrite")
+        none.option("partitionOverwriteMode", "static").parquet(batches(epoch))
+    write_batch(newest, batches(epoch), batch_id)
+
+
 def store_latest(
-    samples: DataFrame, latest: Callable[[DataFrame], DataFrame], path: str, **trigger
+    samples: DataFrame, latest: Callable[[DataFrame], DataFrame], path: str,
+    keys: Sequence[str] = ("session_id", "car_number"), every: int = 16, **trigger,
 ) -> StreamingQuery:
-    """Write each batch's newest sample per key.
+    """Write each batch's newest sample per key, older batches folded into one table.
 
     Nothing is kept in stream state: the newest of the batches' newest is the newest of
     all (``read_latest``), and samples go stale within seconds anyway.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(latest(batch), f"{path}/latest", batch_id)
+        keep_latest(latest(batch), batch_id, path, keys, every=every)
 
     return start_batches(samples, each, f"{path}/checkpoint", **trigger)
 
@@ -210,7 +234,13 @@ def store_latest(
 def read_latest(
     spark: SparkSession, path: str, keys: Sequence[str], value: Sequence[str], ts: str = "ts"
 ) -> DataFrame:
-    return latest_samples(read_batches(spark, f"{path}/latest"), keys, value, ts)
+    """Newest sample per key from two bases and the batches of at most three epochs.
+
+    A file that a fold replaces while it is read is covered by another folder.
+    """
+    reader = spark.read.option("ignoreMissingFiles", "true")
+    parts = [reader.parquet(f"{path}/latest/{part}").select(*keys, *value, ts) for part in ("base", "batches")]
+    return latest_samples(parts[0].unionByName(parts[1]), keys, value, ts)
 
 
 def store_updates(updates: DataFrame, path: str, **trigger) -> StreamingQuery:

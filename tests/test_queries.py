@@ -8,7 +8,7 @@ from checks.compare import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-LONG = {"h01_tyre_models", "h02_pit_model", "h06_driver_styles", "h09_explained_windows", "h05_training_run"}
+LONG = {"h06_driver_styles"}
 
 
 @pytest.fixture(scope="module")

@@ -233,3 +233,24 @@ def test_stream_rules_close_windows_with_the_watermark(spark, measure):
     got = {r.window_start: r.value for r in spark.read.parquet(f"{path}/out").collect()}
     want = {r.window_start: r.value for r in rules.window_values(log, rule).collect()}
     assert got and all(want[w] == pytest.approx(x) for w, x in got.items())
+
+
+def test_the_newest_sample_store_stays_small(spark):
+    """Batches fold away: late samples, repeated batches and many batches give the newest of all."""
+    import random
+
+    rng, path, keys = random.Random(3), new_path(spark, "latest"), ["k"]
+    rows = [(n, f"k{rng.randrange(5)}", float(n), datetime(2024, 1, 1, 0, rng.randrange(60), n % 60)) for n in range(70)]
+    seen = {}
+    for batch in range(14):
+        part = [r[1:] for r in rows if r[0] // 5 == batch] if batch != 6 else []
+        newest = live.latest_samples(spark.createDataFrame(part, "k string, v double, ts timestamp"), keys, ["v"])
+        for _ in range(2 if batch in (3, 4, 9) else 1):
+            live.keep_latest(newest, batch, path, keys, every=3)
+        for k, v, ts in part:
+            seen[k] = max(seen.get(k, (ts, v)), (ts, v))
+        if batch in (0, 3, 4, 8, 9, 13):
+            got = {r.k: (r.ts, r.v) for r in live.read_latest(spark, path, keys, ["v"]).collect()}
+            assert got == seen
+    folders = {tuple(r) for r in spark.read.parquet(f"{path}/latest/batches").select("slot", "batch_id").distinct().collect()}
+    assert folders <= {(s, b) for b in range(6, 14) for s in [b // 3 % 3]}
