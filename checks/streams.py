@@ -374,6 +374,46 @@ def r10_stream(spark, root):
     return out.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
 
 
+@query("r10_late_rows_stream", RULES_SQL + "SELECT rule, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, ROUND(value, 6) AS value, firing FROM windows")
+def r10_late(spark, root):
+    """Rows days late correct their windows: the newer half of the log comes first, one row in five of it last."""
+    log = v.request_log(spark, root).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = F.col("event_id") % 5 == 0
+    parts = [log.filter((F.col("ts") >= "2024-01-15") & ~last), log.filter(F.col("ts") < "2024-01-15"), log.filter((F.col("ts") >= "2024-01-15") & last)]
+    out = None
+    for rule in RULES:
+        path = new_path(spark, "r10l")
+        in_parts(spark, parts, lambda s, rule=rule, path=path: rules.window_rule_updates(s, rule, path, every=2))
+        rows = live.read_updates(spark, path, ["rule", "window_start"])
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("rule", _at("window_start"), F.round("value", 6).alias("value"), "firing")
+
+
+SUSTAINED_SQL = RULES_SQL + """
+, need AS (SELECT * FROM (VALUES ('high_latency_p95', 120, 360), ('high_error_rate', 180, 180), ('low_hit_rate', 240, 720)) t(rule, minutes, size)),
+fired AS (SELECT rule, w, w - to_hours(ROW_NUMBER() OVER (PARTITION BY rule ORDER BY w)) AS island FROM windows WHERE firing),
+since AS (SELECT rule, w, MIN(w) OVER (PARTITION BY rule, island) AS since FROM fired)
+SELECT a.rule, strftime(a.w, '%Y-%m-%d %H:%M:%S') AS window_start, a.firing, strftime(since, '%Y-%m-%d %H:%M:%S') AS firing_since, COALESCE(since + to_minutes(minutes) <= a.w, FALSE) AS sustained
+FROM windows a LEFT JOIN since s ON s.rule = a.rule AND s.w = a.w LEFT JOIN need n ON n.rule = a.rule
+"""
+
+
+@query("r11_sustained_stream", SUSTAINED_SQL + "WHERE a.w + to_minutes(size) <= (SELECT MAX(ts) FROM request_log) - to_minutes(10)")
+def r11_stream(spark, root):
+    """Windows the watermark has closed, in two parts with a restart between them."""
+    log = v.request_log(spark, root).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = None
+    for rule in RULES:
+        path = new_path(spark, "r11")
+        in_parts(
+            spark, [log.filter("ts < '2024-01-15'"), log.filter("ts >= '2024-01-15'")],
+            lambda s, rule=rule, path=path: rules.sustained_stream(s, rule, path),
+        )
+        rows = live.read_batches(spark, f"{path}/windows")
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("rule", _at("window_start"), "firing", _at("firing_since"), "sustained")
+
+
 @query("r11_sustained", RULES_SQL + """
 , need AS (SELECT * FROM (VALUES ('high_latency_p95', 120), ('high_error_rate', 180), ('low_hit_rate', 240)) t(rule, minutes)),
 fired AS (SELECT rule, w, w - to_hours(ROW_NUMBER() OVER (PARTITION BY rule ORDER BY w)) AS island FROM windows WHERE firing),

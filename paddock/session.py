@@ -15,6 +15,8 @@ SETTINGS = {
     # Spark 4.1 lets a union keep its children's partitioning; the adaptive planner may then
     # give the branches different partition counts, which fails at run time.
     "spark.sql.unionOutputPartitioning": "false",
+    # Keyed state of streams (transformWithState) asks for this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -35,10 +37,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -8,7 +8,8 @@ gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from paddock.schemas import CARS, TIMING, WEATHER
 from paddock.scratch import materialise
 from paddock.sources.feed import LAP_EVENT, inflate_text
 from paddock.sources.ingest import append_new
+from paddock.streaming.state import HighestLap
 
 
 def split_topics(feed: DataFrame) -> dict[str, DataFrame]:
@@ -57,6 +59,24 @@ def split_topics(feed: DataFrame) -> dict[str, DataFrame]:
     return {"cars": cars, "timing": timing, "weather": weather, "rejects": rejects}
 
 
+def _records(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Lap records of timing rows."""
+    return rows.select(
+        *[c for c in columns if c != "entry"],
+        F.col("entry.NumberOfLaps").alias("lap_number"),
+        parse_lap_time("entry.LastLapTime.Value").alias("lap_time_seconds"),
+        F.lit("UNKNOWN").alias("compound"),
+        F.lit(0).alias("tyre_age_laps"),
+        F.lit(True).alias("is_valid"),
+        *[
+            parse_lap_time(F.try_element_at(F.col("entry.Sectors"), F.lit(str(i)))["Value"]).alias(
+                f"sector{i + 1}_seconds"
+            )
+            for i in range(3)
+        ],
+    )
+
+
 def completed_laps(
     timing: DataFrame, seen: DataFrame | None = None, keys: Sequence[str] = ("session_id", "car_number"),
     order: str = "seq",
@@ -74,20 +94,7 @@ def completed_laps(
     else:
         ordered = join_lookup(ordered, seen.withColumnRenamed("highest", "_seen"), keys)
         before = F.greatest(F.coalesce("_best", F.lit(0)), F.coalesce("_seen", F.lit(0)))
-    laps = ordered.filter(F.col("_lap") > before).select(
-        *[c for c in timing.columns if c != "entry"],
-        F.col("_lap").alias("lap_number"),
-        parse_lap_time("entry.LastLapTime.Value").alias("lap_time_seconds"),
-        F.lit("UNKNOWN").alias("compound"),
-        F.lit(0).alias("tyre_age_laps"),
-        F.lit(True).alias("is_valid"),
-        *[
-            parse_lap_time(F.try_element_at(F.col("entry.Sectors"), F.lit(str(i)))["Value"]).alias(
-                f"sector{i + 1}_seconds"
-            )
-            for i in range(3)
-        ],
-    )
+    laps = _records(ordered.filter(F.col("_lap") > before), timing.columns)
     best = rows.select(*keys, "_lap")
     if seen is not None:
         best = best.unionByName(seen.select(*keys, F.col("highest").alias("_lap")))
@@ -120,36 +127,53 @@ def start_batches(
     )
 
 
-SEEN = "session_id string, car_number string, lap_number int, batch_id bigint"
-
-
 def lap_completions(
-    timing: DataFrame, path: str, car_map: DataFrame | None = None, clock: Callable[[], datetime] | None = None, **trigger
+    timing: DataFrame, path: str, car_map: DataFrame | None = None, clock: Callable[[], datetime] | None = None,
+    stored: DataFrame | None = None, idle_hours: float = 12, order: str = "seq", **trigger,
 ) -> StreamingQuery:
     """Stream of timing rows to lap records under ``path``/laps.
 
-    The highest lap of a car is what earlier batches stored for it, read in the sessions of the
-    batch only.  With ``car_map`` the records carry driver_id, as ``upsert_laps`` needs it, and
-    laps of cars that are not mapped are left out; ``clock`` gives created_at where the rows
-    have no ``ts``.
+    The highest lap of a car is keyed state (``HighestLap``); on the first start it is taken from
+    ``stored`` (session_id, car_number, lap_number), later starts go on from the checkpoint.  A car
+    without rows for ``idle_hours`` is dropped from the state.  With ``car_map`` the records carry
+    driver_id, as ``upsert_laps`` needs it, and laps of cars that are not mapped are left out;
+    ``clock`` gives created_at where the rows have no ``ts``.
     """
-    spark = timing.sparkSession
-    held = f"{path}/laps"
-    spark.createDataFrame([], SEEN).write.mode("append").partitionBy("batch_id", "session_id").parquet(held)
+    keys = ["session_id", "car_number"]
+    records = _records(timing.filter("entry.NumberOfLaps is not null"), timing.columns)
+    begin = None
+    if stored is not None:
+        begin = stored.groupBy(*keys).agg(F.max("lap_number").cast("int").alias("highest")).groupBy(*keys)
+    done = records.groupBy(*keys).transformWithStateInPandas(
+        HighestLap(order, "lap_number", int(idle_hours * 3_600_000)), records.schema, "Append", "ProcessingTime", begin
+    )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = materialise(batch, "timing")
-        stored = spark.read.schema(SEEN).parquet(held).filter(F.col("batch_id") < batch_id)
-        stored = stored.join(rows.select("session_id").distinct(), "session_id", "left_semi")
-        seen = stored.groupBy("session_id", "car_number").agg(F.max("lap_number").alias("highest"))
-        laps, _ = completed_laps(rows, materialise(seen, "seen"))
+        laps = batch
         if car_map is not None:
             laps, _ = map_cars(laps, car_map)
         if "created_at" not in laps.columns and ("ts" in laps.columns or clock):
             laps = laps.withColumn("created_at", F.col("ts") if "ts" in laps.columns else F.lit(clock()).cast("timestamp"))
-        write_batch(laps, held, batch_id, by=["session_id"])
+        write_batch(laps, f"{path}/laps", batch_id, by=["session_id"])
+
+    with _only_with_data(timing.sparkSession):
+        return start_batches(done, each, f"{path}/checkpoint", **trigger)
 
-    return start_batches(timing, each, f"{path}/checkpoint", **trigger)
+
+@contextmanager
+def _only_with_data(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside run no batch without rows.
+
+    Timers of processing time ask for one more batch for ever, so a stream of what is there would
+    not end; without such batches they fire in the next batch that has rows.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
 
 
 def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -232,14 +256,15 @@ def store_latest(
 
 
 def read_latest(
-    spark: SparkSession, path: str, keys: Sequence[str], value: Sequence[str], ts: str = "ts"
+    spark: SparkSession, path: str, keys: Sequence[str], value: Sequence[str], ts: str = "ts", where: Column | str = "true"
 ) -> DataFrame:
     """Newest sample per key from two bases and the batches of at most three epochs.
 
     A file that a fold replaces while it is read is covered by another folder.
+    Only samples ``where`` holds for take part.
     """
     reader = spark.read.option("ignoreMissingFiles", "true")
-    parts = [reader.parquet(f"{path}/latest/{part}").select(*keys, *value, ts) for part in ("base", "batches")]
+    parts = [reader.parquet(f"{path}/latest/{part}").select(*keys, *value, ts).filter(where) for part in ("base", "batches")]
     return latest_samples(parts[0].unionByName(parts[1]), keys, value, ts)
 
 

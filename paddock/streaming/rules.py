@@ -7,8 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from paddock.operators.ordered import over_order
+from paddock.scratch import materialise
+from paddock.streaming import live
+from paddock.streaming.state import NEVER, FiringRun
 
 # Upper bounds in seconds of a latency histogram's buckets; one without bound follows.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -80,11 +85,23 @@ def window_values(log: DataFrame, rule: Rule) -> DataFrame:
     Rows are first summed per pane of one slide to a fixed number of counts, so a row is not
     copied into each window that holds it; only the panes are.
     """
+    return _panes_to_windows(_pane_sums(log, rule), rule)
+
+
+def _names(rule: Rule) -> list[str]:
+    return [f"_s{i}" for i in range(len(_sums(rule)))]
+
+
+def _pane_sums(log: DataFrame, rule: Rule) -> DataFrame:
+    """(_pane, counts, _newest): one row per pane of one slide, with its newest time."""
     pane = F.window("ts", f"{rule.slide_minutes} minutes")["start"].alias("_pane")
-    sums = _sums(rule)
-    names = [f"_s{i}" for i in range(len(sums))]
-    panes = log.groupBy(pane).agg(*sums).select(_windows_of("_pane", rule).alias("window_start"), *names)
-    whole = panes.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in names])
+    return log.groupBy(pane).agg(*_sums(rule), F.max("ts").alias("_newest"))
+
+
+def _panes_to_windows(panes: DataFrame, rule: Rule) -> DataFrame:
+    names = _names(rule)
+    held = panes.select(_windows_of("_pane", rule).alias("window_start"), *names)
+    whole = held.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in names])
     return whole.select("window_start", _value(rule).alias("value"))
 
 
@@ -103,7 +120,8 @@ def window_rules(log: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def window_rule_stream(log: DataFrame, rule: Rule, watermark: str = "10 minutes") -> DataFrame:
     """Streaming form: sliding event-time windows over the same counts, so of the same value.
 
-    The watermark bounds the state: a row that comes later than it is not counted.
+    The watermark bounds the state: a row that comes later than it is not counted
+    (``window_rule_updates`` lists and counts such rows).
     """
     window = F.window("ts", f"{rule.size_minutes} minutes", f"{rule.slide_minutes} minutes")
     return (
@@ -118,6 +136,71 @@ def window_rule_stream(log: DataFrame, rule: Rule, watermark: str = "10 minutes"
     )
 
 
+def window_rule_updates(
+    log: DataFrame, rule: Rule, path: str, delay_seconds: int = 600, every: int = 16, **trigger
+) -> StreamingQuery:
+    """Streaming form without a watermark's loss: rows correct their windows however late they come.
+
+    Batch N adds its counts to those of its panes and stores the sums as version N of each pane
+    (``keep_latest``, so a bounded number of folders is read).  It takes the versions below N, so a
+    repeated batch stores the same rows.  Windows that hold a pane of the batch go to
+    ``path``/updates, read by ``live.read_updates``.  Rows older than the newest time of earlier
+    batches by more than ``delay_seconds`` are listed under ``path``/late with ``behind_seconds``.
+    """
+    names = _names(rule)
+    value, reach = ["_newest", *names], (rule.size_minutes // rule.slide_minutes - 1) * rule.slide_minutes
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = materialise(_pane_sums(batch, rule), "panes")
+        held, newest = None, None
+        if batch_id:
+            held = live.read_latest(spark, path, ["_pane"], value, "_version", F.col("_version") < batch_id)
+            newest = held.agg(F.max("_newest")).first()[0]
+        behind = F.unix_seconds(F.lit(newest).cast("timestamp")) - F.unix_seconds("ts")
+        late = batch.withColumn("behind_seconds", behind).filter(F.col("behind_seconds") > delay_seconds)
+        live.write_batch(late, f"{path}/late", batch_id)
+        panes = new
+        if held is not None:
+            step = F.make_dt_interval(mins=F.lit(reach))
+            near = F.sequence(F.col("_pane") - step, F.col("_pane") + step, F.make_dt_interval(mins=F.lit(rule.slide_minutes)))
+            wanted = new.select(F.explode(near).alias("_pane")).distinct()
+            known = held.join(wanted, "_pane", "left_semi").drop("_version")
+            panes = known.unionByName(new).groupBy("_pane").agg(
+                F.max("_newest").alias("_newest"), *[F.sum(c).alias(c) for c in names]
+            )
+            panes = materialise(panes, "panes")
+        touched = new.select(_windows_of("_pane", rule).alias("window_start")).distinct()
+        windows = _panes_to_windows(panes, rule).join(touched, "window_start", "left_semi")
+        rows = windows.select(
+            F.lit(rule.name).alias("rule"), "window_start", F.col("value").cast("double").alias("value"),
+            rule.fires(F.col("value")).alias("firing"),
+        )
+        versions = panes.join(new.select("_pane"), "_pane", "left_semi").withColumn("_version", F.lit(batch_id).cast("bigint"))
+        live.keep_latest(versions.select("_pane", *value, "_version"), batch_id, path, ["_pane"], "_version", every)
+        live.write_batch(rows, f"{path}/updates", batch_id)
+
+    return live.start_batches(log, each, f"{path}/checkpoint", **trigger)
+
+
+def sustained_stream(log: DataFrame, rule: Rule, path: str, watermark: str = "10 minutes", **trigger) -> StreamingQuery:
+    """R-11 on a stream: closed windows with firing_since and sustained, batch by batch under ``path``/windows.
+
+    The watermark closes windows in order; the run they belong to is keyed state (``FiringRun``).
+    """
+    windows = window_rule_stream(log, rule, watermark).withColumn("at", F.unix_micros("window_start"))
+    runs = windows.groupBy("rule").transformWithStateInPandas(
+        FiringRun(rule.slide_minutes * 60_000_000), T.StructType([*windows.schema.fields, T.StructField("since", T.LongType())]),
+        "Append", "None",
+    )
+    fired = F.col("since") > NEVER
+    out = runs.select(
+        "rule", "window_start", "value", "firing", F.when(fired, F.timestamp_micros("since")).alias("firing_since"),
+        (fired & (F.col("at") - F.col("since") >= rule.minutes * 60_000_000)).alias("sustained"),
+    )
+    return live.start_batches(out, lambda b, i: live.write_batch(b, f"{path}/windows", i), f"{path}/checkpoint", **trigger)
+
+
 def sustained(windows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add firing_since and sustained: true for the rule's minutes without a gap.
 

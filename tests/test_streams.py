@@ -56,6 +56,16 @@ def test_completed_laps_stream_survives_a_restart(spark, cut):
     assert rows(got) == rows(want)
 
 
+def test_keyed_laps_take_stored_laps_and_drop_idle_cars(spark):
+    path = new_path(spark, "keyed")
+    stored = spark.createDataFrame([("s", "44", 2), ("s", "44", 1)], "session_id string, car_number string, lap_number int")
+    whole = timing(spark, [("44", 1, 2, "1:31.0"), ("44", 2, 3, "1:31.0"), ("1", 3, 2, "1:31.0"), ("1", 4, 3, "1:31.0"), ("44", 5, 3, "1:31.0"), ("1", 6, 3, "1:31.0")])
+    parts = [whole.filter("seq <= 3"), whole.filter("seq = 4"), whole.filter("seq >= 5")]
+    run_parts(spark, parts, lambda s: live.lap_completions(s, path, stored=stored, idle_hours=0.5 / 3600))
+    got = live.read_batches(spark, f"{path}/laps").select("batch_id", "seq")
+    assert rows(got) == [(0, 2), (0, 3), (1, 4), (2, 5)]  # 44 is idle in batch 1, so its lap 3 counts again
+
+
 def test_live_chain_stores_mapped_cars(spark):
     path = new_path(spark, "chain")
     cars = spark.createDataFrame([("44", "ham")], "car_number string, driver_id string")
@@ -235,6 +245,33 @@ def test_stream_rules_close_windows_with_the_watermark(spark, measure):
     assert got and all(want[w] == pytest.approx(x) for w, x in got.items())
 
 
+def test_late_rows_correct_their_windows_and_are_listed(spark):
+    log = spark.createDataFrame(
+        [(i, NOW + timedelta(seconds=40 * i), i % 3 != 0, 200, 0.1) for i in range(90)], "id int, ts timestamp, cache_hit boolean, status int, latency_s double"
+    )
+    rule = rules.Rule("low", "hit_rate", 10, 5, 0.66, False, 10)
+    parts = [log.filter("id between 60 and 69"), log.filter("id >= 72 or id < 10"), log.filter("id between 10 and 59"), log.filter("id between 70 and 71")]
+    path = new_path(spark, "late")
+    run_parts(spark, parts, lambda s: rules.window_rule_updates(s, rule, path, 600, every=2))
+    got = live.read_updates(spark, path, ["rule", "window_start"]).select("rule", "window_start", "value", "firing")
+    assert rows(got) == rows(rules.window_rules(log, (rule,)))
+    late = {(r.batch_id, r.id): r.behind_seconds for r in live.read_batches(spark, f"{path}/late").collect()}
+    assert late == {**{(1, i): 40 * (69 - i) for i in range(10)}, **{(2, i): 40 * (89 - i) for i in range(10, 60)}, (3, 70): 760, (3, 71): 720}
+
+
+def test_sustained_stream_equals_the_batch(spark):
+    log = spark.createDataFrame(
+        [(NOW + timedelta(minutes=i, seconds=5), i % 12 < 3, 200, 0.1) for i in range(60) if i not in (24, 25, 26, 27)], "ts timestamp, cache_hit boolean, status int, latency_s double"
+    )
+    rule = rules.Rule("low", "hit_rate", 2, 1, 0.6, False, 3)
+    path, cut = new_path(spark, "runs"), NOW + timedelta(minutes=20)
+    run_parts(spark, [log.filter(F.col("ts") < cut), log.filter(F.col("ts") >= cut)], lambda s: rules.sustained_stream(s, rule, path, "2 minutes"))
+    got = rows(live.read_batches(spark, f"{path}/windows").select("window_start", "firing", "firing_since", "sustained"))
+    closed = F.col("window_start") <= NOW + timedelta(minutes=59 - 2 - 2)
+    want = rules.sustained(rules.window_rules(log, (rule,)), (rule,)).filter(closed)
+    assert got == rows(want.select("window_start", "firing", "firing_since", "sustained")) and any(r[3] for r in got)
+
+
 def test_the_newest_sample_store_stays_small(spark):
     """Batches fold away: late samples, repeated batches and many batches give the newest of all."""
     import random
