@@ -205,14 +205,17 @@ def h09_windows(spark, root):
     return rows.select(*DRIVER, "pit_lap", F.round("projected_total_delta_seconds", 6).alias("total"), F.size(F.coalesce("contributions", F.array().cast(rows.schema["contributions"].dataType))).alias("reasons"))
 
 
-@query("h10_score_laps", GAPPED_SQL.replace("gapped AS (SELECT *,", "gapped AS (SELECT *, LEAST(GREATEST(COALESCE((LEAD(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id)) - elapsed, 120), 0), 120)::DOUBLE AS behind,") + f"""
+SCORED_SQL = GAPPED_SQL.replace("gapped AS (SELECT *,", "gapped AS (SELECT *, LEAST(GREATEST(COALESCE((LEAD(elapsed) OVER (PARTITION BY session_id ORDER BY position, driver_id)) - elapsed, 120), 0), 120)::DOUBLE AS behind,") + f"""
 , scored AS (SELECT s.*, COALESCE(g.gap, 120) AS gap, COALESCE(g.position, k.n + 1) AS place, {tyre_sql('s.code', 's.tyre_age_laps', 's.lap_number', fuel_sql('s.lap_number', 's.total_laps')).replace('circuit_code', 's.circuit_code').replace('driver_code', 's.driver_code')} AS delta
   FROM state s LEFT JOIN gapped g ON g.session_id = s.session_id AND g.driver_id = s.driver_id JOIN (SELECT session_id, COUNT(*) AS n FROM last GROUP BY 1) k ON k.session_id = s.session_id),
 ages AS (SELECT session_id, driver_id, off, {tyre_sql('code', 'tyre_age_laps + off', 'lap_number + off', fuel_sql('lap_number', 'total_laps'))} AS p FROM (SELECT *, UNNEST(range(0, 40)) AS off FROM scored)),
-lives AS (SELECT session_id, driver_id, CAST(COALESCE(MIN(CASE WHEN p >= 1.5 THEN off END), 40) AS INT) AS life FROM ages GROUP BY 1, 2)
-SELECT session_id, driver_id, lap_number, CAST(lap_number + GREATEST(CAST(TRUNC(delta) AS INT), 1) AS INT) AS optimal_pit_lap, ROUND(delta, 8) AS tire_life_remaining, life AS life_laps,
-  ROUND({pit_sql('tyre_age_laps', 'life', 'gap', '1 - EXP(-1e-2)', 'total_laps - lap_number', 'place')}, 8) AS pit_probability, 0e0 AS confidence_score FROM scored JOIN lives USING (session_id, driver_id)
-""")
+lives AS (SELECT session_id, driver_id, CAST(COALESCE(MIN(CASE WHEN p >= 1.5 THEN off END), 40) AS INT) AS life FROM ages GROUP BY 1, 2),
+predicted AS (SELECT session_id, driver_id, lap_number, CAST(lap_number + GREATEST(CAST(TRUNC(delta) AS INT), 1) AS INT) AS optimal_pit_lap, ROUND(delta, 8) AS tire_life_remaining, life AS life_laps,
+  ROUND({pit_sql('tyre_age_laps', 'life', 'gap', '1 - EXP(-1e-2)', 'total_laps - lap_number', 'place')}, 8) AS pit_probability, 0e0 AS confidence_score FROM scored JOIN lives USING (session_id, driver_id))
+"""
+
+
+@query("h10_score_laps", SCORED_SQL + "SELECT * FROM predicted")
 def h10(spark, root):
     """Latest lap of every driver scored with the linear formulas and one fixed rate."""
     held = v.laps(spark, root).withColumn("lap_time_seconds", F.col("lap_ms") / 1000.0)

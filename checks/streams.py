@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import query
-from checks.models import _flat_sc
+from checks.models import SCORED_SQL, _flat_sc
 from checks.relational import DRIVER, LAP, PREDICTIONS_SQL, SUBSCRIPTIONS_SQL, predictions, rounded, subscriptions
 from checks.strategy import pit_score, state, tyre_score
 from checks.values import CHANNEL_SQL, deflate_text, entries, lap_records
@@ -241,12 +241,12 @@ def r06_stream(spark, root):
     return _enriched(live.read_batches(spark, f"{path}/events"))
 
 
-@query("r07_predict_stream", """
-, r AS (SELECT session_id, driver_id, lap_number, ROW_NUMBER() OVER (PARTITION BY session_id, driver_id ORDER BY lap_number DESC) AS r FROM laps)
-SELECT session_id, driver_id, lap_number, TRUE AS message FROM r WHERE r = 1
-""")
+R07_FIELDS = ("optimal_pit_lap", "pit_probability", "tire_life_remaining", "confidence_score")
+
+
+@query("r07_predict_stream", SCORED_SQL + f"SELECT session_id, driver_id, lap_number, {', '.join(f'{c}, {c} AS sent_{c}' for c in R07_FIELDS)} FROM predicted")
 def r07(spark, root):
-    """Latest laps streamed in two parts through the scorer to the prediction sink."""
+    """Latest laps streamed in two parts through the scorer to the prediction sink; stored values and message fields."""
     held = v.laps(spark, root).withColumn("lap_time_seconds", F.col("lap_ms") / 1000.0)
     now = state(spark, root).withColumn("circuit_name", F.lit("Test"))
     rates = v.context(spark, root).agg(F.lit(None).cast("string").alias("circuit_name"), F.lit(0.01).alias("rate"))
@@ -254,8 +254,10 @@ def r07(spark, root):
     batch, path = now.select(*LAP, "compound", "tyre_age_laps"), new_path(spark, "r07")
     in_parts(spark, [batch.filter("driver_id % 2 = 0"), batch.filter("driver_id % 2 = 1")], lambda s: alerts.predict_stream(s, score, path))
     rows = live.read_batches(spark, f"{path}/strategy_predictions")
-    sent = live.read_batches(spark, f"{path}/messages").select(F.from_json("value", "session_id int, driver_id bigint").alias("m")).select("m.*")
-    return rows.select(*LAP).join(sent.withColumn("message", F.lit(True)), DRIVER, "left")
+    fields = "session_id int, driver_id bigint, optimal_pit_lap int, pit_probability double, tire_life_remaining double, confidence_score double"
+    sent = live.read_batches(spark, f"{path}/messages").select(F.from_json("value", fields).alias("m")).select("m.*")
+    both = rows.select(*LAP, *R07_FIELDS).join(sent.select(*DRIVER, *[F.col(c).alias(f"sent_{c}") for c in R07_FIELDS]), DRIVER, "left")
+    return both.withColumns({c: F.round(c, 8) for c in both.columns if c.endswith(("pit_probability", "tire_life_remaining"))})
 
 
 def messages(spark, root) -> DataFrame:
