@@ -164,13 +164,94 @@ def h05(spark, root):
     return registry.promote(held, fresh).select("model_name", "promotion_basis", "promoted")
 
 
-@query("h06_driver_styles")
-def h06(spark, root):
-    """Cluster, archetype and coordinates of every driver and season."""
+_AXES = range(4)
+_DIST = " + ".join(f"(r.z{i} - c.z{i}) * (r.z{i} - c.z{i})" for i in _AXES)
+_Z = ", ".join(f"z{i}" for i in _AXES)
+
+#: Scaled features, farthest-first starts, and k-means steps as one recursion.
+CLUSTER_SQL = STYLE_SQL + f"""
+, kept AS MATERIALIZED (SELECT driver_id, season, {", ".join(f"{f} AS f{i}" for i, f in enumerate(fixed.STYLE_FEATURES))}
+  FROM sector_var JOIN tyres USING (driver_id, season) JOIN consistency USING (driver_id, season) JOIN lens USING (driver_id, season)
+  WHERE {" AND ".join(f"{f} IS NOT NULL" for f in fixed.STYLE_FEATURES)}),
+facts AS MATERIALIZED (SELECT {", ".join(f"AVG(f{i}) AS m{i}, STDDEV_SAMP(f{i}) AS d{i}" for i in _AXES)} FROM kept),
+scaled AS MATERIALIZED (SELECT driver_id, season, {", ".join(f"CASE WHEN d{i} > 0 THEN (f{i} - m{i}) / d{i} ELSE 0 END AS z{i}" for i in _AXES)} FROM kept CROSS JOIN facts),
+start0 AS MATERIALIZED (SELECT 0 AS cluster, {_Z} FROM scaled ORDER BY ROUND({" + ".join(f"z{i} * z{i}" for i in _AXES)}, 9) DESC, driver_id, season LIMIT 1),
+""" + "".join(
+    f"""start{k} AS MATERIALIZED (SELECT * FROM start{k - 1} UNION ALL (SELECT {k} AS cluster, {_Z} FROM (
+  SELECT r.driver_id, r.season, {", ".join(f"r.z{i}" for i in _AXES)}, MIN(ROUND({_DIST}, 9)) AS near FROM scaled r CROSS JOIN start{k - 1} c GROUP BY ALL) WHERE near > 0 ORDER BY near DESC, driver_id, season LIMIT 1)),
+"""
+    for k in range(1, styles.CLUSTERS)
+) + f"""centres AS MATERIALIZED (WITH RECURSIVE lloyd AS (
+  SELECT 0 AS step, cluster, {_Z} FROM start{styles.CLUSTERS - 1}
+  UNION ALL SELECT step + 1, cluster, {", ".join(f"AVG(z{i})" for i in _AXES)} FROM (
+    SELECT c.step, c.cluster, {", ".join(f"r.z{i}" for i in _AXES)}, ROW_NUMBER() OVER (PARTITION BY r.driver_id, r.season ORDER BY ROUND({_DIST}, 9), c.cluster) AS place FROM scaled r CROSS JOIN lloyd c WHERE c.step < {styles.ITERATIONS})
+  WHERE place = 1 GROUP BY step, cluster)
+  SELECT cluster, {_Z} FROM lloyd WHERE step = {styles.ITERATIONS}),
+technical AS (SELECT cluster FROM centres ORDER BY -z0 DESC, cluster LIMIT 1),
+inconsistent AS (SELECT cluster FROM centres WHERE cluster NOT IN (FROM technical) ORDER BY z2 + z0 DESC, cluster LIMIT 1),
+aggressive AS (SELECT cluster FROM centres WHERE cluster NOT IN (FROM technical UNION ALL FROM inconsistent) ORDER BY z1 DESC, cluster LIMIT 1),
+conservative AS (SELECT cluster FROM centres WHERE cluster NOT IN (FROM technical UNION ALL FROM inconsistent UNION ALL FROM aggressive) ORDER BY -z1 DESC, cluster LIMIT 1),
+assigned AS MATERIALIZED (SELECT driver_id, season, CAST(cluster AS INT) AS cluster, CASE WHEN cluster IN (FROM technical) THEN 'technical' WHEN cluster IN (FROM inconsistent) THEN 'inconsistent'
+  WHEN cluster IN (FROM aggressive) THEN 'aggressive' WHEN cluster IN (FROM conservative) THEN 'conservative' ELSE 'balanced' END AS archetype
+  FROM (SELECT r.driver_id, r.season, c.cluster, ROW_NUMBER() OVER (PARTITION BY r.driver_id, r.season ORDER BY ROUND({_DIST}, 9), c.cluster) AS place FROM scaled r CROSS JOIN centres c) WHERE place = 1)
+"""
+
+
+def _m(i: int, j: int) -> str:
+    return f"m{min(i, j)}{max(i, j)}"
+
+
+def _axis_sql(name: str, matrix: str) -> str:
+    """The main axis of a symmetric 4 x 4 matrix: its power of 2^24 by squaring, each over its trace."""
+    pairs = [(i, j) for i in _AXES for j in range(i, 4)]
+    squares = " + ".join(f"{_m(i, j)} * {_m(i, j)}" for i in _AXES for j in _AXES)
+    step = ", ".join("(" + " + ".join(f"{_m(i, k)} * {_m(k, j)}" for k in _AXES) + f") / ({squares}) AS {_m(i, j)}" for i, j in pairs)
+    columns = ", ".join(_m(i, j) for i, j in pairs)
+    picked = " UNION ALL ".join(f"SELECT {_m(j, j)} AS size, {', '.join(f'{_m(i, j)} AS v{i}' for i in _AXES)} FROM grown" for j in _AXES)
+    largest = "GREATEST(" + ", ".join(f"ROUND(ABS(v{i}), 9)" for i in _AXES) + ")"
+    sign = "SIGN(CASE " + " ".join(f"WHEN ROUND(ABS(v{i}), 9) = {largest} THEN v{i}" for i in _AXES) + " END)"
+    unit = f"{sign} / SQRT({' + '.join(f'v{i} * v{i}' for i in _AXES)})"
+    return f"""{name} AS MATERIALIZED (WITH RECURSIVE powers AS (SELECT 0 AS step, {columns} FROM {matrix} UNION ALL SELECT step + 1, {step} FROM powers WHERE step < 24),
+  grown AS (SELECT * FROM powers WHERE step = 24) SELECT {", ".join(f"v{i} * {unit} AS v{i}" for i in _AXES)} FROM ({picked}) ORDER BY size DESC LIMIT 1)"""
+
+
+_LAMBDA = " + ".join(f"v{i} * v{j} * {_m(i, j)}" for i in _AXES for j in _AXES)
+COORDINATES_SQL = CLUSTER_SQL + f"""
+, spread AS MATERIALIZED (SELECT {", ".join(f"COVAR_SAMP(z{i}, z{j}) AS {_m(i, j)}" for i in _AXES for j in range(i, 4))} FROM scaled),
+{_axis_sql("axis_x", "spread")},
+rest AS MATERIALIZED (SELECT {", ".join(f"{_m(i, j)} - ({_LAMBDA}) * v{i} * v{j} AS {_m(i, j)}" for i in _AXES for j in range(i, 4))} FROM spread CROSS JOIN axis_x),
+{_axis_sql("axis_y", "rest")}
+SELECT driver_id, season, ROUND({" + ".join(f"z{i} * x.v{i}" for i in _AXES)}, 4) + 0 AS style_x, ROUND({" + ".join(f"z{i} * y.v{i}" for i in _AXES)}, 4) + 0 AS style_y
+FROM scaled CROSS JOIN axis_x x CROSS JOIN axis_y y
+"""
+
+
+def _styles(spark, root) -> tuple[styles.StyleModel, DataFrame]:
     features = agg.style_features(season_laps(spark, root), season_stints(spark, root))
     model = styles.fit_styles(features)
-    rows = styles.style_assignments(model, features)
-    return rows.select("driver_id", "season", "cluster", "archetype", F.round("style_x", 4).alias("style_x"), F.round("style_y", 4).alias("style_y"))
+    return model, styles.style_assignments(model, features)
+
+
+@query("h06_driver_styles", CLUSTER_SQL + "SELECT driver_id, season, cluster, archetype FROM assigned")
+def h06(spark, root):
+    """Cluster and archetype of every driver and season."""
+    return _styles(spark, root)[1].select("driver_id", "season", "cluster", "archetype")
+
+
+@query("h07_archetypes", CLUSTER_SQL + f"""
+SELECT CAST(c.cluster AS INT) AS cluster, MIN(archetype) AS archetype, COUNT(*) AS rows, {", ".join(f"ROUND(MIN(z{i}), 8) AS {f}" for i, f in enumerate(fixed.STYLE_FEATURES))}
+FROM centres c JOIN assigned a ON a.cluster = c.cluster GROUP BY 1
+""")
+def h07(spark, root):
+    """Name, rows and scaled centre of every cluster."""
+    return rounded(styles.archetype_table(*_styles(spark, root)), *fixed.STYLE_FEATURES)
+
+
+@query("h08_style_coordinates", COORDINATES_SQL)
+def h08(spark, root):
+    """Coordinates of every driver and season on the two principal axes."""
+    rows = _styles(spark, root)[1]
+    return rows.select("driver_id", "season", *[(F.round(c, 4) + 0).alias(c) for c in ("style_x", "style_y")])
 
 
 @query("h09_contributions", STATE_SQL + f"""

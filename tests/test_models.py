@@ -84,6 +84,40 @@ def test_styles(spark):
         styles.fit_styles(features.limit(1))
 
 
+def test_styles_equal_a_plain_version(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centre = np.array([[0, 0, 0, 0], [9, 0, 0, 1], [0, 8, 1, 0], [0, 0, 9, 9.0]])
+    x = centre[rng.integers(0, 4, 60)] + rng.normal(size=(60, 4))
+    x[10] = x[11]  # a tie
+    rows = spark.createDataFrame(
+        [(f"d{i:02}", 2024, *map(float, r)) for i, r in enumerate(x)], ["driver_id", "season", *fixed.STYLE_FEATURES]
+    ).repartition(7)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    held = [z[np.argmax((z**2).sum(1))]]
+    while len(held) < 5:
+        held.append(z[np.argmax(np.round(((z[:, None] - held) ** 2).sum(2), 9).min(1))])
+    for _ in range(100):
+        of = np.round(((z[:, None] - held) ** 2).sum(2), 9).argmin(1)
+        held = [z[of == c].mean(0) for c in range(5)]
+    _, axes = np.linalg.eigh(np.cov(z.T))
+    model = styles.fit_styles(rows)
+    got = sorted(styles.style_assignments(model, rows).collect())
+    assert [r.cluster for r in got] == of.tolist()
+    for name, axis in (("style_x", axes[:, 3]), ("style_y", axes[:, 2])):
+        want = z @ axis * np.sign(axis[np.abs(axis).argmax()])
+        assert np.allclose([r[name] for r in got], want)
+    table = styles.archetype_table(model, styles.style_assignments(model, rows)).collect()
+    assert sum(r["rows"] for r in table) == 60 and {r.archetype for r in table} == {"technical", "inconsistent", "aggressive", "conservative", "balanced"}
+
+
+def test_styles_of_equal_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0, 2.0, 3.0, 4.0), ("b", 1, 1.0, 2.0, 3.0, 4.0)], ["driver_id", "season", *fixed.STYLE_FEATURES])
+    got = styles.style_assignments(styles.fit_styles(rows), rows).collect()
+    assert {(r.cluster, r.archetype, r.style_x, r.style_y) for r in got} == {(0, "technical", 0.0, 0.0)}
+
+
 def test_promotion(spark):
     have = spark.createDataFrame(
         [("a", "1", 0.9, None, True), ("a", "2", 0.5, None, True), ("a", "3", 0.1, None, False), ("b", "1", None, 0.4, True)],

@@ -8,7 +8,6 @@ from checks.compare import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-LONG = {"h06_driver_styles"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +15,7 @@ def con():
     return connect(ROOT)
 
 
-@pytest.mark.parametrize("name", sorted(set(base.QUERIES) - LONG))
+@pytest.mark.parametrize("name", sorted(base.QUERIES))
 def test_query(spark, con, small_chunks, name):
     line = compare(spark, ROOT, name, entry.queries()[name], ORACLES.get(name), con)
     # The smallest orders table has no session in the ten-minute window.
