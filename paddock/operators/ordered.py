@@ -171,24 +171,25 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],
-    weight: str | None = None,
+    weight: str | None = None, largest: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, {output column: fraction}.
 
     Equal values are counted first, then ranked through running counts, so no
-    aggregation buffer grows with the group.
+    aggregation buffer grows with the group.  The input is read once: totals come from the counts,
+    and so do ``largest``, {output column: column}, which are taken over rows without a value too;
+    with them, a group of such rows only has NULL quantiles instead of no row.
     """
-    keys = list(keys)
+    keys, largest = list(keys), dict(largest or {})
     held = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df if largest else df.filter(F.col(value).isNotNull())
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(held.cast("bigint").alias("_n"))
+        counted.groupBy(*keys, F.col(value).alias("_v"))
+        .agg(held.cast("bigint").alias("_n"), *[F.max(c).alias(o) for o, c in largest.items()])
+        .withColumn("_n", F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
     )
     upto = over_order(counts, keys, ["_v"], sums={"_upto": "_n"})
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        held.cast("bigint").alias("_total")
-    )
+    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
     if keys:
         placed = join_lookup(upto, totals, keys, "inner")
     else:
@@ -201,9 +202,9 @@ def exact_quantiles(
         aggs.append(F.max(F.when((first <= lo) & (lo < F.col("_upto")), F.col("_v"))).alias(f"_lo{i}"))
         aggs.append(F.max(F.when((first <= hi) & (hi < F.col("_upto")), F.col("_v"))).alias(f"_hi{i}"))
         aggs.append(F.max(spot - lo).alias(f"_part{i}"))
-    picked = placed.groupBy(*keys).agg(*aggs)
+    picked = placed.groupBy(*keys).agg(*aggs, *[F.max(o).alias(o) for o in largest])
     return picked.select(
-        *keys,
+        *keys, *largest,
         *[
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(o)
             for i, o in enumerate(wanted)

@@ -44,8 +44,7 @@ def lap_time_delta(
 
     ``keys`` may add columns, such as the compound, to take medians over fewer laps.
     """
-    middle = exact_quantiles(laps.filter(F.col(time).isNotNull()), list(keys), time, {"_median": 0.5})
-    medians = laps.groupBy(*keys).agg(F.max("lap_number").alias("last_lap")).join(middle, list(keys), "left")
+    medians = exact_quantiles(laps, list(keys), time, {"_median": 0.5}, largest={"last_lap": "lap_number"})
     joined = attach_per_driver(laps, medians, keys)
     return joined.select(*laps.columns, (F.col(time) - F.col("_median")).alias("lap_time_delta"))
 

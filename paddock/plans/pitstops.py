@@ -10,7 +10,7 @@ from paddock.functions.scalars import compound_code, compound_model, forward_fue
 from paddock.operators.aggregates import DRIVER
 from paddock.operators.lookups import join_lookup
 from paddock.operators.reshape import top_k
-from paddock.plans.projection import Score, project_stints, spread
+from paddock.plans.projection import Score, score_stints, spread
 
 
 def pit_windows(
@@ -19,39 +19,50 @@ def pit_windows(
     """The k cheapest pit laps per driver, none at the end of the race.
 
     Each candidate is the stint to the stop, the stop, and the best compound to the end.
-    Totals equal to nine digits are ties, taken by lap.
+    Totals equal to nine digits are ties, taken by lap.  The stints to the stop of a driver are
+    beginnings of one stint, so its laps are scored once and a candidate looks up their running sum
+    (``lookahead`` numbers in the driver's row).  Stints after a stop share no lap of one age, so each
+    is scored and summed.
     """
-    cap = F.least(F.col("lap_number") + lookahead, F.col("total_laps"))
-    shared = ("total_laps", "circuit_code", "driver_code")
-    candidates = (
-        spread(state, DRIVER)
-        .withColumn("window_end", cap)
-        .filter("window_end > lap_number")
-        .withColumn("pit_lap", F.explode(F.sequence(F.col("lap_number") + 1, F.col("window_end"))))
-    )
-    now = F.struct(
-        F.lit("").alias("part"), F.col("compound").alias("_compound"),
-        (F.col("lap_number") + 1).alias("start_lap"),
-        (F.col("pit_lap") - F.col("lap_number")).alias("n_laps"),
-        F.col("tyre_age_laps").alias("start_age"),
-    )
-    later = [
-        F.struct(
-            F.lit(c).alias("part"), F.lit(c).alias("_compound"), (F.col("pit_lap") + 1).alias("start_lap"),
-            (F.col("total_laps") - F.col("pit_lap")).alias("n_laps"), F.lit(0).alias("start_age"),
+    lap = F.col("lap_number")
+    held = spread(state, DRIVER).withColumns(
+        {"window_start": lap + 1, "window_end": F.least(lap + lookahead, F.col("total_laps"))}
+    ).filter("window_end > lap_number")
+
+    def stint(pit_lap, part, compound, start_lap, n_laps, start_age):
+        whole = {"pit_lap": pit_lap, "start_lap": start_lap, "n_laps": n_laps, "start_age": start_age}
+        return F.struct(
+            part.alias("part"), compound.alias("compound"), *[c.cast("int").alias(n) for n, c in whole.items()]
         )
-        for c in fixed.STOP_COMPOUNDS
-    ]
-    keys = [*DRIVER, "pit_lap", "window_start", "window_end"]
-    stints = candidates.select(
-        *DRIVER, "pit_lap", (F.col("lap_number") + 1).alias("window_start"), "window_end", *shared,
-        F.inline(F.array(now, *later)),
-    ).withColumnRenamed("_compound", "compound")
-    parts = project_stints(stints, [*keys, "part"], score)
-    first = F.max(F.when(F.col("part") == "", F.col("projected")))
-    rest = F.min(F.when(F.col("part") != "", F.col("projected")))
-    totals = parts.groupBy(*keys).agg(
-        (first + fixed.PIT_STOP_SECONDS + rest).alias("projected_total_delta_seconds")
+
+    now = stint(F.lit(0), F.lit(""), F.col("compound"), lap + 1, F.col("window_end") - lap, F.col("tyre_age_laps"))
+    later = F.transform(
+        F.sequence("window_start", "window_end"),
+        lambda p: F.array(*[stint(p, F.lit(c), F.lit(c), p + 1, F.col("total_laps") - p, F.lit(0)) for c in fixed.STOP_COMPOUNDS]),
+    )
+    window = [*DRIVER, "window_start", "window_end"]
+    stints = held.withColumn("_stints", F.concat(F.array(now), F.flatten(later))).select(
+        *window, "total_laps", "circuit_code", "driver_code", F.inline("_stints")
+    )
+    laps = score_stints(stints, [*window, "pit_lap", "part"], score)
+    of_now = F.when(F.col("part") == "", F.struct("lap_number", "delta"))
+    parts = laps.groupBy(*window, "pit_lap", "part").agg(
+        F.sum("delta").alias("_sum"), F.sort_array(F.collect_list(of_now)).alias("_laps")
+    )
+    best = parts.groupBy(*window, "pit_lap").agg(F.min("_sum").alias("rest"), F.max("_laps").alias("_laps"))
+    drivers = best.groupBy(*window).agg(
+        F.max(F.when(F.col("pit_lap") == 0, F.col("_laps.delta"))).alias("_deltas"),
+        F.collect_list(F.when(F.col("pit_lap") > 0, F.struct("pit_lap", "rest"))).alias("_stops"),
+    )
+    running = F.aggregate(
+        "_deltas", F.array().cast("array<double>"),
+        lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)) + x, x, F.try_element_at(sums, F.lit(-1)))),
+    )
+    totals = drivers.withColumn("_running", running).select(
+        *window, "_running", F.inline("_stops")
+    ).select(
+        *DRIVER, "pit_lap", "window_start", "window_end",
+        (F.get("_running", F.col("pit_lap") - F.col("window_start")) + fixed.PIT_STOP_SECONDS + F.col("rest")).alias("projected_total_delta_seconds"),
     )
     return top_k(totals, DRIVER, [F.round("projected_total_delta_seconds", 9), F.col("pit_lap")], k)
 

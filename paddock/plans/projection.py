@@ -87,11 +87,8 @@ def expand_stint(df: DataFrame) -> DataFrame:
     )
 
 
-def project_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:
-    """Sum of predicted deltas per stint key, 0 for stints without laps.
-
-    Every stint is expanded where it is and summed before rows move.
-    """
+def score_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:
+    """One row per lap of each stint with lap_number and ``delta``, a row of 0 for stints without laps."""
     keys = list(keys)
     rows = df.select(
         *keys, "start_lap", F.greatest("n_laps", F.lit(1)).alias("n_laps"), "start_age",
@@ -99,7 +96,15 @@ def project_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFram
         (F.col("n_laps") > 0).alias("_run"),
     )
     delta = F.when(F.col("_run"), F.col("prediction").cast("double")).otherwise(0.0)
-    return score(expand_stint(rows)).groupBy(*keys).agg(F.sum(delta).alias("projected"))
+    return score(expand_stint(rows)).select(*keys, "lap_number", delta.alias("delta"))
+
+
+def project_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:
+    """Sum of predicted deltas per stint key, 0 for stints without laps.
+
+    Every stint is expanded where it is and summed before rows move.
+    """
+    return score_stints(df, keys, score).groupBy(*keys).agg(F.sum("delta").alias("projected"))
 
 
 def life_remaining(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:

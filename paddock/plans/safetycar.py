@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
-from paddock.operators.lookups import join_lookup
 
 
 def sc_probability(
@@ -33,15 +32,22 @@ def with_next_lap_sc(df: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def with_sc_rate(df: DataFrame, rates: DataFrame) -> DataFrame:
-    default = rates.filter("circuit_name is null").agg(F.max("rate")).scalar()
-    per = rates.filter("circuit_name is not null").select("circuit_name", F.col("rate").alias("_rate"))
-    base = F.coalesce(F.col("_rate"), default, F.lit(0.0))
+    """Fitted rate of each row's circuit (else the default) times its factors, as ``_lambda``.
+
+    The rates, one row per circuit, are read once, as one value.
+    """
+    known = F.col("circuit_name").isNotNull()
+    entry = F.when(known, F.struct("circuit_name", "rate"))
+    held = rates.agg(
+        F.struct(F.max(F.when(~known, F.col("rate"))).alias("default"), F.map_from_entries(F.collect_list(entry)).alias("per"))
+    ).scalar()
+    base = F.coalesce(F.try_element_at(F.col("_rates.per"), F.col("circuit_name")), F.col("_rates.default"), F.lit(0.0))
     factor = (
         F.when(F.col("lap_number") == 1, fixed.SC_LAP1).otherwise(1.0)
         * F.when(F.col("compound").isin(*fixed.WET_COMPOUNDS), fixed.SC_WET).otherwise(1.0)
         * F.when(F.col("circuit_name").isin(*fixed.STREET_CIRCUITS), fixed.SC_STREET).otherwise(1.0)
     )
-    return join_lookup(df, per, ["circuit_name"]).withColumn("_lambda", base * factor).drop("_rate")
+    return df.withColumn("_rates", held).withColumn("_lambda", base * factor).drop("_rates")
 
 
 def sc_holdout_mae(flags: DataFrame, rates: DataFrame) -> float | None:
