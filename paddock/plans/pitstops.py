@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock import fixed
@@ -20,8 +20,8 @@ def pit_windows(
 
     Each candidate is the stint to the stop, the stop, and the best compound to the end.
     Totals equal to nine digits are ties, taken by lap.  The stints to the stop of a driver are
-    beginnings of one stint, so its laps are scored once and a candidate looks up their running sum
-    (``lookahead`` numbers in the driver's row).  Stints after a stop share no lap of one age, so each
+    beginnings of one stint, so its laps are scored once and a candidate takes their running sum
+    (``lookahead`` rows of a driver).  Stints after a stop share no lap of one age, so each
     is scored and summed.
     """
     lap = F.col("lap_number")
@@ -45,24 +45,17 @@ def pit_windows(
         *window, "total_laps", "circuit_code", "driver_code", F.inline("_stints")
     )
     laps = score_stints(stints, [*window, "pit_lap", "part"], score)
-    of_now = F.when(F.col("part") == "", F.struct("lap_number", "delta"))
-    parts = laps.groupBy(*window, "pit_lap", "part").agg(
-        F.sum("delta").alias("_sum"), F.sort_array(F.collect_list(of_now)).alias("_laps")
-    )
-    best = parts.groupBy(*window, "pit_lap").agg(F.min("_sum").alias("rest"), F.max("_laps").alias("_laps"))
-    drivers = best.groupBy(*window).agg(
-        F.max(F.when(F.col("pit_lap") == 0, F.col("_laps.delta"))).alias("_deltas"),
-        F.collect_list(F.when(F.col("pit_lap") > 0, F.struct("pit_lap", "rest"))).alias("_stops"),
-    )
-    running = F.aggregate(
-        "_deltas", F.array().cast("array<double>"),
-        lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)) + x, x, F.try_element_at(sums, F.lit(-1)))),
-    )
-    totals = drivers.withColumn("_running", running).select(
-        *window, "_running", F.inline("_stops")
-    ).select(
+    # A lap of the current stint is the last one before a stop at the end of it.
+    stop = F.when(F.col("part") == "", F.col("lap_number")).otherwise(F.col("pit_lap")).cast("int")
+    parts = laps.groupBy(*window, stop.alias("pit_lap"), "part").agg(F.sum("delta").alias("_sum"))
+    stops = parts.groupBy(*window, "pit_lap").agg(
+        F.max(F.when(F.col("part") == "", F.col("_sum"))).alias("_last"),
+        F.min(F.when(F.col("part") != "", F.col("_sum"))).alias("_rest"),
+    )
+    so_far = Window.partitionBy(*DRIVER).orderBy("pit_lap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = stops.select(
         *DRIVER, "pit_lap", "window_start", "window_end",
-        (F.get("_running", F.col("pit_lap") - F.col("window_start")) + fixed.PIT_STOP_SECONDS + F.col("rest")).alias("projected_total_delta_seconds"),
+        (F.sum("_last").over(so_far) + fixed.PIT_STOP_SECONDS + F.col("_rest")).alias("projected_total_delta_seconds"),
     )
     return top_k(totals, DRIVER, [F.round("projected_total_delta_seconds", 9), F.col("pit_lap")], k)
 
