@@ -37,7 +37,7 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles and their text numbers."""
     low = tb.LOWER[data]
     start, end, doc = tb.spans(low, offs, tb.SPACE)
-    grams = tb.gram_hash(tb.span_hash(tb.prefix_hash(low), start, end), doc, WORDS)
+    grams = tb.gram_hash(tb.span_hash(tb.prefix_hash(low), start, end, low), doc, WORDS)
     inside = tb.same_text(doc, WORDS)
     return grams[inside], doc[: len(grams)][inside]
 

@@ -59,7 +59,7 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = tb.LOWER[data]
     prefix = tb.prefix_hash(low)
     start, end, doc = tb.spans(low, offs, _NOT_WORD)
-    return tb.span_hash(prefix, start, end), tb.span_hash(prefix, start, np.minimum(end, start + HEAD_BYTES)), doc
+    return tb.span_hash(prefix, start, end, low), tb.span_hash(prefix, start, np.minimum(end, start + HEAD_BYTES), low), doc
 
 
 def _before(words: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndar
     """Sorted distinct shingle hashes of each text."""
     low = tb.LOWER[data]
     start, end, doc = tb.spans(low, offs, tb.SPACE)
-    hashes = tb.span_hash(tb.prefix_hash(low), start, end)
+    hashes = tb.span_hash(tb.prefix_hash(low), start, end, low)
     count = np.bincount(doc, minlength=len(offs) - 1)
     first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
     grams = tb.gram_hash(hashes, doc, words)

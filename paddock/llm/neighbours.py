@@ -58,14 +58,14 @@ def _forms(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     texts = len(offs) - 1
     prefix = tb.prefix_hash(data)
     start, end, doc = tb.spans(data, offs, tb.SPACE)
-    words = tb.span_hash(prefix, start, end)
+    words = tb.span_hash(prefix, start, end, data)
     next_too = tb.same_text(doc, 2)
     salt = tb.mix(np.arange(texts, dtype=np.uint64) + np.uint64(1))
     follows = np.flatnonzero(next_too & (words[1:] == words[:-1])) if len(words) else np.zeros(0, int)
     pairs = np.flatnonzero(next_too)
     pairs = pairs[_again(tb.gram_hash(words, doc, 2)[pairs] ^ salt[doc[pairs]])]
     from_, to, of = tb.spans(data, offs, _NEWLINE)
-    lines = of[_again(tb.span_hash(prefix, from_, to) ^ salt[of])]
+    lines = of[_again(tb.span_hash(prefix, from_, to, data) ^ salt[of])]
     marks = [np.bincount(at, minlength=texts) for at in (doc[follows], doc[pairs], lines)]
     marks += [tb.per_text(flags[data], offs) for flags in (_CAPITAL, _SYMBOL, _BAR)]
     return np.stack(marks, 1).astype(np.float32)

@@ -75,7 +75,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     leads = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_LEAD[data], out=leads[1:])
     chars = leads[end] - leads[start]
-    words = tb.span_hash(prefix, start, end)
+    words = tb.span_hash(prefix, start, end, data)
     salt = tb.mix(np.arange(texts, dtype=np.uint64) + np.uint64(1))
 
     def total(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     until = np.searchsorted(start, to)
     has = until > at
     from_, to, of, at, until = from_[has], to[has], of[has], at[has], until[has]
-    _, later = _repeats(tb.span_hash(prefix, from_, to) ^ salt[of])
+    _, later = _repeats(tb.span_hash(prefix, from_, to, data) ^ salt[of])
     running = np.concatenate([np.zeros(1, np.int64), np.cumsum(chars)])
     out["n_lines"] = np.bincount(of, minlength=texts).astype(np.int64)
     out["n_dup_lines"] = total(later, of)

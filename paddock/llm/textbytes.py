@@ -1,7 +1,9 @@
 """Texts of an Arrow batch as one flat byte array, with word bounds and hashes in numpy.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D.  All hashes are 64 bits wide: a
-polynomial over bytes modulo 2**64, finished by a bit mixer.
+polynomial over bytes modulo 2**64, finished by a bit mixer.  Modulo a power of two some long
+regular texts hash alike (a Thue-Morse word of 1,024 letters and its complement do, whatever the
+base), so spans of ``LONG_SPAN`` bytes and more are hashed by xxh3 instead.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a single longer text is handled alone.
 PIECE_BYTES = 1 << 20
+#: Length from which a span is hashed by itself.
+LONG_SPAN = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -91,9 +96,13 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hash of each span of ``data``, whose running hash is ``prefix``; equal bytes, equal hash."""
     _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    out = mix((prefix[end] - prefix[start]) * down[start])
+    for i in np.flatnonzero(end - start >= LONG_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
 
 
 def window_hash(prefix: np.ndarray, n: int) -> np.ndarray:

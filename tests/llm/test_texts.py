@@ -48,6 +48,17 @@ def test_repetition_counts(spark, odd, nothing):
     assert repetition.repetition_rules(nothing).count() == 0
 
 
+def test_long_regular_lines_differ(spark):
+    """A Thue-Morse word and its complement hash alike modulo 2**64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word}\n{other}"), (2, f"{word}\n{other}\n{word}"), (3, f"x {word} y x {other} y x {word} y")]
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in repetition.repetition_rules(documents(spark, rows)).collect()}
+    assert got == {(i, *counted(t)) for i, t in rows}
+
+
 def test_repetition_verdict(spark):
     fresh = " ".join(f"w{k}" for k in range(200))
     passage = " ".join(f"p{k}" for k in range(12))
