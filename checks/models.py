@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import query
-from checks.relational import DRIVER, STYLE_SQL, circuit_flags, season_laps, season_stints, with_season
+from checks.relational import DRIVER, RATES_SQL, STYLE_SQL, circuit_flags, season_laps, season_stints, with_season
 from checks.strategy import GAPPED_SQL, STATE_SQL, fuel_sql, pit_score, pit_sql, rounded, state, tyre_score, tyre_sql
 from paddock import fixed
 from paddock.functions.scalars import season_split
@@ -87,7 +87,7 @@ near AS (SELECT r.*, LEAST(GREATEST(COALESCE(r.run - a.run, 120000), 0), 120000)
 """
 
 
-@query("h04_pit_training_frame", PIT_FRAME_SQL + f"""
+@query("h04_pit_training_frame", PIT_FRAME_SQL + RATES_SQL + f"""
 , coded AS (SELECT *, CASE compound WHEN 'HARD' THEN 0 WHEN 'INTERMEDIATE' THEN 1 WHEN 'SOFT' THEN 3 WHEN 'WET' THEN 4 ELSE 2 END AS code,
   lap_ms / 1000.0 - 3e-2 * (110 - 110 * (1 - lap_number / n)) AS fuel FROM near),
 ages AS (SELECT session_id, driver_id, lap_number, off, {tyre_sql('code', 'tyre_age_laps + off', 'lap_number + off', 'fuel')} AS p FROM (SELECT *, UNNEST(range(0, 40)) AS off FROM coded)),
@@ -95,12 +95,14 @@ lives AS (SELECT session_id, driver_id, lap_number, CAST(COALESCE(MIN(CASE WHEN
 first_stint AS (SELECT *, MIN(stint_number) OVER (PARTITION BY session_id, driver_id) AS f FROM stints)
 SELECT c.session_id, c.driver_id, c.lap_number, tyre_age_laps AS current_tyre_age, life AS predicted_life_remaining, ROUND(ahead, 6) AS gap_to_car_ahead, ROUND(behind, 6) AS gap_to_car_behind,
   n - c.lap_number AS laps_to_race_end, position, ROUND(GREATEST(110 * (1 - c.lap_number / n), 0), 6) AS fuel_load_est,
+  ROUND(1 - EXP(-COALESCE((SELECT MAX(rate) FROM rates r WHERE r.circuit_name = c.circuit_name), (SELECT MAX(rate) FROM rates WHERE circuit_name IS NULL))
+    * CASE WHEN c.lap_number = 1 THEN 2.5e0 ELSE 1e0 END * CASE WHEN compound IN ('INTERMEDIATE', 'WET') THEN 3e0 ELSE 1e0 END * CASE WHEN c.circuit_name = 'Circuit de Monaco' THEN 1.8e0 ELSE 1e0 END), 6) AS safety_car_probability,
   EXISTS (SELECT 1 FROM first_stint s WHERE s.session_id = c.session_id AND s.driver_id = c.driver_id AND s.start_lap = c.lap_number AND stint_number > f) AS did_pit_this_lap
 FROM coded c JOIN lives USING (session_id, driver_id, lap_number)
 """)
 def h04(spark, root):
-    rows = pit_frame(spark, root).drop("safety_car_probability")
-    names = ("gap_to_car_ahead", "gap_to_car_behind", "fuel_load_est")
+    rows = pit_frame(spark, root)
+    names = ("gap_to_car_ahead", "gap_to_car_behind", "fuel_load_est", "safety_car_probability")
     return rows.withColumns({n: F.round(n, 6) for n in names})
 
 
