@@ -303,13 +303,13 @@ def j10(spark, root):
 
 @query("j11_nest_races", """
 , nested AS (SELECT n_nationkey, n_name, n_regionkey, r_name, (SELECT COUNT(*) FROM nation) AS total FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT r.r_regionkey AS id, r.r_name AS name, COUNT(n.n_nationkey) AS contracts,
+SELECT r.r_regionkey AS id, r.r_name AS name, (SELECT MIN(circuit_name) FROM context c WHERE c.circuit_id = r.r_regionkey % 3) AS circuit, COUNT(n.n_nationkey) AS contracts,
   COALESCE(SUM(n.n_nationkey), 0)::BIGINT AS key_sum, COALESCE(string_agg(n.n_name, ',' ORDER BY n.n_nationkey), '') AS names
 FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2
 """)
 def j11(spark, root):
     regions = v.read(spark, root, "region").select(
-        F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(0).alias("circuit_id")
+        F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), (F.col("r_regionkey") % 3).alias("circuit_id")
     )
     nations = v.read(spark, root, "nation").select(
         F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("race_id"),
@@ -318,7 +318,7 @@ def j11(spark, root):
     circuits = v.context(spark, root).select(F.col("circuit_id").alias("id"), "circuit_name").distinct()
     nested = joins.nest_races(regions, circuits, nations)
     return nested.select(
-        "id", "name", F.size("sessions").cast("bigint").alias("contracts"),
+        "id", "name", F.col("circuit.circuit_name").alias("circuit"), F.size("sessions").cast("bigint").alias("contracts"),
         F.aggregate("sessions", F.lit(0).cast("bigint"), lambda a, s: a + s["id"]).alias("key_sum"),
         F.array_join(F.transform("sessions", lambda s: s["session_type"]), ",").alias("names"),
     )
