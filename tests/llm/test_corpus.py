@@ -144,6 +144,16 @@ def test_overlapping_quotes_of_one_text(spark):
     check_removed(spark, rows, 400)
 
 
+def test_long_regular_strings_differ(spark):
+    """Thue-Morse words and their complements, which hash alike modulo 2**64, are no copies of each other."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"first {word} end"), (2, f"second {other} stop"), (3, f"x {word + other} y"), (4, f"z {other} y")]
+    check_removed(spark, rows, 1024)
+
+
 def test_repeated_strings_on_odd_rows(spark, odd, nothing):
     check_removed(spark, ODD, 400)
     assert suffix_dedup.repeated_bytes(nothing).count() == 0
