@@ -82,7 +82,7 @@ class Pieces:
         known: dict[int, tuple[int, float]] = {}
         for i, piece in text.items():
             codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
-            hashes = span_hash(running_hash(codes), np.zeros(len(codes), np.int64), np.arange(1, len(codes) + 1))
+            hashes = tb.span_hash(running_hash(codes), np.zeros(len(codes), np.int64), np.arange(1, len(codes) + 1), codes)
             for h in hashes[:-1].tolist():
                 known.setdefault(h, (-1, 0.0))
             known[int(hashes[-1])] = (i, float(np.log(weight[i] / total)))
@@ -126,10 +126,6 @@ def running_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return tb.span_hash(prefix, start, end)
-
-
 def _byte_count(codes: np.ndarray) -> np.ndarray:
     c = np.where(codes == _OWN_MARK, _SPACE, codes)
     return 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
@@ -140,7 +136,7 @@ class Lattice:
 
     def __init__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces):
         prefix = running_hash(codes)
-        _, first, self.word = np.unique(span_hash(prefix, start, end), return_index=True, return_inverse=True)
+        _, first, self.word = np.unique(tb.span_hash(prefix, start, end, codes), return_index=True, return_inverse=True)
         length = (end - start)[first]
         nodes = length + 1
         self.enter = np.cumsum(nodes) - nodes  # first node of each distinct word
@@ -159,7 +155,7 @@ class Lattice:
 
         for n in range(1, pieces.longest + 1):
             live = live[to_end[live] >= n]
-            at = pieces.find(span_hash(prefix, place[live], place[live] + n))
+            at = pieces.find(tb.span_hash(prefix, place[live], place[live] + n, codes))
             hit = at >= 0
             live, at = live[hit], at[hit]
             real = pieces.ids[at] >= 0

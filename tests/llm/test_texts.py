@@ -191,6 +191,18 @@ def test_segmentations_decode_and_differ(spark, odd, nothing):
     assert piece_lattice.sampled_segmentations(nothing, MODEL).count() == 0
 
 
+def test_long_regular_words_have_lattices_of_their_own():
+    """A Thue-Morse word and its complement, which hash alike modulo 2**64, are two words."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    text = f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word}"
+    codes, _ = piece_lattice._codes([text])
+    start = np.flatnonzero(codes == ord("▁"))
+    lattice = piece_lattice.Lattice(codes, start, np.append(start[1:], len(codes)), piece_lattice.Pieces.of(MODEL))
+    assert lattice.word[0] == lattice.word[2] != lattice.word[1]
+
+
 def paths(pieces, known, word):
     if not word:
         yield (), 0.0
