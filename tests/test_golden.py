@@ -416,3 +416,22 @@ def test_plan_position_ignores_own_rival_row(spark, small_chunks):
     }
     half = 1.6449 * 0.35 * 10**0.5
     assert got["stay"].low_seconds == pytest.approx(950 - half)
+
+
+def test_finish_positions_in_blocks(spark, monkeypatch):
+    """Positions meet their counts on blocks; no row of a single position is shuffled."""
+    from collections import Counter
+
+    data = [("s", r, f"d{(7 * d + r * d) % 11}" if d % 5 else None, float(d * 3 % 7 + r)) for r in range(3) for d in range(11 - r)]
+    df = spark.createDataFrame(data, "session_id string, sim int, driver_id string, finish_time double")
+    whole = agg.finish_positions(df).collect()
+    monkeypatch.setattr(agg, "POSITION_BLOCK", 4)
+    blocks = agg.finish_positions(df)
+    assert Counter(map(tuple, blocks.collect())) == Counter(map(tuple, whole))
+    assert {r.position for r in whole} == set(range(1, 12))
+    sums = {}
+    for r in whole:
+        sums[r.driver_id] = sums.get(r.driver_id, 0) + r.probability
+    assert all(v == pytest.approx(1) for k, v in sums.items() if k is not None)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(sequence") < plan.index("Exchange")
