@@ -105,8 +105,10 @@ def alert_rows(events: DataFrame, triggered_at: datetime, batch_id: int = 0) ->
 
 
 def write_alerts(events: DataFrame, triggered_at: datetime, path: str, batch_id: int) -> None:
+    """Alert rows and their messages; the messages are made from the rows written, not matched again."""
     rows = alert_rows(events, triggered_at, batch_id)
     write_batch(rows, f"{path}/alerts", batch_id)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/alerts/batch_id={batch_id}")
     message = F.to_json(F.struct("id", "user_id", "session_id", "alert_type", "driver_id", "message", "triggered_at"))
     write_batch(rows.select("session_id", message.alias("value")), f"{path}/messages", batch_id)
 
