@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,58 @@ def nearest(centres: Mapping[int, Sequence[float]]) -> Column:
     return F.array_min(F.array(*each))["cluster"]
 
 
+def _rounded(distance: float) -> float:
+    """As Spark rounds a double."""
+    if not 0 <= distance < 1e15:
+        return distance
+    return float(Decimal(repr(distance)).quantize(Decimal(1).scaleb(-DIGITS), ROUND_HALF_UP))
+
+
+def _places(z: np.ndarray, there: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Place of the nearest of ``points`` for each row, as ``nearest`` gives it; a row with a missing value has the first.
+
+    Rounding decides only where another point is nearly as near, so only those distances are rounded.
+    """
+    far = np.zeros((len(z), len(points)))
+    for i in range(z.shape[1]):
+        far += (z[:, i, None] - points[None, :, i]) ** 2
+    least = far.min(1)
+    at = far.argmin(1)
+    close = (far <= least[:, None] + 10.0 ** (1 - DIGITS)).sum(1) != 1
+    for k in np.flatnonzero(close | ~there):
+        each = [(np.isnan(d), _rounded(d), c) for c, d in enumerate(far[k].tolist())]
+        at[k] = min(each)[2] if there[k] and not np.isnan(far[k]).all() else 0
+    return at
+
+
+def _cluster_sums(centres: Mapping[int, Sequence[float]]):
+    """Sums and counts of the scaled features by nearest centre, for each batch."""
+    labels = np.array(sorted(centres), np.int32)
+    points = np.array([centres[c] for c in labels.tolist()], np.float64)
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(_SCALED))]
+            valid = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns], 1)
+            z = np.stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in columns], 1)
+            at = _places(z, valid.all(1), points)
+            held = np.unique(at)
+            out = [pa.array(labels[held])]
+            for i in range(len(_SCALED)):
+                sums = np.bincount(at, np.where(valid[:, i], z[:, i], 0.0), len(labels))
+                out += [pa.array(sums[held]), pa.array(np.bincount(at, valid[:, i], len(labels)).astype(np.int64)[held])]
+            yield pa.RecordBatch.from_arrays(out, ["cluster", *[f"{k}{i}" for i in range(len(_SCALED)) for k in "sn"]])
+
+    return run
+
+
 def _k_means(rows: DataFrame, centres: dict[int, tuple[float, ...]], iterations: int) -> dict[int, tuple[float, ...]]:
     """Centres moved to the means of their rows until they stay; a cluster left without rows is dropped."""
+    axes = range(len(_SCALED))
+    schema = ", ".join(["cluster int", *[f"s{i} double, n{i} bigint" for i in axes]])
     for _ in range(iterations):
-        means = rows.groupBy(nearest(centres).alias("cluster")).agg(*[F.avg(z).alias(z) for z in _SCALED])
+        sums = rows.select(*_SCALED).mapInArrow(_cluster_sums(centres), schema).groupBy("cluster")
+        means = sums.agg(*[F.try_divide(F.sum(f"s{i}"), F.sum(f"n{i}")).alias(z) for i, z in enumerate(_SCALED)])
         moved = {r["cluster"]: tuple(r[z] for z in _SCALED) for r in sorted(means.collect(), key=lambda r: r["cluster"])}
         still = moved.keys() == centres.keys() and all(np.allclose(moved[c], centres[c], rtol=0, atol=1e-12) for c in moved)
         centres = moved

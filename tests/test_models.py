@@ -158,3 +158,18 @@ def test_contributions(spark):
     score = lambda d: d.withColumn("prediction", 2 * F.col("x") - F.col("y"))
     r = explain.contributions(df, ["k"], ["x", "y"], {"x": 1.0, "y": 4.0}, score).first()
     assert [(e.feature, e.value, e.contribution, e.direction) for e in r.contributions] == [("y", 10.0, -6.0, "-"), ("x", 3.0, 4.0, "+")]
+
+
+def test_nearest_places_round_only_what_is_close(spark):
+    """Steps of k-means in numpy agree with the column that assigns rows, ties and missing values included."""
+    import numpy as np
+
+    centres = {0: (0.0, 0.0, 0.0, 0.0), 2: (1.0, 0.0, 0.0, 0.0), 3: (1.0, 1e-12, 0.0, 0.0)}
+    rows = [(0.5, 0.0, 0.0, 0.0), (0.5 + 1e-11, 0.0, 0.0, 0.0), (0.51, 0.0, 0.0, 0.0), (2.0, 3.0, 1.0, 0.0), (None, 0.0, 5.0, 0.0), (-1.0, 2.0, 0.0, 1e6)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, " + ", ".join(f"{z} double" for z in styles._SCALED))
+    want = [r[0] for r in df.select("id", styles.nearest(centres).alias("c")).orderBy("id").select("c").collect()]
+    z = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    got = styles._places(z, ~np.isnan(z).any(1), np.array([centres[c] for c in sorted(centres)]))
+    assert [sorted(centres)[k] for k in got] == want
+    sums = df.select(*styles._SCALED).mapInArrow(styles._cluster_sums(centres), "cluster int, " + ", ".join(f"s{i} double, n{i} bigint" for i in range(4)))
+    assert sorted(sums.groupBy("cluster").agg(F.sum("n0"), F.sum("n1")).collect()) == sorted((c, sum(w == c and r[0] is not None for w, r in zip(want, rows)), want.count(c)) for c in set(want))
