@@ -144,7 +144,7 @@ def lap_completions(
     begin = None
     if stored is not None:
         begin = stored.groupBy(*keys).agg(F.max("lap_number").cast("int").alias("highest")).groupBy(*keys)
-    done = records.groupBy(*keys).transformWithStateInPandas(
+    done = records.groupBy(*keys).transformWithState(
         HighestLap(order, "lap_number", int(idle_hours * 3_600_000)), records.schema, "Append", "ProcessingTime", begin
     )
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -29,36 +30,40 @@ class HighestLap(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "highest int, until bigint")
 
-    def _keep(self, highest: int, timers) -> None:
-        if self.seen.exists():
-            self.handle.deleteTimer(self.seen.get()[1])
+    def _keep(self, highest: int, timers, new: bool) -> None:
         until = timers.getCurrentProcessingTimeInMs() + self.idle_ms
-        self.handle.registerTimer(until)
+        if new:  # later rows only move ``until``; the timer follows when it fires
+            self.handle.registerTimer(until)
         self.seen.update((highest, until))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        highest = initialState["highest"].max()
-        if pd.notna(highest):
-            self._keep(int(highest), timerValues)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        highest = self.seen.get()[0] if self.seen.exists() else 0
-        first = None
-        for part in rows:
-            part = part[part[self.lap] > highest]
-            if len(part):
-                both = part if first is None else pd.concat([first, part])
-                first = both.sort_values([self.order, self.lap], kind="stable").drop_duplicates(self.lap)
-        if first is not None:
-            before = first[self.lap].cummax().shift(fill_value=highest)
-            first = first[first[self.lap] > before]
-            highest = int(first[self.lap].max())
-        self._keep(highest, timerValues)
-        if first is not None:
-            yield first
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if initialState["highest"] is not None:
+            self._keep(int(initialState["highest"]), timerValues, True)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.seen.get()
+        before = highest = held[0] if held else 0
+        first: dict[int, tuple] = {}
+        for row in rows:
+            lap = row[self.lap]
+            if lap is not None and lap > before:
+                at = (row[self.order] is None, row[self.order] if row[self.order] is not None else 0, lap)
+                if lap not in first or at < first[lap][0]:
+                    first[lap] = (at, row)
+        out = []
+        for _, row in sorted(first.values(), key=lambda r: r[0]):
+            if row[self.lap] > highest:
+                highest = row[self.lap]
+                out.append(row)
+        self._keep(highest, timerValues, held is None)
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.seen.get()
+        if held and held[1] > timerValues.getCurrentProcessingTimeInMs():
+            self.handle.registerTimer(held[1])
+        else:
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:

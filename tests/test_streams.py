@@ -66,6 +66,49 @@ def test_keyed_laps_take_stored_laps_and_drop_idle_cars(spark):
     assert rows(got) == [(0, 2), (0, 3), (1, 4), (2, 5)]  # 44 is idle in batch 1, so its lap 3 counts again
 
 
+def test_highest_lap_calls_the_store_twice_a_key():
+    """One read and one write a key and batch; the timer is set once and follows when it fires."""
+    from pyspark.sql import Row
+
+    from paddock.streaming.state import HighestLap
+
+    class Store:
+        value, timers, calls = None, [], 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    state, store = HighestLap("seq", "lap", 100), Store()
+    state.init(store)
+    sent = [(3, 2), (1, 1), (2, 3), (5, 3), (4, None), (6, 4)]
+    got = state.handleInputRows(("a",), iter([Row(seq=s, lap=n) for s, n in sent]), Clock(1000))
+    assert [(r.seq, r.lap) for r in got] == [(1, 1), (2, 3), (6, 4)]
+    assert list(state.handleInputRows(("a",), iter([Row(seq=7, lap=4)]), Clock(1050))) == []
+    assert (store.calls, store.timers, store.value) == (4, [1100], (4, 1150))
+    state.handleExpiredTimer(("a",), Clock(1100), None)
+    assert store.timers == [1100, 1150] and store.value == (4, 1150)
+    state.handleExpiredTimer(("a",), Clock(1150), None)
+    assert store.value is None
+
+
 def test_live_chain_stores_mapped_cars(spark):
     path = new_path(spark, "chain")
     cars = spark.createDataFrame([("44", "ham")], "car_number string, driver_id string")
