@@ -16,7 +16,7 @@ A missing feature value (null or NaN) goes left at every split.  Rows without a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from math import factorial
 
@@ -142,7 +142,8 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
         share = min(max(float(positive.sum() / total.sum()), 1e-6), 1 - 1e-6)
         base = float(np.log(share / (1 - share)))
     value = np.full(n, base)
-    flat = bins.astype(np.int64) + width * np.arange(count)
+    columns = [np.ascontiguousarray(bins[:, f], np.int64) for f in range(count)]
+    flat, row_at = np.ascontiguousarray(bins).ravel(), np.arange(n) * count
     inner = (1 << params.depth) - 1
     trees = []
     for _ in range(params.rounds):
@@ -156,8 +157,12 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
         node = np.zeros(n, np.int64)
         for depth in range(params.depth):
             nodes = 1 << depth
-            key = (flat + (node * (count * width))[:, None]).ravel()
-            sums = [np.bincount(key, np.repeat(x, count), nodes * count * width).reshape(nodes, count, width) for x in (grad, hess)]
+            sums = [np.empty((nodes, count, width)) for _ in range(2)]
+            start = node * width
+            for f, column in enumerate(columns):
+                key = start + column
+                for out, x in zip(sums, (grad, hess), strict=True):
+                    out[:, f] = np.bincount(key, x, nodes * width).reshape(nodes, width)
             left_g, left_h = (np.cumsum(x, 2)[:, :, :-1] for x in sums)
             all_g, all_h = (x[:, 0, :].sum(1)[:, None, None] for x in sums)
             right_g, right_h = all_g - left_g, all_h - left_h
@@ -170,7 +175,7 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
             cut[here] = best[good] % (width - 1) + 1
             cover[nodes - 1 : 2 * nodes - 1] = all_h[:, 0, 0]
             at = node + nodes - 1
-            node = 2 * node + (bins[np.arange(n), feature[at]] >= cut[at])
+            node = 2 * node + (flat[row_at + feature[at]] >= cut[at])
         leaf_g, leaf_h = (np.bincount(node, x, inner + 1) for x in (grad, hess))
         cover[inner:] = leaf_h
         leaf = params.rate * leaf_g / (leaf_h + params.shrink)
@@ -220,12 +225,91 @@ def fit(rows: DataFrame, features: Sequence[str], params: BoostParams, heavy: bo
     return materialise(parts.groupBy("model", "held").applyInArrow(train, TREES), "trees")
 
 
+#: Rows scored at once, and the bytes of their batches; features with more patterns than this are explained row by row.
+SCORE_ROWS, SCORE_BYTES, PATTERN_FEATURES = 1 << 17, 1 << 26, 8
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches to be scored at once: rows of equal bins are then scored once; the bounds bound the memory."""
+    some, rows, size = [], 0, 0
+    for batch in batches:
+        some.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= SCORE_ROWS or size >= SCORE_BYTES:
+            yield some
+            some, rows, size = [], 0, 0
+    if some:
+        yield some
+
+
+_DEBRUIJN = np.uint64(0x03F79D71B4CB0A89)
+
+
+def _leaf_slots() -> np.ndarray:
+    """The bit that stands at each product of a power of two with the de Bruijn number."""
+    out = np.zeros(64, np.int64)
+    out[((np.uint64(1) << np.arange(64, dtype=np.uint64)) * _DEBRUIJN >> np.uint64(58)).astype(np.int64)] = np.arange(64)
+    return out
+
+
+_SLOTS = _leaf_slots()
+
+
+class LeafTables:
+    """Leaves a row can reach, by feature and bin: trees of at most 64 leaves without walking them.
+
+    A row's bin of a feature is the number of the model's thresholds it is not below, so rows of
+    equal bins go the same way at every split.  ``reach[t, f, b]`` has a bit for every leaf of tree ``t``
+    whose splits on feature ``f`` all send bin ``b`` its way; one bit is left by all features.
+    """
+
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, leaf: np.ndarray, count: int):
+        trees, inner = feature.shape
+        self.edges = [np.unique(threshold[feature == f]) for f in range(count)]
+        width = max(len(e) for e in self.edges) + 1
+        self.reach = np.full((trees, count, width), np.uint64(2 ** (inner + 1) - 1), np.uint64)
+        rank = np.zeros(feature.shape, np.int64)
+        for f, e in enumerate(self.edges):
+            rank[feature == f] = np.searchsorted(e, threshold[feature == f])
+        bins, tree = np.arange(width), np.arange(trees)
+        for node in range(inner):
+            depth = (node + 1).bit_length() - 1
+            leaves = (inner + 1) >> depth  # below this node
+            first = (node + 1 - (1 << depth)) * leaves
+            left, right = (sum(1 << k for k in range(a, a + leaves // 2)) for a in (first, first + leaves // 2))
+            both = 2**64 - 1
+            self.reach[tree, feature[:, node]] &= np.where(bins > rank[:, node, None], np.uint64(both - left), np.uint64(both - right))
+        self.leaf = leaf[:, _SLOTS % (inner + 1)]  # by the slot of the bit
+
+    def bins(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray | slice]:
+        """Bins of the distinct rows by feature, and which of them each row is.  A missing value is below every edge."""
+        out = [np.where(np.isnan(x[:, f]), 0, np.searchsorted(e, x[:, f], "right")) for f, e in enumerate(self.edges)]
+        key, most = np.zeros(len(x), np.int64), 1
+        for b, e in zip(out, self.edges, strict=True):
+            key, most = key * (len(e) + 1) + b, most * (len(e) + 1)
+        if most >= 1 << 62:
+            return out, slice(None)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return [b[first] for b in out], of
+
+    def reached(self, t: int, bins: list[np.ndarray]) -> np.ndarray:
+        out = self.reach[t, 0].take(bins[0])
+        for f in range(1, len(bins)):
+            if len(self.edges[f]):
+                out &= self.reach[t, f].take(bins[f])
+        return out
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees of one or more models, ready to score; the arrays are bounded by rounds, depth and number of models."""
 
     features: tuple[str, ...]
     models: dict = field(repr=False)
+    tables: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {"features": self.features, "models": self.models, "tables": {}}
 
     @classmethod
     def of(cls, trees: DataFrame, features: Sequence[str]) -> Forest:
@@ -243,9 +327,16 @@ class Forest:
     def predict(self, x: np.ndarray, model: str, held: int = ALL) -> np.ndarray:
         """Sum of the trees for rows of feature values; a missing value goes left."""
         base, feature, threshold, _, leaf = self.models[model, held]
+        inner = feature.shape[1] if feature.ndim == 2 else 0
+        if 0 < inner < 64 and len(x):
+            table = self._table(model, held)
+            bins, of = table.bins(x)
+            out = np.full(len(bins[0]), base)
+            for k in range(len(feature)):
+                out += table.leaf[k].take((table.reached(k, bins) * _DEBRUIJN >> np.uint64(58)).view(np.int64))
+            return out[of]
         out = np.full(len(x), base)
         rows = np.arange(len(x))
-        inner = feature.shape[1] if feature.ndim == 2 else 0
         for k in range(len(feature)):
             node = np.zeros(len(x), np.int64)
             while inner and len(node) and node[0] < inner:
@@ -253,6 +344,13 @@ class Forest:
             out += leaf[k][node - inner]
         return out
 
+    def _table(self, model: str, held: int) -> LeafTables:
+        """Made on first use, so a task makes those of its own models only."""
+        if (model, held) not in self.tables:
+            _, feature, threshold, _, leaf = self.models[model, held]
+            self.tables[model, held] = LeafTables(feature, threshold, leaf, len(self.features))
+        return self.tables[model, held]
+
     def contributions(self, x: np.ndarray, model: str, held: int = ALL) -> tuple[float, np.ndarray]:
         """The mean prediction by covers, and Shapley values of every feature for every row.
 
@@ -265,6 +363,11 @@ class Forest:
         inner = feature.shape[1]
         depth = inner.bit_length()
         weight = [factorial(k) * factorial(count - 1 - k) / factorial(count) for k in range(count)]
+        if 0 < inner < 64 and n and count <= PATTERN_FEATURES:
+            return self._by_patterns(x, model, held, weight)
+        if n > 64:  # bounds the memory
+            parts = [self.contributions(x[k : k + 64], model, held) for k in range(0, n, 64)]
+            return parts[0][0], np.concatenate([p for _, p in parts])
         out, mean = np.zeros((n, count)), base
         right = x[:, feature] >= threshold[None] if inner else None
         for t in range(len(feature)):
@@ -292,23 +395,68 @@ class Forest:
                 out[:, i] += ((inside[:, :, i] - share[:, i]) * np.tensordot(weight, sums, 1) * value).sum(1)
         return float(mean), out
 
+    def _by_patterns(self, x: np.ndarray, model: str, held: int, weight: list[float]) -> tuple[float, np.ndarray]:
+        """As ``contributions``, with a leaf's values taken once for each pattern of deciding features and looked up by row."""
+        base, feature, _, cover, leaf = self.models[model, held]
+        table, count, inner = self._table(model, held), x.shape[1], feature.shape[1]
+        bins, of = table.bins(x)
+        n, leaves, depth = len(bins[0]), inner + 1, inner.bit_length()
+        inside = (np.arange(1 << count)[:, None] >> np.arange(count) & 1).astype(np.float64)[:, None]  # pattern, leaf, feature
+        out, mean = np.zeros((n, count)), base
+        at = np.arange(leaves)
+        for t in range(len(feature)):
+            share = np.ones((leaves, count))
+            node = np.zeros(leaves, np.int64)
+            for d in range(depth - 1, -1, -1):
+                turn = at >> d & 1
+                child = 2 * node + 1 + turn
+                whole = cover[t, node]
+                share[at, feature[t, node]] *= np.where(whole > 0, cover[t, child] / np.where(whole > 0, whole, 1), 1 - turn)
+                node = child
+            used = np.flatnonzero((leaf[t] != 0) & (share > 0).all(1))
+            value, part = leaf[t][used], share[used]
+            mean += float((part.prod(1) * value).sum())
+            worth = np.zeros((len(used), 1 << count, count))
+            for i in range(count):
+                sums = np.zeros((count, 1 << count, len(used)))
+                sums[0] = 1
+                for j in range(count):
+                    if j != i:
+                        sums[1:] = sums[1:] * part[:, j] + sums[:-1] * inside[:, :, j]
+                        sums[0] = sums[0] * part[:, j]
+                worth[:, :, i] = ((inside[:, :, i] - part[:, i]) * np.tensordot(weight, sums, 1) * value).T
+            ways = [table.reach[t, f].take(bins[f]) for f in range(count)]
+            for k, bit in enumerate(used.tolist()):
+                pattern = np.zeros(n, np.int64)
+                for f, way in enumerate(ways):
+                    pattern |= (way >> np.uint64(bit) & np.uint64(1)).view(np.int64) << f
+                out += worth[k].take(pattern, 0)
+        return float(mean), out[of]
+
     def _apply(self, df: DataFrame, route: str | None, held: str | None, default: float, link) -> DataFrame:
         models = df.sparkSession.sparkContext.broadcast(self)
         features, columns = self.features, df.columns
         schema = df.select("*", F.lit(0.0).alias("prediction")).schema
 
+        def scored(forest, held_batches):
+            x = np.concatenate([feature_matrix(b, features) for b in held_batches])
+            get = lambda c: pa.chunked_array([b.column(b.schema.get_field_index(c)) for b in held_batches])
+            names = np.array(get(route).to_pylist(), object) if route else np.full(len(x), forest.names()[0], object)
+            folds = get(held).fill_null(ALL).to_numpy() if held else np.full(len(x), ALL)
+            out = np.full(len(x), float(default))
+            for model, fold in forest.models:
+                at = np.flatnonzero((names == model) & (folds == fold))
+                if len(at):
+                    out[at] = link(forest.predict(x[at], model, fold))
+            upto = 0
+            for batch in held_batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[upto : upto + batch.num_rows])], [*columns, "prediction"])
+                upto += batch.num_rows
+
         def score(batches):
             forest = models.value
-            for batch in batches:
-                x = feature_matrix(batch, features)
-                names = np.array(batch.column(batch.schema.get_field_index(route)).to_pylist(), object) if route else np.full(len(x), forest.names()[0], object)
-                folds = batch.column(batch.schema.get_field_index(held)).fill_null(ALL).to_numpy(zero_copy_only=False) if held else np.full(len(x), ALL)
-                out = np.full(len(x), float(default))
-                for model, fold in forest.models:
-                    at = np.flatnonzero((names == model) & (folds == fold))
-                    if len(at):
-                        out[at] = link(forest.predict(x[at], model, fold))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*columns, "prediction"])
+            for some in together(batches):
+                yield from scored(forest, some)
 
         return df.mapInArrow(score, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paddock import fixed
 from paddock.functions.scalars import compound_code, compound_model, forward_fuel
-from paddock.ml.boosting import Forest, feature_matrix
+from paddock.ml.boosting import Forest, feature_matrix, together
 from paddock.operators.aggregates import DRIVER
 from paddock.operators.reshape import top_contributions, top_k
 from paddock.plans.projection import Score
@@ -70,23 +70,29 @@ def tree_contributions(df: DataFrame, keys: Sequence[str], forest: Forest, route
 
     def explain(batches):
         held = models.value
-        for batch in batches:
-            x = feature_matrix(batch, features)
-            names = batch.column(batch.schema.get_field_index(route)).to_pylist() if route else [held.names()[0]] * len(x)
-            rows: list = [None] * len(x)
-            for name in set(names) & set(held.names()):
-                at = np.flatnonzero(np.array(names, object) == name)
-                for low in range(0, len(at), 64):
-                    some = at[low : low + 64]
-                    base, phi = held.contributions(x[some], name)
-                    for i, total, values in zip(some, held.predict(x[some], name), phi, strict=True):
-                        given = [None if np.isnan(v) else float(v) for v in x[i]]
-                        rows[i] = (float(total), base, [{"feature": f, "value": v, "contribution": float(c)} for f, v, c in zip(features, given, values, strict=True)])
-            kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("contribution", pa.float64())]))
-            columns = [pa.array([None if r is None else r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), kind))]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(k)) for k in keys], *columns], [*keys, "prediction", "base", "contributions"]
-            )
+        kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("contribution", pa.float64())]))
+        for some in together(batches):
+            x = np.concatenate([feature_matrix(b, features) for b in some])
+            names = [n for b in some for n in b.column(b.schema.get_field_index(route)).to_pylist()] if route else [held.names()[0]] * len(x)
+            names = np.array(names, object)
+            there, total, mean, phi = np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x)), np.zeros(x.shape)
+            for name in held.names():
+                at = np.flatnonzero(names == name)
+                if len(at):
+                    there[at], total[at] = True, held.predict(x[at], name)
+                    mean[at], phi[at] = held.contributions(x[at], name)
+            upto = 0
+            for batch in some:
+                rows: list = [None] * batch.num_rows
+                for i in np.flatnonzero(there[upto : upto + batch.num_rows]):
+                    k = upto + i
+                    given = [None if np.isnan(v) else float(v) for v in x[k]]
+                    rows[i] = (float(total[k]), float(mean[k]), [{"feature": f, "value": v, "contribution": float(c)} for f, v, c in zip(features, given, phi[k], strict=True)])
+                upto += batch.num_rows
+                columns = [pa.array([None if r is None else r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), kind))]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(batch.schema.get_field_index(k)) for k in keys], *columns], [*keys, "prediction", "base", "contributions"]
+                )
 
     asked = df.select(*dict.fromkeys([*keys, *features, *([route] if route else [])]))
     return top_contributions(asked.mapInArrow(explain, schema), top)

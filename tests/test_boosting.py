@@ -161,6 +161,35 @@ def test_shapley_values_by_enumeration(spark):
             assert values[i] == pytest.approx(want, abs=1e-9)
 
 
+def walked(forest, x, model):
+    """Sum of the leaves found by walking every tree."""
+    base, feature, threshold, _, leaf = forest.models[model, -1]
+    out = []
+    for row in x:
+        total = base
+        for t in range(len(feature)):
+            node = 0
+            while node < feature.shape[1]:
+                node = 2 * node + 1 + bool(row[feature[t][node]] >= threshold[t][node])
+            total += leaf[t][node - feature.shape[1]]
+        out.append(total)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6, 7])
+def test_leaf_tables_equal_walked_trees(depth):
+    """Rows of equal bins are scored once, so the same rows many times over cost no more walks."""
+    rng = np.random.default_rng(depth)
+    inner = 2**depth - 1
+    threshold = rng.choice([0.1, 0.25, 0.5, 0.75, np.inf], (9, inner))
+    forest = Forest(("a", "b", "c"), {("0", -1): (0.5, rng.integers(0, 3, (9, inner)), threshold, np.ones((9, 2 * inner + 1)), rng.normal(size=(9, inner + 1)))})
+    x = rng.choice([0.0, 0.1, 0.25, 0.3, 0.6, 0.75, 1.0, np.nan, np.inf, -np.inf], (300, 3))
+    assert (forest.predict(x, "0") == walked(forest, x, "0")).all()
+    if depth < 7:
+        bins, of = forest._table("0", -1).bins(np.tile(x, (5, 1)))
+        assert len(bins[0]) <= 6**3 and len(of) == 1500
+
+
 def test_tree_contributions(spark):
     x, y = sample(6, 150)
     df = frame(spark, x, y).withColumn("id", F.monotonically_increasing_id())
