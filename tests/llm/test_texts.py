@@ -157,6 +157,19 @@ def test_vbyte_round_trip():
 SPACES = ["a  b", "a   b", " a", "a ", "a  ", "\n b", "a \nb", "a\n  b", "\u00a0 b", "a \u00a0 b", "it's  <|endoftext|> x", "nul\0 byte  x", "tab\t x", "", " ", "  "]
 
 
+def test_ids_are_the_tokenizers(spark, tmp_path):
+    """Cuts made before the tokenizer are cuts it makes itself: odd white space, marks, contractions, special tokens."""
+    random.seed(6)
+    signs = [*"abé \n\t\r.,'s\"<|>t$_-012²º×÷ɏǅ漢😀\x85\xa0\x1c\u2003", " ", "'re", "'ll", "'s", "<|endoftext|>", " the", " don't"]
+    texts = [" \xa0 \xa0 don't", "a\n \n b", "x  y ", "it's 'they''ll'", "'s", "l'", "'r"]
+    texts += ["".join(random.choice(signs[: random.choice([16, len(signs)])]) for _ in range(random.randrange(40))) for _ in range(3000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    stream_vbyte.write(documents(spark, list(enumerate(texts))), f"{tmp_path}/f", path)
+    got = {r.doc_id: r.ids for r in stream_vbyte.read(spark, f"{tmp_path}/f").collect()}
+    plain = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [k for k, e in enumerate(plain) if got[k] != [*e.ids, 0]] == []
+
+
 def test_token_file(spark, odd, nothing, tmp_path, monkeypatch):
     monkeypatch.setattr(stream_vbyte, "BLOCK_IDS", 500)
     path = public_tokenizers.path("byte_bpe_50k.json")
