@@ -51,11 +51,14 @@ def feed_rows(spark, root) -> DataFrame:
     weather = F.format_string('{"TrackTemp": "%s", "AirTemp": "%s"}', text("track_temp"), text("air_temp"))
     kind = lap % 4
     odd = F.when(kind == 1, F.when(lap % 2 == 1, '{"Lines": 5}').otherwise("[1]")).otherwise(F.lit("7"))
-    payload = F.when((lap % 9 == 0) & (kind > 0), odd).when(kind == 0, deflate_text(cars)).when(kind == 1, timing).when(kind == 2, weather).otherwise("{}")
-    topic = F.when(kind == 0, "CarData.z").when(kind == 1, "TimingData").when(kind == 2, "WeatherData").otherwise("SessionInfo")
-    return entries(spark, root).select(
-        *LAP, topic.alias("topic"), F.when(lap % 13 == 0, "{broken").otherwise(payload).alias("payload")
-    )
+    payload = F.when(lap % 9 == 0, odd).when(kind == 1, timing).when(kind == 2, weather).otherwise("{}")
+    topic = F.when(kind == 1, "TimingData").when(kind == 2, "WeatherData").otherwise("SessionInfo")
+
+    def messages(rows, topic, payload) -> DataFrame:
+        return rows.select(*LAP, topic.alias("topic"), F.when(lap % 13 == 0, "{broken").otherwise(payload).alias("payload"))
+
+    rows = entries(spark, root)
+    return messages(rows.filter(kind == 0), F.lit("CarData.z"), deflate_text(cars)).unionByName(messages(rows.filter(kind != 0), topic, payload))
 
 
 @query("r01_split_topics", """

@@ -37,25 +37,27 @@ def split_topics(feed: DataFrame) -> dict[str, DataFrame]:
     """
     other = [c for c in feed.columns if c not in ("topic", "payload")]
     known = feed.filter(F.col("topic").isin(*fixed.FEED_TOPICS))
-    text = F.when(F.col("topic") == "CarData.z", inflate_text("payload")).otherwise(F.col("payload"))
-    read = known.withColumn("_text", text)
-
     whole = F.try_parse_json("_text")
 
     def holds(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(whole, path, "variant")).startswith("OBJECT")
 
-    shape = F.when(F.col("topic") == "CarData.z", holds("$.Cars")).when(F.col("topic") == "TimingData", holds("$.Lines")).otherwise(holds("$"))
-    known = read.withColumn("_broken", ~F.coalesce(shape, F.lit(False)))
-    broken, read = F.col("_broken"), known.filter("NOT _broken")
+    def judged(rows: DataFrame, text: Column, shape: Column) -> DataFrame:
+        return rows.withColumn("_text", text).withColumn("_broken", ~F.coalesce(shape, F.lit(False)))
+
+    # Only packed messages go through Python workers.
+    packed = judged(known.filter(F.col("topic") == "CarData.z"), inflate_text("payload"), holds("$.Cars"))
+    shape = F.when(F.col("topic") == "TimingData", holds("$.Lines")).otherwise(holds("$"))
+    plain = judged(known.filter(F.col("topic") != "CarData.z"), F.col("payload"), shape)
 
     def topic(name: str, schema: str) -> DataFrame:
-        return read.filter(F.col("topic") == name).withColumn("_m", F.from_json("_text", schema))
+        read = packed if name == "CarData.z" else plain.filter(F.col("topic") == name)
+        return read.filter("NOT _broken").withColumn("_m", F.from_json("_text", schema))
 
     cars = topic("CarData.z", CARS).select(*other, F.explode("_m.Cars").alias("car_number", "entry"))
     timing = topic("TimingData", TIMING).select(*other, F.explode("_m.Lines").alias("car_number", "entry"))
     weather = topic("WeatherData", WEATHER).select(*other, "_m.TrackTemp", "_m.AirTemp")
-    rejects = known.filter(broken).select(*feed.columns)
+    rejects = packed.unionByName(plain).filter("_broken").select(*feed.columns)
     return {"cars": cars, "timing": timing, "weather": weather, "rejects": rejects}
 
 

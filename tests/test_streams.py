@@ -135,6 +135,16 @@ def test_wrong_shapes_are_rejected(spark):
     assert all(parts[name].count() == 0 for name in ("cars", "timing", "weather"))
 
 
+def test_python_workers_of_a_feed(spark):
+    """Payloads are inflated once, and only those of the topic that is packed."""
+    parts = live.split_topics(spark.createDataFrame([("CarData.z", "junk"), ("TimingData", "{}")], "topic string, payload string"))
+
+    def calls(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+    assert {name: calls(df) for name, df in parts.items()} == {"cars": 1, "timing": 0, "weather": 0, "rejects": 1}
+
+
 def test_lineage_cuts_are_emptied(spark):
     mark = scratch.made(spark)
     held = scratch.materialise(spark.range(100), "life")
