@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paddock.llm import hard_negatives, secret_owners, word_runs
+from paddock.llm import hard_negatives, secret_owners, suffix_dedup, word_runs
 from paddock.llm import queries as corpus
+from paddock.llm import textbytes as tb
 from tests.llm.conftest import SF, documents
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -284,3 +285,31 @@ def test_queries_of_the_tables(spark, tables, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())
+
+
+def test_hashes_of_blocks():
+    """Equal bytes have equal hashes wherever they lie; Thue-Morse words, their complements and other lengths differ."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"xyz{word}{other}--{word}".encode(), np.uint8)
+    prefix = tb.prefix_hash(data)
+    start = np.array([3, 3 + 1024, 3 + 2048 + 2, 3, 3 + 2048 + 2, 3, 5])
+    a, b, c, d, e, f, g = tb.block_hash(prefix, start, start + np.array([1024, 1024, 1024, 400, 400, 401, 0])).tolist()
+    assert a == c and d == e and len({a, b, d, f, g}) == 5
+
+
+def test_samples_of_texts_end_to_end():
+    """Texts laid end to end have the samples of each text for itself."""
+    sizes = suffix_dedup.Sizes(100)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (0, 300, 5, 36, 37, 35, 0, 1000, 120)] + [np.full(200, 120, np.uint8)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got, _ = suffix_dedup._samples(np.concatenate(texts), offs, sizes)
+    want = []
+    for text, at in zip(texts, offs):
+        h = [tb.window_hash(tb.prefix_hash(text[p : p + sizes.anchor]), sizes.anchor)[0] for p in range(len(text) - sizes.anchor + 1)]
+        least = [min(h[p : p + sizes.reach]) for p in range(len(h) - sizes.reach + 1)]
+        want += [at + p for p, x in enumerate(h) if any(least[j] == x for j in range(max(0, p - sizes.reach + 1), min(p + 1, len(least))))]
+    assert got.tolist() == want and len(want) > 20
