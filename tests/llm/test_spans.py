@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +315,22 @@ def test_samples_of_texts_end_to_end():
         least = [min(h[p : p + sizes.reach]) for p in range(len(h) - sizes.reach + 1)]
         want += [at + p for p, x in enumerate(h) if any(least[j] == x for j in range(max(0, p - sizes.reach + 1), min(p + 1, len(least))))]
     assert got.tolist() == want and len(want) > 20
+
+
+def test_notes_of_one_pass():
+    """Each start of a string lies under one note; a note comes twice if a text has it, or if texts share it."""
+    sizes = suffix_dedup.Sizes(100)
+    random.seed(3)
+    text = lambda n: "".join(random.choice("abcd") for _ in range(n))
+    shared = text(130)
+    texts = [shared + text(90), "", text(99), text(60) + shared, "ab" * 70, "x" * 100, text(400), None]
+    batch = pa.RecordBatch.from_pydict({"k1": list(range(8)), "k2": list(range(8)), "text": texts})
+    rows = [r for b in suffix_dedup._notes(sizes)(iter([batch])) for r in b.to_pylist()]
+    under = {(r["place"]["k1"], p) for r in rows for p in range(r["place"]["lo"], r["place"]["hi"] + 1)}
+    starts = {(k, p) for k, t in enumerate(texts) for p in range(len(t or "") - sizes.length + 1)}
+    assert under == starts
+    often = Counter(r["note"] for r in rows)
+    candidates = {(r["place"]["k1"], p) for r in rows if often[r["note"]] > 1 for p in range(r["place"]["lo"], r["place"]["hi"] + 1)}
+    count = Counter(texts[k][p : p + sizes.length] for k, p in starts)
+    assert {(k, p) for k, p in starts if count[texts[k][p : p + sizes.length]] > 1} <= candidates
+    assert not any(k == 6 for k, _ in candidates) and {(4, 0), (5, 0)} <= candidates
