@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from paddock.llm import textbytes as tb
 
 SAMPLES, SEED = 2, 7
-#: Bytes of text whose words share one lattice.
-PIECE = 5 << 18
+#: Bytes of text whose words share one lattice: half as many as elsewhere, as a byte takes some hundred.
+PIECE = 1 << 19
 #: Characters of text whose paths are drawn at once.
 TOGETHER = 1 << 19
 #: Sets of less log mass than this get no key: that one of them holds a largest key is less likely
@@ -144,26 +144,23 @@ class Lattice:
         place = np.repeat(start[first] - self.enter, nodes) + np.arange(total)  # of each node in the text
         to_end = np.repeat(self.enter + length, nodes) - np.arange(total)
         live = np.flatnonzero(to_end > 0)
-        edges = []
-        single = live
+        edges = []  # node, length, place of the piece among the known hashes, number among the node's edges
+        single = bare = live
         degree = np.zeros(total, np.int64)
-
-        def add(from_: np.ndarray, n: int, ids: np.ndarray, logs: np.ndarray) -> None:
-            narrow = (x.astype(np.int32) for x in (from_, degree[from_], from_ + n, ids))
-            edges.append((*narrow, logs))
-            degree[from_] += 1
-
         for n in range(1, pieces.longest + 1):
             live = live[to_end[live] >= n]
             at = pieces.find(tb.span_hash(prefix, place[live], place[live] + n, codes))
             hit = at >= 0
             live, at = live[hit], at[hit]
             real = pieces.ids[at] >= 0
-            add(live[real], n, pieces.ids[at[real]], pieces.logs[at[real]])
+            from_ = live[real]
+            edges.append((from_.astype(np.int32), n, at[real], degree[from_].astype(np.int16)))
+            degree[from_] += 1
             if n == 1:
                 bare = single[degree[single] == 0]
-                code = codes[place[bare]]
-                add(bare, 1, -1 - code.astype(np.int64), _byte_count(code) * np.log(BYTE))
+                degree[bare] = 1
+        code = codes[place[bare]]
+        del prefix, place, live, single, at, hit, real, from_
         # Edges lie by node, nodes nearest to the end of their word first.
         far = to_end.astype(np.int16 if to_end.max(initial=0) < 1 << 15 else np.int64)
         nodes_in_order = np.argsort(far, kind="stable")
@@ -173,12 +170,16 @@ class Lattice:
         self.first = np.full(total, -1, np.int64)  # first edge of each node; -1 at the end of a word
         self.first[nodes_in_order] = heads
         self.degree = degree
-        from_, nth, to, ids, logs_ = (np.concatenate(c) for c in zip(*edges))
-        edges.clear()
-        del prefix, place, live
-        slot = self.first[from_] + nth
-        self.origin, self.to, self.ids, logs = (np.empty(len(slot), x.dtype) for x in (from_, to, ids, logs_))
-        self.origin[slot], self.to[slot], self.ids[slot], logs[slot] = from_, to, ids, logs_
+        size = int(count.sum())
+        self.origin, self.to, self.ids = (np.empty(size, np.int32) for _ in range(3))
+        logs = np.empty(size)
+        slot = self.first[bare]
+        self.origin[slot], self.to[slot], self.ids[slot], logs[slot] = bare, bare + 1, -1 - code.astype(np.int64), _byte_count(code) * np.log(BYTE)
+        while edges:  # one length at a time, so that edges are not held twice
+            from_, n, at, nth = edges.pop()
+            slot = self.first[from_] + nth
+            self.origin[slot], self.to[slot], self.ids[slot], logs[slot] = from_, from_ + n, pieces.ids[at], pieces.logs[at]
+        del slot, from_, at, nth
         # Backward sums.
         mass = np.zeros(total)
         depth = to_end[nodes_in_order]
@@ -188,11 +189,14 @@ class Lattice:
             if b > a:
                 s, e = bounds[a], bounds[b]
                 mass[nodes_in_order[a:b]] = np.logaddexp.reduceat(logs[s:e] + mass[self.to[s:e]], heads[a:b] - s)
-        self.log_share = logs + mass[self.to] - mass[self.origin]
-        share = np.exp(self.log_share)
-        run = np.cumsum(share)
-        before = np.repeat(run[heads] - share[heads], count)
-        self.upto = run - before
+        logs += mass[self.to]
+        logs -= mass[self.origin]
+        self.log_share = logs
+        share = np.exp(logs)
+        self.upto = np.cumsum(share)
+        before = self.upto[heads] - share[heads]
+        del share
+        self.upto -= np.repeat(before, count)
         self.upto[bounds[1:] - 1] = 2.0  # the last edge takes what rounding leaves
 
 

@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -260,6 +261,25 @@ def test_segmentations_of_the_query_have_ids(spark):
     assert "ids" in queries.QUERIES["op7_gumbel_lattice"](spark, SF).columns
 
 
+def test_lattices_of_many_texts_take_bounded_memory():
+    """Words of six letters, most of them new to their piece, in 2.6 MB of texts."""
+    pieces = piece_lattice.Pieces.of(MODEL)
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(list("etaoinshrdlu"), (120_000, 6))]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 300)) for _ in range(1250)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tb.powers(4 * tb.PIECE_BYTES)
+    tracemalloc.start()
+    seen = 0
+    for part, _, _ in tb.pieces(iter([batch]), "text", piece_lattice.PIECE):
+        some = tb.column(part, "text").to_pylist()
+        keys = np.arange(len(some), dtype=np.uint64)
+        seen += sum(b - a for a, b, _ in piece_lattice.segment(some, keys, pieces, 2, piece_lattice.TOGETHER))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) and peak < 100e6, peak
+
+
 def test_all_segmentations_of_a_short_text():
     pieces = piece_lattice.Pieces.of(MODEL)
     ((_, _, samples),) = piece_lattice.segment(["ab"], np.array([5], np.uint64), pieces, 12)
