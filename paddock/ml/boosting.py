@@ -3,9 +3,8 @@
 Features are binned once.  Spark then sums the rows into cells, one for each (model, fold, bins of
 all features): trees over bins cannot tell rows of one cell apart, so the sums stand for every row.  The
 cells of a model go, once per fold left out and once for the model itself, to tasks that grow the
-trees round by round from gradient sums per (node, feature, bin).  A task holds at most
-``max_cells`` cells, whatever the number of rows: where a model has more, neighbouring bins are
-merged (all rows still count) until they fit.
+trees round by round from gradient sums per (node, feature, bin), a block of cells at a time.  A task holds
+all cells of its model, some 60 bytes each, and the grid of bins is the same however many there are.
 
 Targets are summed in millionths and weights as counts per label, so that cells, and with them the
 trees, are equal under any partitioning.  A trained tree is a row: (model, held, round) with the feature,
@@ -18,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 import pyarrow as pa
@@ -103,10 +102,11 @@ def _binned(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], r
     return rows.select(*features, *rest).mapInArrow(place, schema)
 
 
-def cells(rows: DataFrame, features: Sequence[str], params: BoostParams) -> tuple[DataFrame, list[np.ndarray]]:
+def cells(rows: DataFrame, features: Sequence[str], params: BoostParams, whole: bool = False) -> tuple[DataFrame, list[np.ndarray]]:
     """Sums of (model, fold, target, weight_) rows by model, fold and bins, and the bins' edges.
 
-    ``weight`` counts rows, ``target`` sums the target (in millionths) or the positive rows.
+    ``weight`` counts rows, ``target`` sums the target (in millionths) or the positive rows.  ``whole`` keeps
+    all bins, as training does; else neighbouring bins are merged until no model has over ``max_cells`` cells.
     """
     edges = bin_edges(rows, features, params.bins)
     names = [f"b{i}" for i in range(len(features))]
@@ -116,6 +116,8 @@ def cells(rows: DataFrame, features: Sequence[str], params: BoostParams) -> tupl
                 F.count("*").alias("weight"), F.sum(F.round(F.col("target") * MICRO).cast("bigint")).alias("target")
             ), "cells",
         )
+        if whole:
+            return summed, edges
         most = summed.groupBy("model").count().agg(F.max("count")).first()[0] or 0
         if most <= params.max_cells or all(len(e) < 2 for e in edges):
             return summed, edges
@@ -126,6 +128,23 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+#: Cells summed at once, and the most combinations of bins that features summed together have.
+BLOCK_CELLS, JOINT_BINS = 1 << 18, 1 << 12
+
+
+def _joint(sizes: Sequence[int], n: int) -> list[list[int]]:
+    """Features in groups, each summed once by the combinations of its bins; few cells do not pay for many combinations."""
+    most, groups = min(JOINT_BINS, n // 32), []
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        for group in groups:
+            if prod(sizes[g] for g in group) * sizes[f] <= most:
+                group.append(f)
+                break
+        else:
+            groups.append([f])
+    return groups
+
+
 def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, params: BoostParams, heavy: float | None = None):
     """Trees of one model from its cells: (base, [(feature, first right bin, cover, leaf), ...]).
 
@@ -142,8 +161,17 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
         share = min(max(float(positive.sum() / total.sum()), 1e-6), 1 - 1e-6)
         base = float(np.log(share / (1 - share)))
     value = np.full(n, base)
-    columns = [np.ascontiguousarray(bins[:, f], np.int64) for f in range(count)]
-    flat, row_at = np.ascontiguousarray(bins).ravel(), np.arange(n) * count
+    size = [int(bins[:, f].max()) + 1 for f in range(count)]
+    joint = []
+    for group in _joint(size, n):
+        shape = [size[f] for f in group]
+        at = bins[:, group[0]].astype(np.int32)
+        for f in group[1:]:
+            at = at * size[f] + bins[:, f]
+        joint.append((group, shape, prod(shape), at.astype(np.min_scalar_type(prod(shape)))))
+    flat = np.ascontiguousarray(bins).ravel()
+    blocks = [slice(a, min(a + BLOCK_CELLS, n)) for a in range(0, n, BLOCK_CELLS)]
+    row_at = np.arange(min(n, BLOCK_CELLS)) * count
     inner = (1 << params.depth) - 1
     trees = []
     for _ in range(params.rounds):
@@ -154,15 +182,19 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
             grad, hess = positive - total * p, total * p * (1 - p)
         feature, cut = np.zeros(inner, np.int64), np.full(inner, width, np.int64)
         cover = np.zeros(2 * inner + 1)
-        node = np.zeros(n, np.int64)
+        node = np.zeros(n, np.int32)
         for depth in range(params.depth):
             nodes = 1 << depth
-            sums = [np.empty((nodes, count, width)) for _ in range(2)]
-            start = node * width
-            for f, column in enumerate(columns):
-                key = start + column
-                for out, x in zip(sums, (grad, hess), strict=True):
-                    out[:, f] = np.bincount(key, x, nodes * width).reshape(nodes, width)
+            sums = [np.zeros((nodes, count, width)) for _ in range(2)]
+            for group, shape, most, column in joint:
+                held = [0.0, 0.0]
+                for block in blocks:
+                    key = node[block].astype(np.int64) * most + column[block]
+                    held = [h + np.bincount(key, x[block], nodes * most) for h, x in zip(held, (grad, hess), strict=True)]
+                for out, h in zip(sums, held, strict=True):
+                    cube = h.reshape(nodes, *shape)
+                    for k, f in enumerate(group):
+                        out[:, f, : size[f]] = cube.sum(tuple(a + 1 for a in range(len(group)) if a != k))
             left_g, left_h = (np.cumsum(x, 2)[:, :, :-1] for x in sums)
             all_g, all_h = (x[:, 0, :].sum(1)[:, None, None] for x in sums)
             right_g, right_h = all_g - left_g, all_h - left_h
@@ -174,12 +206,14 @@ def grow(bins: np.ndarray, weight: np.ndarray, target: np.ndarray, width: int, p
             feature[here] = best[good] // (width - 1)
             cut[here] = best[good] % (width - 1) + 1
             cover[nodes - 1 : 2 * nodes - 1] = all_h[:, 0, 0]
-            at = node + nodes - 1
-            node = 2 * node + (flat[row_at + feature[at]] >= cut[at])
+            for block in blocks:
+                at = node[block] + (nodes - 1)
+                own = flat[block.start * count : block.stop * count][row_at[: len(at)] + feature[at]]
+                node[block] = 2 * node[block] + (own >= cut[at])
         leaf_g, leaf_h = (np.bincount(node, x, inner + 1) for x in (grad, hess))
         cover[inner:] = leaf_h
         leaf = params.rate * leaf_g / (leaf_h + params.shrink)
-        value = value + leaf[node]
+        value += leaf[node]
         trees.append((feature, cut, cover, leaf))
     return base, trees
 
@@ -193,36 +227,52 @@ def fit(rows: DataFrame, features: Sequence[str], params: BoostParams, heavy: bo
     """
     features = list(features)
     good = rows.where(F.col("model").isNotNull() & F.col("target").isNotNull() & ~F.isnan("target"))
-    summed, edges = cells(good.select("model", F.coalesce("fold", F.lit(ALL)).cast("int").alias("fold"), "target", *features), features, params)
-    folds = summed.where("fold >= 0").groupBy("model").agg(F.collect_set("fold").alias("folds"))
-    share = summed.groupBy("model").agg((F.sum("target") / F.sum("weight") / MICRO).alias("share"))
-    parts = summed.join(folds, "model", "left").join(share, "model").withColumn(
-        "held", F.explode(F.concat(F.array(F.lit(ALL)), F.when(F.size("folds") > 1, F.array_except("folds", F.array("fold"))).otherwise(F.array().cast("array<int>"))))
-    )
+    summed, edges = cells(good.select("model", F.coalesce("fold", F.lit(ALL)).cast("int").alias("fold"), "target", *features), features, params, whole=True)
+    names = [f"b{i}" for i in range(len(features))]
+    facts = summed.groupBy("model").agg(
+        F.count("*").alias("cells"), F.collect_set(F.when(F.col("fold") >= 0, F.col("fold"))).alias("folds"),
+        (F.sum("target") / F.sum("weight") / MICRO).alias("share"),
+    ).collect()
+    # The model itself and one without each of its folds; a task grows one of them, the largest first.
+    grown = [(r["model"], h, r["share"]) for r in sorted(facts, key=lambda r: (-r["cells"], r["model"])) for h in [ALL, *(sorted(r["folds"]) if len(r["folds"]) > 1 else [])]]
+    grown.sort(key=lambda g: g[1] != ALL)
+    if not grown:
+        return materialise(summed.sparkSession.createDataFrame([], TREES), "trees")
+    wanted = summed.sparkSession.createDataFrame([(k, m, h) for k, (m, h, _) in enumerate(grown)], "at int, model string, held int")
+    parts = summed.join(F.broadcast(wanted), "model").where(f"held = {ALL} or fold <> held")
     width = max((len(e) for e in edges), default=0) + 2
+    small = np.min_scalar_type(width)
 
-    def train(key, table):
-        bins = np.stack([table[f"b{i}"].to_numpy() for i in range(len(features))], 1)
-        order = np.lexsort([*bins.T[::-1], table["fold"].to_numpy()])
-        bins = bins[order]
-        weight = table["weight"].to_numpy()[order].astype(np.float64)
-        target = table["target"].to_numpy()[order] / MICRO
-        p = table["share"][0].as_py()
-        factor = ((1 - p) / p if p > 0 else 1.0) if heavy else None
-        base, trees = grow(bins, weight, target, width, params, factor)
-        # A cut beyond the last edge sends every row left.
-        reach = [np.concatenate([[-np.inf], e, np.full(width + 1 - len(e), np.inf)]) for e in edges]
-        return pa.table({
-            "model": pa.array([key[0].as_py()] * len(trees), pa.string()), "held": pa.array([key[1].as_py()] * len(trees), pa.int32()),
-            "round": pa.array(range(len(trees)), pa.int32()),
-            "feature": pa.array([t[0].tolist() for t in trees], pa.list_(pa.int32())),
-            "threshold": pa.array([[float(reach[f][c]) for f, c in zip(t[0], t[1], strict=True)] for t in trees], pa.list_(pa.float64())),
-            "cover": pa.array([t[2].tolist() for t in trees], pa.list_(pa.float64())),
-            "leaf": pa.array([t[3].tolist() for t in trees], pa.list_(pa.float64())),
-            "base": pa.array([base] * len(trees), pa.float64()),
-        })
-
-    return materialise(parts.groupBy("model", "held").applyInArrow(train, TREES), "trees")
+    def train(batches):
+        kept: dict = {}
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            of = column("at")
+            held = [np.stack([column(n) for n in names], 1).astype(small), column("fold"), column("weight").astype(np.float64), column("target") / MICRO]
+            for k in np.unique(of).tolist():
+                kept.setdefault(k, []).append([x[of == k] for x in held])
+        for k in sorted(kept):
+            bins, fold, weight, target = (np.concatenate(x) for x in zip(*kept.pop(k), strict=True))
+            order = np.lexsort([*bins.T[::-1], fold])
+            bins, weight, target = bins[order], weight[order], target[order]
+            del order, fold
+            model, held, p = grown[k]
+            factor = ((1 - p) / p if p > 0 else 1.0) if heavy else None
+            base, trees = grow(bins, weight, target, width, params, factor)
+            # A cut beyond the last edge sends every row left.
+            reach = [np.concatenate([[-np.inf], e, np.full(width + 1 - len(e), np.inf)]) for e in edges]
+            yield pa.RecordBatch.from_pydict({
+                "model": pa.array([model] * len(trees), pa.string()), "held": pa.array([held] * len(trees), pa.int32()),
+                "round": pa.array(range(len(trees)), pa.int32()),
+                "feature": pa.array([t[0].tolist() for t in trees], pa.list_(pa.int32())),
+                "threshold": pa.array([[float(reach[f][c]) for f, c in zip(t[0], t[1], strict=True)] for t in trees], pa.list_(pa.float64())),
+                "cover": pa.array([t[2].tolist() for t in trees], pa.list_(pa.float64())),
+                "leaf": pa.array([t[3].tolist() for t in trees], pa.list_(pa.float64())),
+                "base": pa.array([base] * len(trees), pa.float64()),
+            })
+
+    dealt = parts.repartitionById(len(grown), "at").select("at", "fold", "weight", "target", *names)
+    return materialise(dealt.mapInArrow(train, TREES), "trees")
 
 
 #: Rows scored at once, and the bytes of their batches; features with more patterns than this are explained row by row.

@@ -212,3 +212,33 @@ def test_model_folds(spark):
         folds.setdefault(r.model, {}).setdefault(r.session_id, set()).add(r.fold)
     assert len(got) == len(rows) and all(len(f) == 1 for by in folds.values() for f in by.values())
     assert {m: len({next(iter(f)) for f in by.values()}) for m, by in folds.items()} == {"x": 5, "y": 2, "z": 1}
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_all_bins_of_a_model_are_kept(spark, heavy):
+    """A model with more cells than any bound is grown from all of them, in blocks, on the whole grid of bins."""
+    x, y = sample(7, 400)
+    df = frame(spark, x, (y > 2).astype(float) if heavy else y, models=2, folds=3)
+    want = Forest.of(boosting.fit(df, NAMES, PARAMS, heavy), NAMES)
+    got = Forest.of(boosting.fit(df, NAMES, BoostParams(rounds=6, rate=0.3, depth=3, bins=16, max_cells=40), heavy), NAMES)
+    assert set(got.models) == set(want.models) == {(m, f) for m in "01" for f in (-1, 0, 1, 2)}
+    for key in want.models:
+        assert all((a == b).all() for a, b in zip(got.models[key][1:], want.models[key][1:], strict=True))
+
+
+@pytest.mark.parametrize("heavy", [None, 3.0])
+def test_growth_by_blocks_and_joint_bins(monkeypatch, heavy):
+    """Features summed together and cells summed by blocks give the trees of one sum per feature over all cells."""
+    rng = np.random.default_rng(8)
+    bins = np.column_stack([rng.integers(0, s, 3000) for s in (5, 1, 9, 3)]).astype(np.uint8)
+    weight = rng.integers(1, 5, 3000).astype(float)
+    target = np.floor(rng.random(3000) * (weight + 1)) if heavy else weight * (bins[:, 0] * 0.3 - (bins[:, 2] > 4)) + rng.normal(size=3000)
+    monkeypatch.setattr(boosting, "JOINT_BINS", 0)
+    base, want = boosting.grow(bins, weight, target, 12, PARAMS, heavy)
+    monkeypatch.setattr(boosting, "JOINT_BINS", 45)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 700)
+    assert sorted(map(sorted, boosting._joint((5, 1, 9, 3), 3000))) == [[0, 1, 2], [3]]
+    same, got = boosting.grow(bins, weight, target, 12, PARAMS, heavy)
+    assert base == same
+    for a, b in zip(want, got, strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and np.allclose(a[2], b[2]) and np.allclose(a[3], b[3])
