@@ -435,3 +435,21 @@ def test_finish_positions_in_blocks(spark, monkeypatch):
     assert all(v == pytest.approx(1) for k, v in sums.items() if k is not None)
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert plan.index("explode(sequence") < plan.index("Exchange")
+
+
+def test_finish_positions_come_by_runs_of_positions(spark, monkeypatch):
+    """A task goes through all its drivers for a few positions before the next ones, so that files hold long runs."""
+    from collections import Counter
+
+    data = [(s, r, d, float((d * 7 + r * 3) % 13)) for s in range(2) for r in range(4) for d in range(40 - s)]
+    df = spark.createDataFrame(data, "session_id int, sim int, driver_id int, finish_time double")
+    whole = agg.finish_positions(df).collect()
+    assert len(whole) == 40 * 40 + 39 * 39
+    monkeypatch.setattr(agg, "POSITION_BLOCK", 15)
+    monkeypatch.setattr(agg, "POSITION_RUN", 4)
+    rows = agg.finish_positions(df).select(F.spark_partition_id().alias("at"), "*").collect()
+    assert Counter(tuple(r)[1:] for r in rows) == Counter(map(tuple, whole))
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["at"], []).append((r.session_id, (r.position - 1) // 15, (r.position - 1) % 15 // 4))
+    assert len(parts) > 1 and all(p == sorted(p) for p in parts.values())
