@@ -296,6 +296,12 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
         yield some
 
 
+def name_codes(names: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """Distinct names and which of them each row has, -1 for none."""
+    coded = pa.concat_arrays(names.chunks).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
 _DEBRUIJN = np.uint64(0x03F79D71B4CB0A89)
 
 
@@ -495,13 +501,14 @@ class Forest:
         def scored(forest, held_batches):
             x = np.concatenate([feature_matrix(b, features) for b in held_batches])
             get = lambda c: pa.chunked_array([b.column(b.schema.get_field_index(c)) for b in held_batches])
-            names = np.array(get(route).to_pylist(), object) if route else np.full(len(x), forest.names()[0], object)
+            names, of = name_codes(get(route)) if route else (forest.names()[:1], np.zeros(len(x), np.int32))
             folds = get(held).fill_null(ALL).to_numpy() if held else np.full(len(x), ALL)
             out = np.full(len(x), float(default))
-            for model, fold in forest.models:
-                at = np.flatnonzero((names == model) & (folds == fold))
-                if len(at):
-                    out[at] = link(forest.predict(x[at], model, fold))
+            for fold in np.unique(folds).tolist():
+                for k, model in enumerate(names):
+                    at = np.flatnonzero((of == k) & (folds == fold)) if (model, fold) in forest.models else ()
+                    if len(at):
+                        out[at] = link(forest.predict(x[at], model, fold))
             upto = 0
             for batch in held_batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[upto : upto + batch.num_rows])], [*columns, "prediction"])

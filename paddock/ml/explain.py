@@ -15,6 +15,7 @@ from paddock.ml.boosting import Forest, feature_matrix, together
 from paddock.operators.aggregates import DRIVER
 from paddock.operators.reshape import top_contributions, top_k
 from paddock.plans.projection import Score
+from paddock.scratch import materialise
 
 
 def contributions(
@@ -108,6 +109,7 @@ def explain_top_window(
     windows: DataFrame, state: DataFrame, forest: Forest, top: int = 5
 ) -> DataFrame:
     """Pit windows where the best candidate of each driver carries contributions."""
+    windows = materialise(windows, "windows")
     best = top_k(windows, DRIVER, [F.round("projected_total_delta_seconds", 9), F.col("pit_lap")], 1)
     rows = best.select(*DRIVER, "pit_lap").join(state, list(DRIVER)).select(
         *DRIVER, "pit_lap",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
@@ -99,9 +101,75 @@ def _fold_errors(scored: DataFrame) -> DataFrame:
     return per.where("folds > 1")
 
 
+@dataclass(frozen=True)
+class ForestScore:
+    """Scores rows by ``tyre_model``; rows whose model is missing get ``default``."""
+
+    forest: Forest
+    default: float = 0.0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.forest.score(df, "tyre_model", default=self.default)
+
+    def stints(self, df: DataFrame, keys: Sequence[str], summed: Column) -> DataFrame:
+        """As ``projection.score_stints``, with the laps of a ``summed`` stint as one row of their sum.
+
+        Laps are made, scored and summed in the task, at most ``SCORE_ROWS`` at once.
+        """
+        models, default, keys, most = df.sparkSession.sparkContext.broadcast(self.forest), float(self.default), list(keys), boosting.SCORE_ROWS
+        numbers = ("start_lap", "start_age", "total_laps", "circuit_code", "driver_code")
+        rows = df.select(
+            *keys, *numbers, F.greatest("n_laps", F.lit(1)).cast("bigint").alias("_n"), F.coalesce(F.col("n_laps") > 0, F.lit(False)).alias("_run"),
+            compound_code("compound").alias("_code"), compound_model("compound").alias("_model"), F.coalesce(summed, F.lit(False)).alias("_summed"),
+        )
+        schema = rows.select(*keys, F.lit(0).alias("lap_number"), F.lit(0.0).alias("delta")).schema
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+        def laps(batch, at, i, code, names):
+            """Predicted deltas of the given laps of a batch's stints, and their lap numbers."""
+            forest = models.value
+            x = boosting.feature_matrix(batch, [*numbers, "_code"])[at]
+            lap, total = x[:, 0] + i, np.fmax(x[:, 2], 1.0)
+            fuel = -fixed.FUEL_SECONDS_PER_KG * (fixed.START_FUEL_KG - fixed.START_FUEL_KG * (1 - lap / total))
+            of = {"lap_number": lap, "compound_encoded": x[:, 5], "tyre_age_laps": x[:, 1] + i, "fuel_adjusted_time": fuel, "circuit_id_encoded": x[:, 3], "driver_id_encoded": x[:, 4]}
+            x = np.stack([of[f] for f in forest.features], 1)
+            delta = np.full(len(at), default)
+            for k, name in enumerate(names):
+                if (name, boosting.ALL) in forest.models and len(those := np.flatnonzero(code[at] == k)):
+                    delta[those] = forest.predict(x[those], name)
+            return delta, lap
+
+        def score(batches):
+            for batch in batches:
+                column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+                n, run, whole = (column(c).to_numpy(zero_copy_only=False) for c in ("_n", "_run", "_summed"))
+                names, code = boosting.name_codes(pa.chunked_array([column("_model")]))
+                ends = np.cumsum(n)
+                begins, sums = ends - n, np.zeros(len(n))
+                for a in range(0, int(ends[-1]) if len(n) else 0, most):
+                    flat = np.arange(a, min(a + most, int(ends[-1])))
+                    at = np.searchsorted(ends, flat, "right")
+                    delta, lap = laps(batch, at, flat - begins[at], code, names)
+                    delta = np.where(run[at], delta, 0.0)
+                    sums[at[0] : at[-1] + 1] += np.bincount(at - at[0], delta)
+                    single = np.flatnonzero(~whole[at])
+                    if len(single):
+                        yield made(batch, at[single], lap[single], delta[single])
+                those = np.flatnonzero(whole)
+                if len(those):
+                    yield made(batch, those, np.full(len(those), np.nan), sums[those])
+
+        def made(batch, at, lap, delta):
+            number = pa.array(np.nan_to_num(lap).astype(np.int32), pa.int32(), mask=np.isnan(lap))
+            kept = [batch.column(batch.schema.get_field_index(k)).take(pa.array(at)) for k in keys]
+            return pa.RecordBatch.from_arrays([*kept, number, pa.array(delta)], [*keys, "lap_number", "delta"])
+
+        return rows.mapInArrow(score, schema)
+
+
 def model_score(forest: Forest, default: float = 0.0) -> Score:
     """Score rows by ``tyre_model``; rows whose model is missing get ``default``."""
-    return lambda df: forest.score(df, "tyre_model", default=default)
+    return ForestScore(forest, default)
 
 
 def positive_score(forest: Forest) -> Score:

@@ -10,7 +10,7 @@ from paddock.functions.scalars import compound_code, compound_model, forward_fue
 from paddock.operators.aggregates import DRIVER
 from paddock.operators.lookups import join_lookup
 from paddock.operators.reshape import top_k
-from paddock.plans.projection import Score, score_stints, spread
+from paddock.plans.projection import Score, spread, stint_deltas
 
 
 def pit_windows(
@@ -44,7 +44,7 @@ def pit_windows(
     stints = held.withColumn("_stints", F.concat(F.array(now), F.flatten(later))).select(
         *window, "total_laps", "circuit_code", "driver_code", F.inline("_stints")
     )
-    laps = score_stints(stints, [*window, "pit_lap", "part"], score)
+    laps = stint_deltas(stints, [*window, "pit_lap", "part"], score, F.col("part") != "")
     # A lap of the current stint is the last one before a stop at the end of it.
     stop = F.when(F.col("part") == "", F.col("lap_number")).otherwise(F.col("pit_lap")).cast("int")
     parts = laps.groupBy(*window, stop.alias("pit_lap"), "part").agg(F.sum("delta").alias("_sum"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock import fixed
@@ -99,6 +99,12 @@ def score_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:
     return score(expand_stint(rows)).select(*keys, "lap_number", delta.alias("delta"))
 
 
+def stint_deltas(df: DataFrame, keys: Sequence[str], score: Score, summed: Column) -> DataFrame:
+    """As ``score_stints``; a score that can sum gives the ``summed`` stints as one row each, without a lap number."""
+    whole = getattr(score, "stints", None)
+    return whole(df, keys, summed) if whole else score_stints(df, keys, score)
+
+
 def project_stints(df: DataFrame, keys: Sequence[str], score: Score) -> DataFrame:
     """Sum of predicted deltas per stint key, 0 for stints without laps.
 

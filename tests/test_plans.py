@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from paddock.operators import aggregates as agg
@@ -92,3 +93,34 @@ def test_no_python_in_the_core_path(spark):
         text = plan(df)
         assert "Python" not in text and "Arrow" not in text
         no_cross(text)
+
+
+def test_stints_summed_in_the_task_equal_scored_laps(spark, monkeypatch):
+    """A forest sums the laps of a stint where it makes them; windows are those of laps scored one by one."""
+    import numpy as np
+
+    from paddock import fixed
+    from paddock.ml import boosting, tyres
+
+    rng = np.random.default_rng(3)
+    inner, count = 7, len(fixed.TYRE_FEATURES)
+    grown = {
+        (m, h): (0.25, rng.integers(0, count, (5, inner)), rng.choice([-2.0, 1.5, 4.0, 9.0, 17.0, np.inf], (5, inner)), np.ones((5, 2 * inner + 1)), rng.normal(size=(5, inner + 1)))
+        for m in ("soft", "hard", "wet") for h in (-1, 0)
+    }
+    score = tyres.model_score(boosting.Forest(fixed.TYRE_FEATURES, grown))
+    data = [
+        (s, d, 1 + (5 * d + s) % 20, c, None if d == 3 else d % 6, d, 20 + s, None if d == 4 else s, d * 7 % 11)
+        for s in range(2) for d, c in enumerate(("SOFT", "HARD", "WET", "MEDIUM", "INTERMEDIATE", None, "SOFT", "HARD"))
+    ]
+    state = spark.createDataFrame(data, "session_id int, driver_id int, lap_number int, compound string, tyre_age_laps int, position int, total_laps int, circuit_code int, driver_code int")
+    plain = pitstops.pit_windows(state, lambda df: score(df)).collect()
+    seen = []
+    kept = tyres.ForestScore.stints
+    monkeypatch.setattr(tyres.ForestScore, "stints", lambda *a: seen.append(1) or kept(*a))
+    monkeypatch.setattr(boosting, "SCORE_ROWS", 37)
+    got = pitstops.pit_windows(state, score).collect()
+    key = lambda r: (r.session_id, r.driver_id, r.pit_lap)
+    assert seen and len(got) == len(plain) > 30 and [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(plain, key=key)]
+    for a, b in zip(sorted(got, key=key), sorted(plain, key=key), strict=True):
+        assert a.projected_total_delta_seconds == pytest.approx(b.projected_total_delta_seconds, abs=1e-9) and a.window_end == b.window_end
